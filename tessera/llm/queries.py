@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, exact_dedup, packing, wavelet
+from tessera.llm import bpe_trie, exact_dedup, packing, quality, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
@@ -15,6 +15,14 @@ def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_digests(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -23,6 +31,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.span_digests(documents(spark, sf_dir), depth=50)
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-shards")
     wavelet.write_shards(documents(spark, sf_dir), path, default_path("byte_bpe_50k.json"))
@@ -30,7 +42,7 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_trie, op6_exact_dedup, op8_packing, op10_wavelet)}
+    return {f.__name__: f for f in (op2_bpe_trie, op3_simhash, op5_quality, op6_exact_dedup, op8_packing, op9_suffix_dedup, op10_wavelet)}
 
 
 OP6_SQL = r"""
@@ -41,5 +53,32 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ws AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM ws),
+t AS (SELECT doc_id, pos, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS n FROM t WHERE w3 IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT pos + k) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id),
+l0 AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d),
+l1 AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l0),
+l2 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS seen,
+              regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM l1 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l3 AS (SELECT doc_id, line, seen, len(words) AS n, list_sum(list_transform(words, lambda x: length(x))) AS chars, right(words[len(words)], 1) AS final,
+              length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS marks, length(regexp_replace(line, '[^|»•›·]', '', 'g')) AS bars,
+              length(regexp_replace(line, '[^!]', '', 'g')) AS bangs FROM l2),
+l4 AS (SELECT doc_id, n, chars, seen, seen OR marks > 0.1 * chars OR (bangs >= 3 AND 3 * bangs > n) OR (bars >= 2 AND 4 * (bars + 1) >= n)
+              OR (n < 5 AND NOT regexp_matches(final, '[.!?…:;"''”’»)]')) OR (n <= 25 AND regexp_matches(line, '@@')) AS fails FROM l3),
+l AS (SELECT doc_id, sum(seen::INT) AS n_dup_lines, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost_chars, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost_words FROM l4 GROUP BY doc_id),
+b AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost_chars, 0)::BIGINT AS lost_chars, coalesce(lost_words, 0) AS lost_words
+      FROM d JOIN ws USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.3 * word_chars AND n_words - lost_words >= 50 AS kept, lost_chars
+FROM b
+""".replace("@@", quality.BOILERPLATE)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op5_quality": OP5_SQL, "op6_exact_dedup": OP6_SQL}
