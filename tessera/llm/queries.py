@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, exact_dedup, packing, quality, simhash, substring_dedup, wavelet
+from tessera.llm import bpe_trie, exact_dedup, licenses, packing, quality, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
@@ -19,6 +19,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_trie, op3_simhash, op5_quality, op6_exact_dedup, op8_packing, op9_suffix_dedup, op10_wavelet)}
+    return {f.__name__: f for f in (op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op8_packing, op9_suffix_dedup, op10_wavelet)}
 
 
 OP6_SQL = r"""
