@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, exact_dedup, licenses, packing, quality, simhash, substring_dedup, wavelet
+from tessera.llm import bpe_trie, exact_dedup, licenses, packing, pii, quality, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op2_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_digests(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
@@ -46,7 +50,7 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op8_packing, op9_suffix_dedup, op10_wavelet)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op8_packing, op9_suffix_dedup, op10_wavelet)}
 
 
 OP6_SQL = r"""
