@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm._common import named
 
@@ -122,15 +121,19 @@ def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
     return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, f"doc_id long, {TYPES}")
 
 
-def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
-    """Kept rows with their failing lines removed; all columns stay."""
+def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """Kept rows with their failing lines removed (``size_col``, if there, follows the text); all columns stay."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index(text_col)
-            found = [judge(t.as_py() or "", rules) for t in batch.column(at)]
-            texts = pa.array([f[8] for f in found], pa.string())
-            yield batch.set_column(at, pa.field(text_col, pa.string()), texts).filter(pa.array([f[6] for f in found], pa.bool_()))
-
-    kinds = docs.withColumn(text_col, F.col(text_col).cast("string")) if dict(docs.dtypes)[text_col] != "string" else docs
-    return kinds.mapInArrow(run, kinds.schema)
+            old = batch.column(names.index(text_col)).to_pylist()
+            found = [judge(t or "", rules) for t in old]
+            new = [f[8] for f in found]
+            batch = batch.set_column(names.index(text_col), text_col, pa.array(new, pa.string()))
+            if size_col in names:
+                sizes = [n if a == b else len(b) for n, a, b in zip(batch.column(names.index(size_col)).to_pylist(), old, new, strict=True)]
+                batch = batch.set_column(names.index(size_col), size_col, pa.array(sizes, batch.schema.field(names.index(size_col)).type))
+            yield batch.filter(pa.array([f[6] for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

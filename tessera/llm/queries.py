@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, exact_dedup, licenses, packing, pii, quality, simhash, substring_dedup, wavelet
+from tessera.llm import bpe_trie, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
@@ -35,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), default_path("word_bpe_49k.json"))
 
@@ -50,7 +54,7 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op8_packing, op9_suffix_dedup, op10_wavelet)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet)}
 
 
 OP6_SQL = r"""

@@ -1,0 +1,58 @@
+import time
+
+import numpy as np
+import pytest
+
+from tessera.llm import queries, secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.trained(spark)
+
+
+def test_held_out_accuracy(forest):
+    right = total = 0
+    for text, path, real in secrets.labelled_findings(400, seed=77):
+        got = secrets.secrets_of(text, path, forest, 0.5)
+        if any(secrets.candidates(text)):
+            right += bool(got) == real
+            total += 1
+    assert total > 200 and right >= 0.97 * total
+
+
+def test_trees_as_arrays():
+    stump = (np.array([0, -1, -1]), np.array([1.5, 0, 0]), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0.5, 0.1, 0.9]))
+    assert secrets.Forest([stump]).chances(np.array([[1.0], [2.0]])).tolist() == [0.1, 0.9]
+
+
+def test_linear_on_long_texts():
+    began = time.time()
+    for piece in ("a", "1", "-", "token", "a1", "eyJa", "=", "AKIA"):
+        list(secrets.candidates(piece * 100_000))
+    assert time.time() - began < 30
+
+
+def test_query_finds_every_assigned_token(spark):
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    planted = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if re.search(r'token = "[0-9a-f]{40}"', r.text or "")}
+    got = {r.doc_id: r for r in queries.op7_secrets(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {d for d, r in got.items() if r.n_secrets} == planted and planted
+
+
+def test_edges_and_redaction(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, None, None, 3), (2, "", "src", 0), (3, f'é token = "{key}" end', "src", 9), (3, f'é token = "{key}" end', "src", 9), (4, "password: changeme123", None, 5), (5, "word " * 60_000 + f"api_key={key}", "src", 1), (None, f"secret: {key}", "x", 1)]
+    docs = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, source string, n_chars long, secrets string, path string")
+    got = sorted((str(r.doc_id), r.secrets) for r in secrets.find_secrets(docs).collect())
+    assert got == [("1", ""), ("2", ""), ("3", "assigned:11:51"), ("3", "assigned:11:51"), ("4", ""), ("5", "assigned:300008:300048"), ("None", "assigned:8:48")]
+    left = secrets.redact(docs)
+    assert left.columns == docs.columns
+    by = {r.doc_id: r for r in left.collect()}
+    assert by[3].text == 'é token = "[ASSIGNED]" end' and by[3].n_chars == len(by[3].text)
+    assert by[4].text == rows[4][1] and by[4].n_chars == 5 and by[1].text is None
+    assert secrets.find_secrets(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+    assert secrets.find_secrets(docs.select("doc_id", "text")).count() == len(rows)
