@@ -1,4 +1,4 @@
 """All registered queries of the reference's operators."""
 
-from tessera.plans import rollout_queries, series_queries  # noqa: F401
+from tessera.plans import rollout_queries, series_queries, text_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401
