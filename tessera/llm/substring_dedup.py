@@ -30,7 +30,9 @@ from tessera.llm.suffix_blocks import windows_of_others
 K = 24
 STEP = 1 << 20
 NO_ID = -(1 << 63)
-ROUTED = "key long, part long, ids binary, places binary, sizes binary, text binary"
+#: Buckets that a range of minimizers is sorted in, one after the other.
+BUCKETS = 16
+ROUTED = "key long, part long, ids binary, places binary, sizes binary, buckets binary, text binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -165,8 +167,11 @@ def repeated_spans(blocks: DataFrame, depth: int, ranges: int) -> DataFrame:
             known[i] = first.setdefault(bytes(data[a : a + n]), d) < d
         out: dict[str, list] = {n.split()[0]: [] for n in ROUTED.split(", ")}
 
+        fine = key_bounds(unique, ranges * BUCKETS)
+
         def add(key: int, some: np.ndarray, text: bytes | None) -> None:
-            for column, x in zip(out.values(), (key, part, pack(block.ids[block.doc_of(places[some])]), pack(places[some]), pack(sizes[some]), text), strict=True):
+            bucket = (np.searchsorted(fine, inverse[some], "right") - 1 - key * BUCKETS).astype("u1")
+            for column, x in zip(out.values(), (key, part, pack(block.ids[block.doc_of(places[some])]), pack(places[some]), pack(sizes[some]), pack(bucket), text), strict=True):
                 column.append(x)
 
         if known.any():
@@ -183,24 +188,29 @@ def repeated_spans(blocks: DataFrame, depth: int, ranges: int) -> DataFrame:
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         done = rows.filter(rows["text"].is_null())
         out = {n: done[n].to_pylist() for n in ("part", "places", "sizes")}
-        rows = rows.filter(rows["text"].is_valid())
-        if len(rows):
-            split = [zstandard.ZstdDecompressor().decompressobj().decompress(x.as_py()) for x in rows["text"]]
-            text = np.frombuffer(b"".join(split), "u1")
-            ids, places, sizes = (np.concatenate([unpack(x.as_py(), "i8") for x in rows[n]]) for n in ("ids", "places", "sizes"))
-            part = np.repeat(rows["part"].to_numpy(), [len(unpack(x.as_py(), "i8")) for x in rows["sizes"]])
+        sent = []
+        for row in rows.filter(rows["text"].is_valid()).to_pylist():
+            ids, places, sizes = (unpack(row[n], "i8") for n in ("ids", "places", "sizes"))
+            text = memoryview(zstandard.ZstdDecompressor().decompressobj().decompress(row["text"]))
+            ends = np.concatenate([[0], np.cumsum(sizes + depth - 1)])
+            edges = np.searchsorted(unpack(row["buckets"], "u1"), np.arange(BUCKETS + 1))
+            sent.append((row["part"], ids, places, sizes, text, ends, edges))
+        for k in range(BUCKETS):
+            some = [(part, ids[a:b], places[a:b], sizes[a:b], text[ends[a] : ends[b]]) for part, ids, places, sizes, text, ends, edges in sent for a, b in [edges[k : k + 2]] if a < b]
+            if not some:
+                continue
+            text = np.frombuffer(b"".join([x[4] for x in some]), "u1")
+            ids, places, sizes = (np.concatenate([x[n] for x in some]) for n in (1, 2, 3))
+            part = np.repeat([x[0] for x in some], [len(x[1]) for x in some])
             segment = np.repeat(np.arange(len(sizes)), sizes)
             within = np.arange(len(segment)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             bases = np.cumsum(sizes + depth - 1) - (sizes + depth - 1)
             gone = windows_of_others(text, bases[segment] + within, ids[segment], depth)
-            before = np.concatenate([[False], gone[:-1]]) & (within > 0)
-            begins = np.flatnonzero(gone & ~before)
-            run = np.cumsum(gone & ~before)
+            opens = gone & ~(np.concatenate([[False], gone[:-1]]) & (within > 0))
+            begins, run = np.flatnonzero(opens), np.cumsum(opens)
             lengths = np.bincount(run[gone] - 1, minlength=len(begins))
             parts, spots = part[segment[begins]], places[segment[begins]] + within[begins]
-            order = np.argsort(parts, kind="stable")
-            parts, spots, lengths = parts[order], spots[order], lengths[order]
-            edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
+            edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))  # parts come in order
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 out["part"].append(int(parts[a]))
                 out["places"].append(pack(spots[a:b]))
@@ -209,8 +219,8 @@ def repeated_spans(blocks: DataFrame, depth: int, ranges: int) -> DataFrame:
 
     held = blocks.groupBy("part").applyInArrow(minimizers, "key long, part long, ids binary, text binary")
     answers = held.groupBy("key").applyInArrow(shared, "key long, part long, ids binary")
-    sent = blocks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(send, ROUTED)
-    return sent.groupBy("key").applyInArrow(compare, "part long, places binary, sizes binary")
+    routed = blocks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(send, ROUTED)
+    return routed.groupBy("key").applyInArrow(compare, "part long, places binary, sizes binary")
 
 
 def _with_spans(docs: DataFrame, depth: int, block_bytes: int, id_col: str, text_col: str, finish, schema: str) -> DataFrame:

@@ -25,10 +25,7 @@ def leading_words(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on, as a number that orders like the bytes; zeros follow the text."""
     padded = np.concatenate([text, np.zeros(PAD + 8, "u1")])
     words = np.lib.stride_tricks.as_strided(padded, (len(text) + PAD, 8), (1, 1))
-    out = np.zeros(len(words), "u8")
-    for j in range(8):
-        out = (out << np.uint64(8)) | words[:, j]
-    return out
+    return words.copy().view(">u8").ravel().astype("u8")
 
 
 def refine(words: np.ndarray, at: np.ndarray, shifts: list[int]) -> tuple[np.ndarray, np.ndarray]:
