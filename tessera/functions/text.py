@@ -170,13 +170,13 @@ def word_chunks(text: Column, size: int = 256) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts after sentence ends, trimmed, none empty; the whole text if there is none."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
 def article_blocks(text: Column, least: int = 120, longest: int = 1200, most: int = 5) -> Column:
     """Lines that are no headers and long enough, cut to a length, the first few."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: (F.length(p) >= least) & ~p.startswith("="))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda p: (F.length(p) >= least) & ~p.startswith("="))
     return F.slice(F.transform(lines, lambda p: F.substring(p, 1, longest)), 1, most)
 
 

@@ -122,3 +122,8 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
 def error_class(status: Column) -> Column:
     """recoverable for 408, 429, 5xx and transport failures (null), fatal otherwise."""
     return F.when(status.isNull() | status.isin(408, 429) | status.between(500, 599), "recoverable").otherwise("fatal")
+
+
+def complete(returned: Column, expected: Column, cut: Column) -> Column:
+    """Whether all expected episodes came back and none was cut short."""
+    return (returned >= expected) & (cut == 0)

@@ -27,6 +27,12 @@ def hash_key(seed: int | str, *ids: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
+def drawn_places(df: DataFrame, seed: int, key: str, slots: int, total: int) -> DataFrame:
+    """(key, slot, place): for each row ``slots`` pseudo-random places below ``total``, repeats possible."""
+    spread = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    return spread.withColumn("place", F.conv(F.substring(hash_key(seed, key, "slot"), 1, 12), 16, 10).cast("long") % total)
+
+
 def seeded_shuffle(df: DataFrame, seed: int, key: str, name: str = "row") -> DataFrame:
     return with_row_number(df.withColumn("_h", hash_key(seed, key)), "_h", key, name=name).drop("_h")
 

@@ -73,6 +73,16 @@ def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n_queries"), F.avg(F.col("dcg") / F.col("idcg")).alias("ndcg"), F.avg(F.col("found") / F.col("relevant")).alias("recall"), F.avg("rr").alias("mrr"), F.avg(F.col("precisions") / F.col("relevant")).alias("map"))
 
 
+def rerank(recalled: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k of each query's recalled rows with the best cosine over whole vectors, ties by doc_id."""
+    side = lambda key, name: corpus.select(F.col("id").alias(key), F.transform("vector", lambda x: x.cast("double")).alias(name))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    both = recalled.select("qid", "doc_id").join(side("qid", "q"), "qid").join(side("doc_id", "d"), "doc_id")
+    scored = both.select("qid", "doc_id", F.round(dot("q", "d") / F.sqrt(dot("q", "q") * dot("d", "d")), 9).alias("score"))
+    by = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def rank_of_gold(run: DataFrame, gold: DataFrame) -> DataFrame:
     """(qid, rank) of each query's gold document, null if it isn't in the run."""
     return gold.join(run, ["qid", "doc_id"], "left").select("qid", "rank")

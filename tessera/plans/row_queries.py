@@ -78,9 +78,9 @@ def qrels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.qrels(spark, written(spark, rel, "qrels", sinks.write_qrels))
 
 
-@query("SELECT count(*) AS n_files, min(octet_length(text::BLOB))::BIGINT AS least FROM benchmark WHERE item_id < 8")
+@query("SELECT count(*) AS n_files, min(strlen(text))::BIGINT AS least FROM benchmark")
 def binary_files_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").where("item_id < 8").select("item_id", "text")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text")
     path = written(spark, rows, "files", lambda df, p: df.repartition(4).write.partitionBy("item_id").text(p))
     return readers.binary_files(spark, path, "*.txt").agg(F.count(F.lit(1)).alias("n_files"), (F.min("length") - 1).alias("least"))
 
@@ -147,7 +147,7 @@ def flatten_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(x) AS item FROM (SELECT doc_id, unnest(string_split(text, ',')) AS x FROM documents) WHERE trim(x) <> ''")
 def evidence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(parts).alias("item"))
 
 
@@ -193,12 +193,16 @@ def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.max("value") < 200).alias("low_max"), (F.avg("value") < 50).alias("low_avg"), F.bool_and(F.col("value") < 500).alias("low_all"))
 
 
-@query("WITH q AS (SELECT item_id FROM benchmark WHERE item_id < 10), c AS (SELECT doc_id FROM documents WHERE doc_id < 60), p AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY md5(concat('3:', item_id, ':', doc_id)), doc_id) AS n FROM q, c WHERE doc_id % 10 <> item_id) SELECT item_id, doc_id FROM p WHERE n <= 5")
+@query("""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM documents), q AS (SELECT item_id, unnest(range(8)) AS slot FROM benchmark),
+p AS (SELECT item_id, slot, doc_id FROM (SELECT item_id, slot, ('0x' || substr(md5(concat('3:', item_id, ':', slot)), 1, 12))::BIGINT % (SELECT count(*) FROM documents) AS place FROM q) JOIN c USING (place)),
+f AS (SELECT item_id, doc_id, min(slot) AS slot FROM p WHERE doc_id % 10 <> item_id % 10 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY slot) AS n FROM f) SELECT item_id, doc_id FROM r WHERE n <= 5""")
 def distractor_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id")
-    pool = q.join(table(spark, sf_dir, "documents").where("doc_id < 60").select("doc_id"), F.col("doc_id") % 10 != F.col("item_id"))
-    by = W.partitionBy("item_id").orderBy(R.hash_key(3, "item_id", "doc_id"), "doc_id")
-    return pool.withColumn("n", F.row_number().over(by)).where("n <= 5").select("item_id", "doc_id")
+    """Up to five documents for each item that aren't its own: drawn by place, so items meet documents in an equi-join."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    drawn = R.drawn_places(table(spark, sf_dir, "benchmark").select("item_id"), 3, "item_id", 8, docs.count())
+    met = drawn.join(R.with_row_number(docs, "doc_id", name="place"), "place").where("doc_id % 10 <> item_id % 10")
+    first = met.groupBy("item_id", "doc_id").agg(F.min("slot").alias("slot"))
+    return first.withColumn("n", F.row_number().over(W.partitionBy("item_id").orderBy("slot"))).where("n <= 5").select("item_id", "doc_id")
 
 
 @query("WITH p AS (SELECT event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY event_type) SELECT event_type, round(n / 60.0, 6) + 0.0::DOUBLE AS per_second, round(CASE WHEN m > 0 THEN n / m END, 6) + 0.0 AS ratio FROM p")
@@ -293,18 +297,18 @@ def turn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.classify_turns(rows, "conv_id", "turn", "f").select("conv_id", "turn", "kind")
 
 
-@query("""WITH RECURSIVE n AS (SELECT event_id AS node, CASE WHEN event_id >= 3 THEN event_id // 3 END AS parent FROM events WHERE event_id BETWEEN 1 AND 120), leaf AS (SELECT node FROM n WHERE node NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL)),
+@query("""WITH RECURSIVE n AS (SELECT event_id AS node, CASE WHEN event_id >= 3 THEN event_id // 3 END AS parent FROM events), leaf AS (SELECT node FROM n WHERE node NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL)),
 p AS (SELECT l.node AS leaf, n.node, n.parent, 0 AS up FROM leaf l JOIN n ON n.node = l.node UNION ALL SELECT p.leaf, n.node, n.parent, p.up + 1 FROM p JOIN n ON n.node = p.parent)
 SELECT leaf, (max(up) OVER (PARTITION BY leaf) - up)::INT AS position, node, leaf = min(leaf) OVER (PARTITION BY node) AS owns FROM p""")
 def trajectory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "events").where("event_id between 1 and 120").select(F.col("event_id").alias("node"), F.when(F.col("event_id") >= 3, F.floor(F.col("event_id") / 3)).alias("parent"))
-    return X.tree_paths(nodes, "node", "parent", 8)
+    nodes = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.when(F.col("event_id") >= 3, F.floor(F.col("event_id") / 3)).alias("parent"))
+    return X.tree_paths(nodes, "node", "parent", 16)
 
 
-@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 10 = 0 AND d.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 4")
+@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 100 = 0 AND d.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 4")
 def filtered_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return rounded(V.cosine_top_k(e.where("id % 10 = 0").select("id", "vector"), e.where("label = 3").select("id", "vector"), 4))
+    return rounded(V.cosine_top_k(e.where("id % 100 = 0").select("id", "vector"), e.where("label = 3").select("id", "vector"), 4))
 
 
 @query("SELECT l_orderkey, l_linenumber, sum(l_quantity) AS used, least(greatest(sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 0), 100) AS cursor FROM lineitem GROUP BY ALL")
@@ -330,6 +334,6 @@ def instruction_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("instruct: find\nquery: "), "text").alias("prompted"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(left(text, 400)), '[a-z]+'))) AS words FROM documents")
+@query("SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS words FROM documents")
 def distinct_sorted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(400))), F.lit("([a-z]+)"), F.lit(1)))).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("words"))

@@ -226,51 +226,51 @@ def last_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrays(spark, sf_dir).select("l_orderkey", A.last_subsequence(F.col("m"), F.array(F.lit(1), F.lit(0))).cast("long").alias("start"))
 
 
-@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 5")
+@query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 5")
 def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return rounded(V.cosine_top_k(e.where("id % 10 = 0"), e, 5))
+    return rounded(V.cosine_top_k(e.where("id % 100 = 0"), e, 5))
 
 
-@query("WITH e AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 3")
+@query("WITH e AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 3")
 def resized_embedding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return rounded(V.cosine_top_k(e.where("id % 10 = 0"), e, 3, dims=16))
+    return rounded(V.cosine_top_k(e.where("id % 100 = 0"), e, 3, dims=16))
 
 
-RUN_SQL = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, q.label AS ql, d.vec_id AS doc_id, d.label AS dl, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s), t AS (SELECT *, (ql = dl)::INT AS hit FROM r WHERE rank <= 50)"
+RUN_SQL = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, q.label AS ql, d.vec_id AS doc_id, d.label AS dl, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s), t AS (SELECT *, (ql = dl)::INT AS hit FROM r WHERE rank <= 50)"
 
 
 def retrieval_run(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
     raw = table(spark, sf_dir, "embeddings")
     e = raw.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    top = V.cosine_top_k(e.where("id % 10 = 0"), e, k + 1).where("qid <> doc_id")
+    top = V.cosine_top_k(e.where("id % 100 = 0"), e, k + 1).where("qid <> doc_id")
     from pyspark.sql import Window as W
 
     run = top.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    q = raw.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "label")
+    q = raw.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
     qrels = q.join(raw.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("qid <> doc_id").select("qid", "doc_id", F.lit(1).alias("rel"))
     return run, qrels
 
 
-@query(f"WITH {RUN_SQL}, u AS (SELECT *, sum(hit) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM t), p AS (SELECT qid, sum(CASE WHEN rank <= 10 THEN hit / log2(rank + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) AS found, max(CASE WHEN hit = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) AS prec FROM u GROUP BY qid), i AS (SELECT q.vec_id AS qid, count(*) AS relevant FROM e q JOIN e d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 10 = 0 GROUP BY q.vec_id), j AS (SELECT qid, relevant, list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda x: 1.0 / log2(x + 1.0))) AS idcg FROM i) SELECT count(*) AS n_queries, round(avg(dcg / idcg), 5) + 0.0 AS ndcg, round(avg(found / relevant), 5) + 0.0 AS recall, round(avg(rr), 5) + 0.0 AS mrr, round(avg(prec / relevant), 5) + 0.0 AS map FROM p JOIN j USING (qid)")
+@query(f"WITH {RUN_SQL}, u AS (SELECT *, sum(hit) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM t), p AS (SELECT qid, sum(CASE WHEN rank <= 10 THEN hit / log2(rank + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) AS found, max(CASE WHEN hit = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) AS prec FROM u GROUP BY qid), i AS (SELECT q.vec_id AS qid, count(*) AS relevant FROM e q JOIN e d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id), j AS (SELECT qid, relevant, list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda x: 1.0 / log2(x + 1.0))) AS idcg FROM i) SELECT count(*) AS n_queries, round(avg(dcg / idcg), 5) + 0.0 AS ndcg, round(avg(found / relevant), 5) + 0.0 AS recall, round(avg(rr), 5) + 0.0 AS mrr, round(avg(prec / relevant), 5) + 0.0 AS map FROM p JOIN j USING (qid)")
 def recall_mrr_ndcg_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.ranking_metrics(*retrieval_run(spark, sf_dir)), 5)
 
 
 @query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), n AS (SELECT count(*) AS n FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM c GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
-q AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id < 10), qc AS (SELECT qid, w, count(*) AS q FROM q GROUP BY ALL),
+q AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), qc AS (SELECT qid, w, count(*) AS q FROM q GROUP BY ALL),
 s AS (SELECT qid, doc_id, round(sum(q * tf * (ln((n + 1.0) / (df + 1)) + 1)), 3) AS score FROM qc JOIN tf USING (w) JOIN df USING (w), n GROUP BY qid, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT qid, doc_id, score + 0.0 AS score, rank FROM r WHERE rank <= 5""")
 def tfidf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("words")
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("qid"), words)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words)
     return V.tfidf_top_k(queries, table(spark, sf_dir, "documents").select("doc_id", words), 5)
 
 
-@query("WITH q AS (SELECT doc_id AS qid, doc_id, 1 AS rel, text FROM documents WHERE doc_id % 20 = 0) SELECT q.qid, d.doc_id, max(rel) AS rel FROM q JOIN documents d ON d.text = q.text GROUP BY ALL")
+@query("WITH q AS (SELECT doc_id AS qid, doc_id, 1 AS rel, text FROM documents WHERE doc_id % 100 = 0) SELECT q.qid, d.doc_id, max(rel) AS rel FROM q JOIN documents d ON d.text = q.text GROUP BY ALL")
 def twin_expand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return V.twin_expand(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "doc_id", F.lit(1).alias("rel")), docs)
+    return V.twin_expand(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "doc_id", F.lit(1).alias("rel")), docs)
 
 
 @query("SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")

@@ -62,6 +62,15 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def discovered(spark: SparkSession, path: str, pattern: str, schema: str) -> DataFrame:
+    """Rows of the JSON files below a folder, with each one's ``path``; a file that is found twice is an error."""
+    files = binary_files(spark, path, pattern).groupBy(F.regexp_replace("path", "/+", "/").alias("p")).count()
+    if not files.where("count > 1").isEmpty():
+        raise ValueError(f"a file below {path} is found twice")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
+    return rows.withColumn("path", F.col("_metadata.file_path"))
+
+
 def data_uris(files: DataFrame, mime: str) -> DataFrame:
     return files.select("path", F.concat(F.lit(f"data:{mime};base64,"), F.base64("content")).alias("uri"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,3 +46,38 @@ def preview(df: DataFrame, worker: str, order: str, n: int) -> DataFrame:
     """n rows, in turn from each worker's rows."""
     by = W.partitionBy(worker).orderBy(order)
     return df.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).orderBy("_n", worker).limit(n).drop("_n")
+
+
+def write_json_array(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """JSON arrays of about ``rows_per_file`` records, each in a folder of its own (column ``share`` when read)."""
+    files = max(1, -(-df.count() // rows_per_file))
+    share = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    one = df.groupBy(share.alias("share")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    one.write.mode("overwrite").partitionBy("share").text(path)
+
+
+def write_counted(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> int:
+    """Write and return the number of rows, counted while they are written."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
+
+
+class AppendLog:
+    """Appended Parquet segments that can be read once the log is sealed."""
+
+    def __init__(self, path: str):
+        self.path, self.sealed = path, False
+
+    def append(self, df: DataFrame) -> None:
+        if self.sealed:
+            raise ValueError("the log is sealed")
+        df.write.mode("append").parquet(self.path)
+
+    def seal(self) -> None:
+        self.sealed = True
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        if not self.sealed:
+            raise ValueError("the log isn't sealed yet")
+        return spark.read.parquet(self.path)
