@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch
+
 
 def with_row_number(df: DataFrame, *order: Column | str, name: str = "row") -> DataFrame:
     """A dense 0-based number in the given order, without bringing all rows to one task.
 
-    Rows are range-partitioned by the order; each range's numbers start where the counts of the ranges
+    Rows are range-partitioned by the order and written to the shared folder (the ranges come from a
+    sample, so they must not be drawn again); each range's numbers start where the counts of the ranges
     before it end, and there is one count for each shuffle partition.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, "ordered")
+    df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    ordered = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("_part", before.alias("_base"))
-    return ordered.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
+    return ordered.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
 
 
 def hash_key(seed: int | str, *ids: str) -> Column:

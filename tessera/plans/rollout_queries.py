@@ -13,13 +13,13 @@ from tessera.plans.registry import query, table
 ADV_SQL = "(reward - avg(reward) OVER g) / (CASE WHEN stddev_samp(reward) OVER g < 1e-8 THEN 1.0 ELSE stddev_samp(reward) OVER g END + 1e-8)"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, minus zero made zero, so that values compare over engines."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, minus zero made zero, so that values compare over engines; a nudge keeps exact halves apart."""
+    return df.select(*[(F.round(F.col(c) + nudge, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-def tidy(names: str, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names.split())
+def tidy(names: str, digits: int = 6, nudge: float = 0.0) -> str:
+    return ", ".join(f"round({n} + {nudge!r}, {digits}) + 0.0 AS {n}" for n in names.split())
 
 
 @query(f"WITH r AS ({D.ROLLOUTS_SQL}), a AS (SELECT *, {ADV_SQL} AS advantage, min(reward) OVER g AS lo, max(reward) OVER g AS hi FROM r WINDOW g AS (PARTITION BY grp)) SELECT grp, run, reward, {tidy('advantage')} FROM a WHERE advantage IS NOT NULL AND lo <> hi")
@@ -57,9 +57,9 @@ def turn_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.turn_advantages(D.turns(spark, sf_dir), "grp", "rollout", "turn", "ig", "outcome"), 5)
 
 
-@query(f"WITH t AS ({D.TURNS_SQL}) SELECT a.rollout, a.turn, round(sum(b.ig * power(0.9, b.turn - a.turn)), 6) + 0.0 AS ret FROM t a JOIN t b ON a.rollout = b.rollout AND b.turn >= a.turn GROUP BY a.rollout, a.turn")
+@query(f"WITH t AS ({D.TURNS_SQL}) SELECT a.rollout, a.turn, round(sum(b.ig * power(0.9, b.turn - a.turn)) + 1e-9, 6) + 0.0 AS ret FROM t a JOIN t b ON a.rollout = b.rollout AND b.turn >= a.turn GROUP BY a.rollout, a.turn")
 def discounted_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.discounted_returns(D.turns(spark, sf_dir), "rollout", "turn", "ig", 0.9))
+    return rounded(G.discounted_returns(D.turns(spark, sf_dir), "rollout", "turn", "ig", 0.9), 6, 1e-9)
 
 
 @query(f"WITH t AS ({D.TURNS_SQL}) SELECT rollout, turn, round(ig - coalesce(lag(ig) OVER (PARTITION BY rollout ORDER BY turn), 0.3), 6) + 0.0 AS gain FROM t")
@@ -130,9 +130,9 @@ def inference_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.inference_drift(D.tokens(spark, sf_dir)))
 
 
-@query(f"WITH t AS ({D.TOKENS_SQL}), s AS (SELECT sample, count(*) AS n, avg(abs(inf - pi)) AS mean_abs, max(abs(inf - pi)) AS max_abs, avg(inf - pi) AS k1, avg((inf - pi) * (inf - pi) / 2) AS k2, avg(exp(inf - pi) - 1 - (inf - pi)) AS k3 FROM t GROUP BY sample) SELECT sample, n, {tidy('mean_abs max_abs k1 k2 k3')}, CASE WHEN mean_abs < 0.01 THEN 'PASS' WHEN mean_abs < 0.1 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM s")
+@query(f"WITH t AS ({D.TOKENS_SQL}), s AS (SELECT sample, count(*) AS n, avg(abs(inf - pi)) AS mean_abs, max(abs(inf - pi)) AS max_abs, avg(inf - pi) AS k1, avg((inf - pi) * (inf - pi) / 2) AS k2, avg(exp(inf - pi) - 1 - (inf - pi)) AS k3 FROM t GROUP BY sample) SELECT sample, n, {tidy('mean_abs max_abs k1 k2 k3', 9, 1e-11)}, CASE WHEN mean_abs < 0.01 THEN 'PASS' WHEN mean_abs < 0.1 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM s")
 def logprob_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(O.logprob_compare(D.tokens(spark, sf_dir)))
+    return rounded(O.logprob_compare(D.tokens(spark, sf_dir)), 9, 1e-11)
 
 
 PAIRS_SQL = f"WITH t AS ({D.TOKENS_SQL}), s AS (SELECT sample, sum(pi) AS pi, sum(ref) AS ref, avg(pi) AS mean FROM t WHERE mask > 0 GROUP BY sample), p AS (SELECT c.pi AS pi_c, c.ref AS ref_c, r.pi AS pi_r, r.ref AS ref_r, c.mean AS mean_c, r.mean AS mean_r FROM s c JOIN s r ON r.sample = c.sample + 1 WHERE c.sample % 2 = 0)"

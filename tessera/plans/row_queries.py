@@ -311,7 +311,7 @@ def filtered_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.cosine_top_k(e.where("id % 100 = 0").select("id", "vector"), e.where("label = 3").select("id", "vector"), 4))
 
 
-@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) AS used, least(greatest(sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 0), 100) AS cursor FROM lineitem GROUP BY ALL")
+@query("WITH g AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS used FROM lineitem GROUP BY ALL) SELECT *, least(greatest(sum(used) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING), 0), 100) AS cursor FROM g")
 def raw_row_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("used"))
     by = W.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(W.unboundedPreceding, 0)

@@ -172,14 +172,14 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderpriority").alias("model"), (F.col("o_totalprice") / 200000).alias("score"))
 
 
-@query(f"WITH t AS ({TRIALS_SQL}) SELECT task, model, round(greatest(0.0, least(1.0, avg(score))), 6) + 0.0 AS score, count(*) AS n_samples FROM t GROUP BY task, model")
+@query(f"WITH t AS ({TRIALS_SQL}) SELECT task, model, round(greatest(0.0, least(1.0, avg(score))) + 1e-11, 9) + 0.0 AS score, count(*) AS n_samples FROM t GROUP BY task, model")
 def mean_then_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.mean_then_clip(trials(spark, sf_dir), ["task", "model"], "score"))
+    return rounded(E.mean_then_clip(trials(spark, sf_dir), ["task", "model"], "score"), 9, 1e-11)
 
 
-@query(f"WITH t AS ({TRIALS_SQL}) SELECT coalesce(model, '(all)') AS model, round(greatest(0.0, least(1.0, avg(score))), 6) + 0.0 AS score, count(*) AS n_samples FROM t GROUP BY GROUPING SETS ((), (model))")
+@query(f"WITH t AS ({TRIALS_SQL}) SELECT coalesce(model, '(all)') AS model, round(greatest(0.0, least(1.0, avg(score))), 9) + 0.0 AS score, count(*) AS n_samples FROM t GROUP BY GROUPING SETS ((), (model))")
 def aggregate_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.by_model_and_overall(trials(spark, sf_dir), "model", "score"))
+    return rounded(E.by_model_and_overall(trials(spark, sf_dir), "model", "score"), 9)
 
 
 @query(f"WITH t AS ({TRIALS_SQL}) SELECT task, count(*) AS attempts FROM t GROUP BY task HAVING count(*) <> 10")
