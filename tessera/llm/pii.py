@@ -280,7 +280,7 @@ def field_spans(text: str, base: list[Span], model: SkipChain, sure: float) -> l
 def find(text: str, model: SkipChain, sure: float = 0.9) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text."""
     base = base_spans(text)
-    return base, sorted(base + field_spans(text, base, model, sure)) if base else base
+    return base, sorted(base + field_spans(text, base, model, sure))
 
 
 def listed(spans: list[Span]) -> str:
@@ -293,7 +293,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def find_pii(docs: DataFrame, sure: float = 0.9, sentences: int = 1500, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256, spans (kind:start:end, in code points) of each row.
 
-    The field spreads what the patterns found within a document, so texts without a base span get none.
+    The field labels the tokens of every text, and spreads what it is sure of within a document.
     Null and empty texts have no spans.  Rows that repeat are labelled alike, null ids are kept, an
     empty table gives an empty result.
     """
