@@ -7,7 +7,6 @@ distinct items and putting ids together run over whole Arrow columns; Python see
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -15,66 +14,110 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Items that a worker keeps with their ids; beyond it, new items are encoded in each batch anew.
-CACHE_ITEMS = 400_000
+#: Items that a worker keeps with their ids; with more it begins anew.
+CACHE_ITEMS = 1_000_000
+#: Punctuation that is cut off an item's end.
+TAIL = ",.;:!?"
+#: Items that go to the library in one call.
+TOGETHER = 200
 #: White space with a space after it: there a byte-level tokenizer's pieces reach over the space.
 LOOSE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of 32-bit numbers as binary values."""
+    offsets = np.concatenate([[0], ends]).astype("i4") * 4
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of binary values and the offsets of each into them."""
+    offsets = np.frombuffer(values.buffers()[1], "i4")[values.offset : values.offset + len(values) + 1].astype("i8") // 4
+    data = values.buffers()[2]
+    return np.frombuffer(data, "<u4")[offsets[0] : offsets[-1]] if data else np.zeros(0, "<u4"), offsets - offsets[0]
+
+
 class Items:
     """ids(): the ids of each text of a column, as one array and the texts' offsets into it.
 
-    ``encode`` maps distinct strings to little-endian 32-bit ids.  With ``spaced``, an item carries the
-    space before it (byte-level vocabularies); texts where white space precedes a space go through whole.
+    ``encode`` gives the ids of distinct strings, put together, and how many each has; known ones stay
+    in tables until there are too many.  Punctuation after a letter or digit is a piece of its own in
+    both tokenizers, so an item is put together from what stands before it and it.  With ``spaced``, an
+    item carries the space before it (byte-level vocabularies); texts where white space precedes a
+    space go through whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaced: bool):
         self.encode, self.spaced = encode, spaced
-        self.cache: dict[str, bytes] = {}
-        gc.disable()  # the caches hold no cycles, and scanning them costs more than the work itself
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty tables: by the mark that items carry before them, the items and their ids."""
+        self.held = {mark: pa.array([], pa.string()) for mark in ("", " ")}
+        self.codes = {mark: pa.array([], pa.binary()) for mark in ("", " ")}
 
-    def codes(self, items: list[str], mark: str) -> list[bytes]:
+    def fresh(self, items: list[str]) -> pa.Array:
+        ids, sizes = self.encode(items)
+        return binary(ids, np.cumsum(sizes))
+
+    def known(self, items: pa.Array, mark: str) -> pa.Array:
         """Ids of distinct items, each with ``mark`` before it."""
-        keys = [mark + x for x in items] if mark else items
-        found = list(map(self.cache.get, keys))
-        missing = [k for k, got in zip(keys, found, strict=True) if got is None]
-        if missing:
-            new = iter(made := self.encode(missing))
-            found = [next(new) if got is None else got for got in found]
-            if len(self.cache) < CACHE_ITEMS:
-                self.cache.update(zip(missing, made, strict=True))
-        return found
+        at = pc.index_in(items, value_set=self.held[mark])
+        if not at.null_count:
+            return self.codes[mark].take(at)
+        new = items.filter(at.is_null())
+        codes = self.composed(new, mark)
+        place = pc.fill_null(at, -1).to_numpy().astype("i8")
+        first = len(self.held[mark])
+        place[place < 0] = np.arange(first, first + len(new))
+        self.held[mark] = pa.concat_arrays([self.held[mark], new])
+        self.codes[mark] = pa.concat_arrays([self.codes[mark], codes])
+        return self.codes[mark].take(pa.array(place))
+
+    def composed(self, items: pa.Array, mark: str) -> pa.Array:
+        stem = pc.ascii_rtrim(items, TAIL)
+        cut = pc.and_(pc.not_equal(pc.binary_length(stem), pc.binary_length(items)), pc.match_substring_regex(stem, r"[\pL\pN]$")).to_numpy(zero_copy_only=False)
+        mask = pa.array(cut)
+        whole = [mark + x for x in items.filter(pc.invert(mask)).to_pylist()]
+        parts = [self.fresh(whole)] if whole else []
+        if cut.any():
+            stems = stem.filter(mask).dictionary_encode()
+            tails = pc.struct_field(pc.extract_regex(items.filter(mask), f"(?P<tail>[{TAIL}]+)$"), "tail").dictionary_encode()
+            spelled = lambda coded, m: self.known(coded.dictionary, m).take(coded.indices)
+            parts.append(pc.binary_join_element_wise(spelled(stems, mark), spelled(tails, ""), b""))
+        place = np.empty(len(items), "i8")
+        place[~cut], place[cut] = np.arange(len(whole)), np.arange(len(whole), len(items))
+        return pa.concat_arrays(parts).take(pa.array(place))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        loose = np.zeros(len(texts), bool)
+        if sum(map(len, self.held.values())) > CACHE_ITEMS:
+            self.forget()
+        mark, loose = " " if self.spaced else "", np.zeros(len(texts), bool)
         if self.spaced:
             loose = pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(loose), "", texts) if loose.any() else texts, " ")
         starts = split.offsets.to_numpy().astype("i8")
         starts, flat = starts - starts[0], split.flatten()
         coded = flat.dictionary_encode()
-        which = coded.indices.to_numpy().astype("i8")
-        found = self.codes(coded.dictionary.to_pylist(), " " if self.spaced else "")
+        codes, at = [self.known(coded.dictionary, mark)], coded.indices.to_numpy().astype("i8")
         if self.spaced:  # the first item of a text has no space before it
             first = flat.take(pa.array(starts[:-1])).dictionary_encode()
-            which[starts[:-1]] = first.indices.to_numpy().astype("i8") + len(found)
-            found = found + self.codes(first.dictionary.to_pylist(), "")
+            at[starts[:-1]] = len(codes[0]) + first.indices.to_numpy()
+            codes.append(self.known(first.dictionary, ""))
         if loose.any():
-            at = np.flatnonzero(loose)
-            which[starts[at]] = np.arange(len(at)) + len(found)
-            found = found + self.encode(texts.take(pa.array(at)).to_pylist())
-        sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        pool = np.frombuffer(b"".join(found), "<u4")
-        n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(begins[which] - ends[:-1], n)
-        take += np.arange(ends[-1])
-        return pool[take], ends[starts]
+            at[starts[:-1][loose]] = sum(map(len, codes)) + np.arange(np.count_nonzero(loose))
+            codes.append(self.fresh(texts.filter(pa.array(loose)).to_pylist()))
+        found, ends = numbers(pa.concat_arrays(codes).take(pa.array(at)))
+        return found, ends[starts]
 
 
 def library_items(path: str, spaced: bool) -> Items:
-    """Distinct items by the tokenizers library, single-threaded: Spark deals out the work."""
+    """Distinct items by the tokenizers library, single-threaded: Spark deals out the work.
+
+    Some hundred items go through one call.  Those that begin with a space and end without white space
+    stand one after the other, and a token that opens with a space opens an item; between others
+    stands an added token, at which the library cuts a text before anything else.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
     from tokenizers import Tokenizer
@@ -82,12 +125,36 @@ def library_items(path: str, spaced: bool) -> Items:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-
-    def encode(items: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(items), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(items[i : i + 20_000], add_special_tokens=False)]
-        return out
+    added = library.get_added_tokens_decoder()
+    between, token = next((i, t) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+    vocabulary = library.get_vocab()
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
+    opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies spell a space
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found, sizes = [], []
+        for i in range(0, len(items), TOGETHER):
+            some = items[i : i + TOGETHER]
+            text = "".join(some)
+            plain = not any(t.content in text for t in added.values())
+            if plain and spaced and text.count(" ") == len(some) and all(x[0] == " " and not x[-1].isspace() for x in some):
+                ids = ids_of(text)
+                starts = np.flatnonzero(opens[ids])
+                found.append(ids)
+                sizes.append(np.diff(np.append(starts, len(ids))))
+            elif plain:
+                ids = ids_of(token.content.join(some))
+                cuts = np.flatnonzero(ids == between)
+                found.append(np.delete(ids, cuts))
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            else:
+                each = [ids_of(x) for x in some]
+                found += each
+                sizes.append(np.array(list(map(len, each)), "i8"))
+        return np.concatenate(found), np.concatenate(sizes)
 
     return Items(encode, spaced)
 
@@ -102,7 +169,7 @@ def once(make: Callable[..., Items], *args) -> Items:
     return _LOADED[make, args]
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[slice]:
+def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[slice]:
     """Row ranges of about ``most`` bytes, so that a batch of long texts is worked on in steps."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
     begin = 0

@@ -171,7 +171,12 @@ def joined(names: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def trie_items(path: str) -> Items:
     coder = WordTokenizer(path)
-    items = Items(coder.encode, spaced=False)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = coder.encode(texts)
+        return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), "i8", len(codes)) // 4
+
+    items = Items(encode, spaced=False)
     items.coder = coder
     return items
 

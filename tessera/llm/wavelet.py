@@ -33,11 +33,13 @@ def build_shard(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, levels:
     values = ids.astype("u2" if levels <= 16 else "u4")
     blocks, zeros = [squeeze(doc_ids.astype("<i8").tobytes()), squeeze(sizes.astype("<i8").tobytes())], []
     for level in range(levels - 1, -1, -1):
-        bit = ((values >> level) & 1).astype(bool)
-        blocks.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
-        low, high = values[~bit], values[bit]
-        zeros.append(len(low))
-        values = np.concatenate([low, high])
+        bit = (values & values.dtype.type(1 << level)) != 0
+        blocks.append(squeeze(np.packbits(bit, bitorder="little")))
+        zeros.append(len(bit) - int(np.count_nonzero(bit)))
+        below = np.empty_like(values)
+        np.compress(~bit, values, out=below[: zeros[-1]])
+        np.compress(bit, values, out=below[zeros[-1] :])
+        values = below
     head = struct.pack("<4sIQQ", MAGIC, levels, len(doc_ids), len(ids))
     return head + struct.pack(f"<{levels}Q{len(blocks)}Q", *zeros, *map(len, blocks)) + b"".join(blocks)
 
@@ -129,23 +131,24 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids, put together from the lowest plane up."""
-        values = np.zeros(self.n, "<u4")
+        values = np.zeros(self.n, "<u2" if self.levels <= 16 else "<u4")
         for k in range(self.levels - 1, -1, -1):
-            bit = np.unpackbits(np.frombuffer(self.block(k + 2), "u1"), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(np.frombuffer(self.block(k + 2), "u1"), count=self.n, bitorder="little").view(bool)
+            values[self.zeros[k] :] |= values.dtype.type(1 << (self.levels - 1 - k))
             above = np.empty_like(values)
-            above[~bit] = values[: self.zeros[k]]
-            above[bit] = values[self.zeros[k] :] | np.uint32(1 << (self.levels - 1 - k))
+            np.place(above, ~bit, values[: self.zeros[k]])
+            np.place(above, bit, values[self.zeros[k] :])
             values = above
-        return values
+        return values.astype("<u4")
 
 
 def write_shards(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, levels: int = 16, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, levels: int = 16, shard_bytes: int = 16 << 20, shard_ids: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Encode documents in ascending id order into shards at ``path``; each document ends with ``end_id``.
 
-    Documents are dealt out by id ranges of about ``shard_bytes`` of text, and a shard ends early where
-    it holds that many ids.  Null texts are empty, null ids come first, rows that share an id go by text.
+    Documents are dealt out by id ranges of about ``shard_bytes`` of text, and a part's shard ends where
+    it holds ``shard_ids`` ids.  Null texts are empty, null ids come first, rows that share an id go by text.
     """
     rows = id_and_text(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -153,7 +156,7 @@ def write_shards(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = once(library_items, tokenizer_path, True)
-        part, seq, held, sizes, doc_ids = TaskContext.get().partitionId(), 0, [], [], []
+        part, seq, n, held, sizes, doc_ids = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
             block = build_shard(np.array(doc_ids, "i8"), np.array(sizes, "i8"), np.concatenate(held), levels)
@@ -162,13 +165,14 @@ def write_shards(
         for batch in batches:
             for at in slices(batch["text"]):
                 ids, offsets = items.ids(batch["text"][at])
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for doc_id, a, b in zip(batch["doc_id"][at].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     held += [ids[a:b], end]
-                sizes += (np.diff(offsets) + 1).tolist()
-                doc_ids += [NO_ID if d is None else d for d in batch["doc_id"][at].to_pylist()]
-                if sum(sizes) >= shard_bytes // 2:
-                    yield flush()
-                    seq, held, sizes, doc_ids = seq + 1, [], [], []
+                    sizes.append(b - a + 1)
+                    doc_ids.append(NO_ID if doc_id is None else doc_id)
+                    n += b - a + 1
+                    if n >= shard_ids:
+                        yield flush()
+                        seq, n, held, sizes, doc_ids = seq + 1, 0, [], [], []
         if sizes:
             yield flush()
 
@@ -182,9 +186,10 @@ NO_ID = -(1 << 63)
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document in the shards."""
     shards = spark.read.parquet(path)
-    # One small row for each shard of millions of ids.
-    before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    bases = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    sizes = shards.select("part", "seq", "n_tokens")
+    upto = lambda by: F.coalesce(F.sum("n_tokens").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", upto(W.orderBy("part")).alias("_base"))  # one row for each part
+    bases = sizes.withColumn("_at", upto(W.partitionBy("part").orderBy("seq"))).join(parts, "part").select("part", "seq", (F.col("_base") + F.col("_at")).alias("base"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
