@@ -52,3 +52,11 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, salt
     pairs = salted.select(key, "_salt").distinct()
     resolved = pairs.join(table, key)
     return salted.join(resolved, [key, "_salt"], "left").drop("_salt")
+
+
+def without(docs: DataFrame, id_col: str, losers: DataFrame, digest: Column | None = None) -> DataFrame:
+    """docs less the rows whose id (and digest, if given) is among the losers'; docs may have columns of any names."""
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).cast("long").alias("row_id"), (F.lit("") if digest is None else digest).alias("row_digest"))
+    wanted = losers.select(F.col("doc_id").alias("loser_id"), (F.lit("") if digest is None else F.col("text_sha256")).alias("loser_digest"))
+    same = F.col("row_id").eqNullSafe(F.col("loser_id")) & (F.col("row_digest") == F.col("loser_digest"))
+    return rows.join(wanted, same, "left_anti").select("row.*")

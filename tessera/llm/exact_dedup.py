@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, id_and_text, named
+from tessera.llm._common import checkpointed, id_and_text, named, without
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -55,6 +55,5 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """docs without the rows that repeat another's normalised text; all columns stay."""
-    losers = exact_duplicates(docs, id_col, text_col, salts).where("not kept").select(F.col("doc_id").alias("_loser"), F.col("text_sha256").alias("_digest"))
-    same = named(id_col).cast("long").eqNullSafe(F.col("_loser")) & (F.sha2(normalised(F.coalesce(named(text_col), F.lit(""))), 256) == F.col("_digest"))
-    return docs.join(losers, same, "left_anti")
+    losers = exact_duplicates(docs, id_col, text_col, salts).where("not kept").select("doc_id", "text_sha256").distinct()
+    return without(docs, id_col, losers, F.sha2(normalised(F.coalesce(named(text_col), F.lit(""))), 256))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, hot_lookup, id_and_text, named
+from tessera.llm._common import checkpointed, hot_lookup, id_and_text, without
 from tessera.llm.components import connected_components
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -141,5 +141,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, that of the least id; rows with null ids stay; all columns stay."""
-    losers = near_duplicates(docs, words, distance, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, named(id_col).cast("long") == F.col("_loser"), "left_anti")
+    losers = near_duplicates(docs, words, distance, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, id_col, losers)
