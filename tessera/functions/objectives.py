@@ -152,3 +152,18 @@ def learning_rate(step: Column, peak: float, warmup: int, total: int, kind: str
     done = clamp((step - warmup) / float(max(1, total - warmup)), 0, 1)
     after = {"constant": F.lit(peak), "linear": peak + (floor - peak) * done, "cosine": floor + (peak - floor) * (1 + F.cos(F.lit(3.141592653589793) * done)) / 2}[kind]
     return F.when(step < warmup, peak * (step + 1) / float(max(1, warmup))).otherwise(after)
+
+
+def turn_policy_loss(tokens: DataFrame, beta: float = 0.001, clip: float = 0.2) -> DataFrame:
+    """One row for per-token advantages: loss (sum), mean_kl over active tokens, token counts and their ratio.
+
+    The importance weight has no cap beyond the exponent's, and the penalty is beta * (pi - ref).
+    Samples without an active token are skipped.
+    """
+    active = F.col("mask") > 0.5
+    live = tokens.withColumn("_live", F.max(active).over(W.partitionBy("sample"))).where("_live")
+    surrogate, _ = _surrogate(F.exp(clamp(F.col("pi") - F.col("old"), -20, 20)), clip, clip)
+    gap = F.col("pi") - F.col("ref")
+    value = (surrogate * F.exp(clamp(F.col("old") - F.col("inf"), -20, 20)) + beta * gap) * F.col("mask")
+    n = F.count_if(active)
+    return live.agg(F.sum(value).alias("loss"), F.try_divide(F.sum(gap * F.col("mask")), n).alias("mean_kl"), n.alias("active_tokens"), F.count(F.lit(1)).alias("total_tokens"), F.try_divide(n, F.count(F.lit(1))).alias("mask_ratio"))

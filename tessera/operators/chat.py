@@ -24,6 +24,15 @@ def render(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), F.coalesce(m["role"], F.lit("user")), F.lit("|>\n"), F.coalesce(m["content"], F.lit("")))), "\n")
 
 
+def formatted(messages: Column, formats: dict[str, tuple[str, str, bool]]) -> Column:
+    """Array of (head, content, trained) by a chat format: text before and after each role's content, and whether it is trained.
+
+    The text after a content belongs to it.  Roles without a format are an error.
+    """
+    pick = lambda m, k: F.coalesce(*[F.when(m["role"] == r, F.lit(f[k])) for r, f in formats.items()], F.raise_error(F.concat(F.lit("no format for "), m["role"])).cast("boolean" if k == 2 else "string"))
+    return F.transform(messages, lambda m: F.struct(pick(m, 0).alias("head"), F.concat(m["content"], pick(m, 1)).alias("content"), pick(m, 2).alias("trained")))
+
+
 def loss_segments(messages: Column) -> Column:
     """Array of (text, trained): each message as rendered, trained if it is the assistant's."""
     return F.transform(messages, lambda m: F.struct(F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"]).alias("text"), (m["role"] == "assistant").cast("int").alias("trained")))

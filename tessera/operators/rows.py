@@ -121,3 +121,21 @@ def tree_paths(nodes: DataFrame, node: str, parent: str, depth: int) -> DataFram
         raise ValueError(f"a tree is deeper than {depth}")
     flat = paths.select("leaf", F.posexplode("path").alias("position", "node"))
     return flat.withColumn("owns", F.col("leaf") == F.min("leaf").over(W.partitionBy("node")))
+
+
+def matching(df: DataFrame, wanted: dict[str, str], defaults: dict[str, bool]) -> DataFrame:
+    """Rows that have the wanted values ('all' passes everything) and whose flags hold, null flags by default."""
+    for column, value in wanted.items():
+        if value != "all":
+            df = df.where(F.col(column) == value)
+    for column, value in defaults.items():
+        df = df.where(F.coalesce(F.col(column), F.lit(value)))
+    return df
+
+
+def rubric_share(points: Column, verdicts: Column) -> Column:
+    """Points of met criteria over the sum of positive points, both by position; an error if there are more of one."""
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    met = add(F.zip_with(points, verdicts, lambda p, v: F.when(v, p).otherwise(0.0)))
+    share = F.try_divide(met, add(F.transform(points, lambda p: F.greatest(p, F.lit(0.0)))))
+    return F.when(F.size(points) == F.size(verdicts), share).otherwise(F.raise_error(F.lit("points and verdicts differ in number")).cast("double"))

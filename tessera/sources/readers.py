@@ -94,6 +94,23 @@ def sql(spark: SparkSession, text: str, views: dict[str, DataFrame], cap: int |
     return out if cap is None else out.limit(cap)
 
 
+def sql_or_error(spark: SparkSession, text: str, views: dict[str, DataFrame], cap: int) -> tuple[DataFrame, str | None]:
+    """(rows, None) of a query, or (no rows, what is wrong with it)."""
+    from pyspark.errors import AnalysisException, ParseException
+
+    try:
+        return sql(spark, text, views, cap), None
+    except (AnalysisException, ParseException) as e:
+        return spark.createDataFrame([], "error string"), str(e)
+
+
+def first_schema(df: DataFrame, order: str, doc: str) -> DataFrame:
+    """(field, kind): fields and types of the first JSON document in the order."""
+    first = df.select(order, doc).orderBy(order).limit(1)
+    kinds = F.from_json(F.to_json(F.try_variant_get(F.parse_json(doc), "$", "map<string,variant>")), "map<string,variant>")
+    return first.select(F.explode(kinds).alias("field", "value")).select("field", F.schema_of_variant("value").alias("kind"))
+
+
 def describe(views: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
     """(table, columns): each view's typed columns."""
     return spark.createDataFrame([(n, ", ".join(f"{c} {t}" for c, t in df.dtypes)) for n, df in sorted(views.items())], "table string, columns string")

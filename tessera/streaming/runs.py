@@ -62,3 +62,9 @@ def chunks(samples: DataFrame, key: str, order: str, size: int) -> DataFrame:
 
 def latest(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, value) as JSON of the state that a stopped stream keeps at its checkpoint."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.to_json("key").alias("key"), F.to_json("value").alias("value"))
