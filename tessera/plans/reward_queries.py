@@ -23,76 +23,80 @@ def by_case(key: Column, forms: list[Column]) -> Column:
     return out
 
 
-EVENT = F.col("event_id")
-N = EVENT % 23
+def event() -> Column:
+    return F.col("event_id")
+
+
+def small() -> Column:
+    return event() % 23
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat(event_id % 23, '000') WHEN 1 THEN concat(event_id % 23, '.5') WHEN 2 THEN (event_id % 23)::VARCHAR WHEN 3 THEN concat(event_id % 23, '1') END AS number FROM events")
 def answer_cascade_7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = [said("Steps 1, 2. [RESULT] $", N, ",000 apples [/RESULT]"), said("<answer> about ", N, ".50 </answer> 7"), said("so \\boxed{", N, "} of 99"), said("we get 3, then ", N, "1 left."), F.lit("none at all")]
-    return table(spark, sf_dir, "events").select("event_id", R.number_cascade(by_case(EVENT % 5, forms)).alias("number"))
+    forms = [said("Steps 1, 2. [RESULT] $", small(), ",000 apples [/RESULT]"), said("<answer> about ", small(), ".50 </answer> 7"), said("so \\boxed{", small(), "} of 99"), said("we get 3, then ", small(), "1 left."), F.lit("none at all")]
+    return table(spark, sf_dir, "events").select("event_id", R.number_cascade(by_case(event() % 5, forms)).alias("number"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat(event_id % 23, '.5') WHEN 1 THEN concat('-', event_id % 23 + 1) ELSE 'hello world' END AS answer, CASE WHEN event_id % 3 = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM events")
 def boxed_or_last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = by_case(EVENT % 3, [said("x \\boxed{ ", N, ".50 } y"), said("first 4 is -", N + 1, " apples"), F.lit(" Hello   World ")])
+    text = by_case(event() % 3, [said("x \\boxed{ ", small(), ".50 } y"), said("first 4 is -", small() + 1, " apples"), F.lit(" Hello   World ")])
     found = R.comparable_answer(R.boxed_or_last_number(text))
     return table(spark, sf_dir, "events").select("event_id", found.alias("answer"), R.binary_reward(found, R.comparable_answer(F.lit("HELLO world"))).alias("reward"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM events")
 def binary_answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = said("<answer>it is ", N, "</answer>")
-    return table(spark, sf_dir, "events").select("event_id", R.first_answer_reward(text, (N + EVENT % 2).cast("string")).alias("reward"))
+    text = said("<answer>it is ", small(), "</answer>")
+    return table(spark, sf_dir, "events").select("event_id", R.first_answer_reward(text, (small() + event() % 2).cast("string")).alias("reward"))
 
 
 @query("SELECT event_id, event_id % 4 = 0 AS kept FROM events")
 def teacher_filter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = said(F.when(EVENT % 2 == 0, "<think>a</think>").otherwise(""), "<answer> ", N, " </answer>")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(R.tagged_match(text, F.when(EVENT % 4 == 0, N).otherwise(N + 1).cast("string")), F.lit(False)).alias("kept"))
+    text = said(F.when(event() % 2 == 0, "<think>a</think>").otherwise(""), "<answer> ", small(), " </answer>")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(R.tagged_match(text, F.when(event() % 4 == 0, small()).otherwise(small() + 1).cast("string")), F.lit(False)).alias("kept"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.5 END::DOUBLE AS format, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.1 WHEN 2 THEN 0.3 ELSE 0.0 END::DOUBLE AS composite FROM events")
 def countdown_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, c = EVENT % 7 + 1, EVENT % 5 + 1, EVENT % 3 + 1
-    text = by_case(EVENT % 4, [said("<THINK>t</THINK><answer>9</answer><answer>(", a, " + ", b, ") *-", c, "</answer>"), said("<answer>", a, "+", b, "</answer>"), said("<answer>", a, "-", b, "/", c, "</answer>"), F.lit("I don't know")])
-    target = F.when(EVENT % 4 == 0, -(a + b) * c).otherwise(1000)
+    a, b, c = event() % 7 + 1, event() % 5 + 1, event() % 3 + 1
+    text = by_case(event() % 4, [said("<THINK>t</THINK><answer>9</answer><answer>(", a, " + ", b, ") *-", c, "</answer>"), said("<answer>", a, "+", b, "</answer>"), said("<answer>", a, "-", b, "/", c, "</answer>"), F.lit("I don't know")])
+    target = F.when(event() % 4 == 0, -(a + b) * c).otherwise(1000)
     return rounded(table(spark, sf_dir, "events").select("event_id", R.countdown_rewards(text, F.array(a, b, c), target).alias("r")).select("event_id", "r.*"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 0.0 WHEN event_id % 2 = 0 THEN 1.0 ELSE round(1 / 3.0, 6) END::DOUBLE AS reward FROM events")
 def result_set_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lambda n, x, y: said('[[ROWS]] [["old"]] then [[ROWS]] [["x ", ', n, ", ", x, ', true, null], ["y", ', y, "]]")
-    pred = F.when(EVENT % 5 == 4, said("Error executing SQL query")).otherwise(shown(N, "1.50", "2"))
-    score = T.multiset_jaccard(R.result_rows(pred), R.result_rows(shown(N + EVENT % 2, "1.5", "2.0000001")))
+    pred = F.when(event() % 5 == 4, said("Error executing SQL query")).otherwise(shown(small(), "1.50", "2"))
+    score = T.multiset_jaccard(R.result_rows(pred), R.result_rows(shown(small() + event() % 2, "1.5", "2.0000001")))
     return rounded(table(spark, sf_dir, "events").select("event_id", F.coalesce(score, F.lit(0.0)).alias("reward")))
 
 
 @query("SELECT event_id, event_id % 3 < 2 AS parsed, CASE WHEN event_id % 3 < 2 THEN event_id % 2 = 0 END AS met, CASE WHEN event_id % 3 < 2 THEN concat('n', event_id) END AS why FROM events")
 def judge_verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = said('{"explanation": "n', EVENT, '", "criteria_met": ', F.when(EVENT % 3 == 2, '"yes"').when(EVENT % 2 == 0, "true").otherwise("false"), "}")
-    text = F.when(EVENT % 2 == 0, said("```json\n", body, "\n```")).otherwise(body)
+    body = said('{"explanation": "n', event(), '", "criteria_met": ', F.when(event() % 3 == 2, '"yes"').when(event() % 2 == 0, "true").otherwise("false"), "}")
+    text = F.when(event() % 2 == 0, said("```json\n", body, "\n```")).otherwise(body)
     v = table(spark, sf_dir, "events").select("event_id", R.judge_verdict(text).alias("v"))
     return v.select("event_id", F.col("v").isNotNull().alias("parsed"), F.col("v.criteria_met").alias("met"), F.col("v.explanation").alias("why"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN [false, true] END AS passed FROM events")
 def judge_verdict_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = by_case(EVENT % 3, [F.lit('{"index": 1, "pass": false}'), F.lit('{"index": 2, "pass": false}'), F.lit('{"index": 1, "pass": "no"}')])
+    last = by_case(event() % 3, [F.lit('{"index": 1, "pass": false}'), F.lit('{"index": 2, "pass": false}'), F.lit('{"index": 1, "pass": "no"}')])
     return table(spark, sf_dir, "events").select("event_id", R.judge_verdicts(said('{"verdicts": [{"index": 2, "pass": true}, ', last, "]}"), F.lit(2)).alias("passed"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(2 / 3.0, 6) ELSE 0.0 END::DOUBLE AS f1, CASE WHEN event_id % 3 < 2 THEN 3 END AS n_leaves FROM events")
 def leaf_pair_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lambda n: said('{"a": {"b": [', n, ', "$1,0', n, '"]}, "c": " X y", "d": null, "e": ""}')
-    pred = F.when(EVENT % 3 == 2, F.lit("{broken")).otherwise(F.when(EVENT % 3 == 1, said('{"a": {"b": [', N, ', "$9,0"]}, "c": " X y"}')).otherwise(made(N)))
-    rows = table(spark, sf_dir, "events").select("event_id", R.leaf_pairs(pred).alias("p"), R.leaf_pairs(made(N)).alias("g"))
+    pred = F.when(event() % 3 == 2, F.lit("{broken")).otherwise(F.when(event() % 3 == 1, said('{"a": {"b": [', small(), ', "$9,0"]}, "c": " X y"}')).otherwise(made(small())))
+    rows = table(spark, sf_dir, "events").select("event_id", R.leaf_pairs(pred).alias("p"), R.leaf_pairs(made(small())).alias("g"))
     return rounded(rows.select("event_id", R.set_f1(F.col("p"), F.col("g")).alias("f1"), F.when(F.col("p").isNotNull(), F.size("p")).alias("n_leaves")))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('{\"k\": ', event_id, '}') END AS body FROM events")
 def json_object_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = said("Sure: {", F.when(EVENT % 2 == 0, '"k": ').otherwise('"k" '), EVENT, "} ok")
+    text = said("Sure: {", F.when(event() % 2 == 0, '"k": ').otherwise('"k" '), event(), "} ok")
     return table(spark, sf_dir, "events").select("event_id", T.json_between_braces(text).alias("body"))
 
 
@@ -153,7 +157,7 @@ def lambda_and_sequential_transform(spark: SparkSession, sf_dir: str) -> DataFra
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['id'] WHEN 2 THEN ['conversation'] ELSE ['rubric'] END AS errors, CASE WHEN event_id % 4 = 0 THEN 2.5 END::DOUBLE AS points FROM events")
 def rubric_row_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = EVENT % 4
+    k = event() % 4
     record = said('{"id": "', F.when(k == 1, "").otherwise("e"), '", "canary": "c", "conversation": {"messages": [', F.when(k == 2, "").otherwise('{"role": "user", "content": "q"}'), ']}, "rubric_items": [{"criterion_text": "t", "points": ', F.when(k == 3, "null").otherwise("2.5"), "}]}")
     rows = table(spark, sf_dir, "events").select("event_id", M.rubric_row(F.parse_json(record)).alias("r"))
     return rows.select("event_id", F.col("r.errors").alias("errors"), F.col("r.row.rubric_items")[0]["points"].alias("points"))
@@ -161,7 +165,7 @@ def rubric_row_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, concat('q', event_id) AS query, concat('d', i, ' ', event_id) AS document, CASE WHEN i = 0 THEN 9 ELSE 1 END AS score FROM events, range(3) AS r(i) WHERE event_id % 4 <> 0")
 def natural_questions_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blob = said(F.when(EVENT % 4 == 0, "Query:").otherwise("Question:"), " q", EVENT, "\nAnswer: a\nDocument: d0 ", EVENT, "\nDocument: d1 ", EVENT, "\nDocument: d2 ", EVENT)
+    blob = said(F.when(event() % 4 == 0, "Query:").otherwise("Question:"), " q", event(), "\nAnswer: a\nDocument: d0 ", event(), "\nDocument: d1 ", event(), "\nDocument: d2 ", event())
     rows = table(spark, sf_dir, "events").select("event_id", M.question_documents(blob).alias("q")).where("q is not null")
     flat = rows.select("event_id", "q.query", F.posexplode("q.documents").alias("i", "document"))
     return flat.select("event_id", "query", "document", F.when(F.col("i") == 0, 9).otherwise(1).alias("score"))

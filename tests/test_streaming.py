@@ -24,3 +24,20 @@ def test_batches_and_admission(spark):
     assert {r.id: (r.batch, r.chunk) for r in rows}[7] == (1, 1) and len(rows) == 10
     caps = assembler.admission(spark.createDataFrame([(0, 0, 0, 0), (1, 9, 9, 9)], "version long, offset long, accepted long, reserved long"), 4, 1, 6).collect()
     assert [r.capacity for r in caps] == [6, 0]
+
+
+def test_upserts_follow_micro_batches_and_repeats_change_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import runs
+
+    for rows in ([(1, 1), (2, 2)], [(1, 5), (3, 3)], [(1, 4)]):
+        spark.createDataFrame(rows, "k long, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runs.source(spark, str(tmp_path / "in"), "k long, n long")
+    table = runs.upsert_on_change(stream, "k", "n", lambda df: df.withColumn("twice", F.col("n") * 2), str(tmp_path / "t"), str(tmp_path / "c"))
+    got = {r.k: r.twice for r in table.collect()}
+    assert got.keys() == {1, 2, 3} and (got[2], got[3]) == (4, 6) and got[1] in (8, 10)
+    out = runs.drained(runs.source(spark, str(tmp_path / "in"), "k long, n long"), str(tmp_path / "o"), str(tmp_path / "p"))
+    assert out.count() == 5
+    again = runs.drained(runs.source(spark, str(tmp_path / "in"), "k long, n long"), str(tmp_path / "o"), str(tmp_path / "p"))
+    assert again.count() == 5
