@@ -39,17 +39,23 @@ def upsert_on_change(changes: DataFrame, key: str, order: str, derive: Callable[
     A version is a folder; the next one is written from it and the latest is returned.
     """
     spark = changes.sparkSession
-    state: dict[str, str] = {}
 
     def do(df: DataFrame, i: int) -> None:
         new = derive(df)
-        old = spark.read.parquet(state["path"]) if state else new.limit(0)
-        target = f"{path}/version={i}"
-        sinks.upsert(old, new, key, order).write.mode("overwrite").parquet(target)
-        state["path"] = target
+        earlier = [v for v in versions(spark, path) if v < i]
+        old = spark.read.parquet(f"{path}/version={max(earlier)}") if earlier else new.limit(0)
+        sinks.upsert(old, new, key, order).write.mode("overwrite").parquet(f"{path}/version={i}")
 
     each_batch(changes, checkpoint, do)
-    return spark.read.parquet(state["path"])
+    return spark.read.parquet(f"{path}/version={max(versions(spark, path))}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished version folders at a path, in whatever store it names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "version=*/_SUCCESS")) or []
+    return [int(f.getPath().getParent().getName().split("=")[1]) for f in done]
 
 
 def chunks(samples: DataFrame, key: str, order: str, size: int) -> DataFrame:
