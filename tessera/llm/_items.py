@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 
 #: Items that a worker keeps with their ids; with more it begins anew.
 CACHE_ITEMS = 1_000_000
-#: Punctuation that is cut off an item's end.
+#: Punctuation that is cut off an item's end, and after what: digits, Latin and Cyrillic letters
+#: that normalisation and lower-casing leave one letter each.
 TAIL = ",.;:!?"
+AFTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}]$"
 #: Items that go to the library in one call.
 TOGETHER = 200
 #: White space with a space after it: there a byte-level tokenizer's pieces reach over the space.
@@ -76,7 +78,7 @@ class Items:
 
     def composed(self, items: pa.Array, mark: str) -> pa.Array:
         stem = pc.ascii_rtrim(items, TAIL)
-        cut = pc.and_(pc.not_equal(pc.binary_length(stem), pc.binary_length(items)), pc.match_substring_regex(stem, r"[\pL\pN]$")).to_numpy(zero_copy_only=False)
+        cut = pc.and_(pc.not_equal(pc.binary_length(stem), pc.binary_length(items)), pc.match_substring_regex(stem, AFTER)).to_numpy(zero_copy_only=False)
         mask = pa.array(cut)
         whole = [mark + x for x in items.filter(pc.invert(mask)).to_pylist()]
         parts = [self.fresh(whole)] if whole else []
