@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,27 @@ def without(docs: DataFrame, id_col: str, losers: DataFrame, digest: Column | No
     wanted = losers.select(F.col("doc_id").alias("loser_id"), (F.lit("") if digest is None else F.col("text_sha256")).alias("loser_digest"))
     same = F.col("row_id").eqNullSafe(F.col("loser_id")) & (F.col("row_digest") == F.col("loser_digest"))
     return rows.join(wanted, same, "left_anti").select("row.*")
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], text_col: str = "text", most: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over batches of about ``most`` bytes (a longer row is one), giving memory back when a task ends.
+
+    Python workers outlive their tasks, and what their allocators keep counts against the executor.
+    """
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, sizes = 0, pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(text_col))), 0).to_numpy(zero_copy_only=False).astype("i8").cumsum()
+            while begin < len(batch):
+                end = max(begin + 1, int(sizes.searchsorted((sizes[begin - 1] if begin else 0) + most, "right")))
+                yield batch.slice(begin, end - begin)
+                begin = end
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(small(batches))
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return trimmed

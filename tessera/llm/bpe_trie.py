@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import id_and_text, named
+from tessera.llm._common import id_and_text, lean, named
 from tessera.llm._items import Items, once, slices
 
 #: Words that a worker keeps with their ids; beyond it, new words are encoded in each batch anew.
@@ -189,7 +189,7 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, finish: Calla
                 ids, offsets = items.ids(batch["text"][rows])
                 yield finish(batch["doc_id"][rows], items.coder, ids, offsets)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(encode, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(encode), schema)
 
 
 def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

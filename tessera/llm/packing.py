@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, id_and_text
+from tessera.llm._common import checkpointed, id_and_text, lean
 from tessera.llm._items import library_items, once, slices
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                         out.append((doc_id, start, len(piece), zlib.crc32(piece), len(whole)))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(cut, PIECE)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(cut), PIECE)
 
 
 def best_subset(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:

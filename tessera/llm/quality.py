@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm._common import named
+from tessera.llm._common import lean, named
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»•›·"
@@ -118,7 +118,7 @@ def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
             yield pa.record_batch([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *COUNTS])
 
-    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, f"doc_id long, {TYPES}")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(lean(run), f"doc_id long, {TYPES}")
 
 
 def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -136,4 +136,4 @@ def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", size_
                 batch = batch.set_column(names.index(size_col), size_col, pa.array(sizes, batch.schema.field(names.index(size_col)).type))
             yield batch.filter(pa.array([f[6] for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, text_col), docs.schema)

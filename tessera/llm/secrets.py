@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import named
+from tessera.llm._common import lean, named
 
 #: Shapes of well-known keys, by kind; the last two are general.
 PATTERNS = {
@@ -229,7 +229,7 @@ def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int = 1500, id_co
                 }
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_secrets long, secrets string, top_score double")
+    return rows.mapInArrow(lean(run), "doc_id long, n_secrets long, secrets string, top_score double")
 
 
 def redact(docs: DataFrame, sure: float = 0.5, findings: int = 1500, text_col: str = "text", path_col: str = "source", size_col: str = "n_chars") -> DataFrame:
@@ -248,4 +248,4 @@ def redact(docs: DataFrame, sure: float = 0.5, findings: int = 1500, text_col: s
                 changed = changed.set_column(names.index(size_col), size_col, pa.array(sizes, batch.schema.field(names.index(size_col)).type))
             yield changed
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, text_col), docs.schema)

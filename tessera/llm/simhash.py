@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import checkpointed, hot_lookup, id_and_text, without
+from tessera.llm._common import checkpointed, hot_lookup, id_and_text, lean, without
 from tessera.llm.components import connected_components
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             prints = [fingerprint(t.as_buffer().to_pybytes(), words) for t in batch["text"]]
             yield pa.record_batch({"doc_id": batch["doc_id"], "fingerprint": pa.array(prints, pa.int64())})
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fingerprint long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(hashed), "doc_id long, fingerprint long")
 
 
 def ball() -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import id_and_text
+from tessera.llm._common import id_and_text, lean
 from tessera.llm._items import library_items, once, slices
 
 MAGIC = b"TWM1"
@@ -177,7 +177,7 @@ def write_shards(
             yield flush()
 
     dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(encode, "part long, seq long, n_tokens long, block binary").write.parquet(path)
+    dealt.mapInArrow(lean(encode), "part long, seq long, n_tokens long, block binary").write.parquet(path)
 
 
 NO_ID = -(1 << 63)
