@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import id_and_text, lean
+from tessera.llm._common import id_and_text
 from tessera.llm._items import library_items, once, slices
 
 MAGIC = b"TWM1"
@@ -163,7 +163,7 @@ def write_shards(
             return pa.record_batch({"part": [part], "seq": [seq], "n_tokens": [sum(sizes)], "block": pa.array([block], pa.binary())})
 
         for batch in batches:
-            for at in slices(batch["text"]):
+            for at in slices(batch["text"], 16 << 20):
                 ids, offsets = items.ids(batch["text"][at])
                 for doc_id, a, b in zip(batch["doc_id"][at].to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     held += [ids[a:b], end]
@@ -177,7 +177,7 @@ def write_shards(
             yield flush()
 
     dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(lean(encode), "part long, seq long, n_tokens long, block binary").write.parquet(path)
+    dealt.mapInArrow(encode, "part long, seq long, n_tokens long, block binary").write.parquet(path)
 
 
 NO_ID = -(1 << 63)
