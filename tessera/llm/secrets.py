@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives.
 
-Patterns propose candidates in whole texts; a random forest (Spark ML), trained on labelled
+Patterns propose candidates in whole texts, each to the end of its run; a random forest (Spark ML), trained on labelled
 findings, decides by length, character transitions, dictionary coverage, path and neighbouring words.
 The trained trees are a few thousand numbers, whatever the corpus: they travel with the task
 closure, and texts are scanned, decided and redacted in one pass without a shuffle.
@@ -23,18 +23,28 @@ from pyspark.sql import types as T
 
 from tessera.llm._common import lean, named
 
-#: Shapes of well-known keys, by kind; the last two are general.
+#: Shapes of well-known keys, by kind; the last two are general.  Runs are possessive: they have no
+#: greatest length and take linear time.  Of a private key and a signed token, only the first part stands here.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "code_host_token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20})",
-    "chat_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,80}",
-    "signed_token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,2000}",
-    "assigned": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/=_.~-]{8,200})",
-    "random": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/=_-]{24,200}(?![A-Za-z0-9+/=_-])",
+    "code_host_token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+)",
+    "chat_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+",
+    "signed_token": r"(?<![A-Za-z0-9])eyJ(?=[A-Za-z0-9_-]{10})",
+    "assigned": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/=_.~-]{8,}+)",
+    "random": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]{0,40}[0-9]|(?=[A-Za-z0-9+/=_-]{201})[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/=_-]{24,}+",
 }
-SCANNER = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 KINDS = list(PATTERNS)
+SCANNER = re.compile("|".join(f"(?P<{kind}>{PATTERNS[kind]})" for kind in KINDS if kind not in ("private_key", "signed_token")))
+BEGIN, END = (re.compile(PATTERNS["private_key"].replace("BEGIN", word)) for word in ("BEGIN", "END"))
+#: What follows a key's first line where its last one is missing: header lines, then long runs of base64 (ends of
+#: lines may be escaped), then a shorter one if it fills its line or is no plain word.
+BODY = re.compile(
+    r"(?:[\r\n]++[A-Za-z-]++: [^\r\n]*+)*+(?:(?:\\[rn]|[\s\"',;])*+[A-Za-z0-9+/=]{24,}+)++"
+    r"(?:(?:\\[rn]|[\r\n])++[ \t]*+[A-Za-z0-9+/=]++(?=[ \t\"',;]*+(?:\\[rn]|[\r\n]|\Z))|[ \t]++(?![A-Za-z]?[a-z]*+(?![A-Za-z0-9+/=]))[A-Za-z0-9+/=]++)?"
+)
+HEAD, RUN, PARTS = re.compile(PATTERNS["signed_token"]), re.compile("[A-Za-z0-9_-]*+"), re.compile(r"(?:\.[A-Za-z0-9_-]{10,}+){2}")
+PIECE = 200  # longer values are judged in parts of about this length
 KEY_WORDS = {"token", "secret", "password", "passwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "access"}
 HARMLESS_WORDS = {"example", "sample", "dummy", "test", "placeholder", "commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "id", "revision", "changeme", "version"}
 HARMLESS_PATHS = ("test", "example", "sample", "doc", "readme", "fixture", "lock")
@@ -94,15 +104,70 @@ def features(value: str, kind: str, before: str, after: str, path: str) -> list[
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of proposed secrets, leftmost first, in code points."""
-    for m in SCANNER.finditer(text):
-        kind = next(k for k in KINDS if m[k] is not None)
-        yield *(m.span("value") if kind == "assigned" else m.span()), kind
+    """(start, end, kind) of proposed secrets, leftmost first, in code points; all but private keys stay outside those."""
+    at = 0
+    for a, b in private_keys(text):
+        yield from between_keys(text, at, a)
+        yield a, b, "private_key"
+        at = b
+    yield from between_keys(text, at, len(text))
+
+
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Keys from the BEGIN line to the END line, or to the end of their base64 if another key or nothing follows."""
+    begin = BEGIN.search(text)
+    end = END.search(text) if begin else None
+    while begin:
+        after = BEGIN.search(text, begin.end())
+        if end and end.start() < begin.end():
+            end = END.search(text, begin.end())
+        if end and (not after or end.start() < after.start()):
+            stop = end.end()
+        else:
+            body = BODY.match(text, begin.end(), after.start() if after else len(text))
+            stop = body.end() if body else begin.end()
+        yield begin.start(), stop
+        begin = after
+
+
+def between_keys(text: str, at: int, stop: int) -> Iterator[tuple[int, int, str]]:
+    """candidates of a part of the text."""
+    signed = signed_tokens(text, at, stop)
+    token, m = next(signed, None), SCANNER.search(text, at, stop)
+    while token or m:
+        if token and token[0] < at:
+            token = next(signed, None)
+        elif m and m.start() < at:
+            m = SCANNER.search(text, at, stop)
+        elif token and (not m or token[0] <= m.start()):
+            yield *token, "signed_token"
+            at = token[1]
+        else:
+            kind = next(k for k in KINDS if k in SCANNER.groupindex and m[k] is not None)
+            yield *(m.span("value") if kind == "assigned" else m.span()), kind
+            at = m.end()
+
+
+def signed_tokens(text: str, at: int, stop: int) -> Iterator[tuple[int, int]]:
+    """All places where a signed token may begin, each with its end; what follows a run is looked at once."""
+    run = end = 0
+    for m in HEAD.finditer(text, at, stop) if text.find("eyJ", at, stop) >= 0 else ():
+        if m.start() >= run:
+            run = RUN.match(text, m.start(), stop).end()
+            parts = PARTS.match(text, run, stop)
+            end = parts.end() if parts else 0
+        if end:
+            yield m.start(), end
 
 
-def describe(text: str, found: tuple[int, int, str], path: str) -> list[float]:
+def describe(text: str, found: tuple[int, int, str], path: str) -> list[list[float]]:
+    """Features of the parts of a candidate; of a private key, its first line tells."""
     begin, end, kind = found
-    return features(text[begin:end], kind, text[max(0, begin - 60) : begin], text[end : end + 40], path)
+    if kind == "private_key":
+        end = BEGIN.match(text, begin).end()
+    before, after, parts = text[max(0, begin - 60) : begin], text[end : end + 40], -(-(end - begin) // PIECE)
+    cuts = [begin + (end - begin) * i // parts for i in range(parts + 1)]
+    return [features(text[a:b], kind, before, after, path) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def labelled_findings(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
@@ -185,7 +250,7 @@ _TRAINED: dict[tuple, Forest] = {}
 def trained(spark: SparkSession, n: int = 1500, seed: int = 5) -> Forest:
     """The forest for ``n`` generated findings; once for each driver."""
     if (n, seed) not in _TRAINED:
-        rows = [(describe(t, c, p), float(real)) for t, p, real in labelled_findings(n, seed) for c in candidates(t)]
+        rows = [(shown, float(real)) for t, p, real in labelled_findings(n, seed) for c in candidates(t) for shown in describe(t, c, p)]
         schema = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("label", T.DoubleType())])
         _TRAINED[n, seed] = train(spark, spark.createDataFrame(rows, schema))
     return _TRAINED[n, seed]
@@ -195,7 +260,9 @@ def secrets_of(text: str, path: str, forest: Forest, sure: float) -> list[tuple[
     found = list(candidates(text))
     if not found:
         return []
-    chances = forest.chances(np.array([describe(text, c, path) for c in found]))
+    parts = [describe(text, c, path) for c in found]
+    firsts = np.cumsum([0, *map(len, parts[:-1])])
+    chances = np.maximum.reduceat(forest.chances(np.array([shown for rows in parts for shown in rows])), firsts)
     return [(a, b, k, float(p)) for (a, b, k), p in zip(found, chances, strict=True) if p >= sure]
 
 
