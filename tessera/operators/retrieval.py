@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def unit_rows(vectors: list[list[float]], dims: int | None) -> np.ndarray:
+    """The first ``dims`` numbers of each vector (all if None), at length 1."""
+    raw = np.array(vectors, "f8").reshape(len(vectors), -1)
+    raw = raw[:, :dims] if dims else raw
+    return raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300)
+
+
 def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024, dims: int | None = None) -> DataFrame:
     """(qid, doc_id, score, rank) of the k nearest corpus rows for each query, ties by doc_id.
 
@@ -20,17 +28,13 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = 102
     blocks = queries.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))).alias("blk"), F.struct("id", "vector").alias("q"))
     packed = blocks.groupBy("blk").agg(F.collect_list("q").alias("qs"))  # of a fixed size each
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        raw = np.array(column.to_pylist(), "f8").reshape(len(column), -1)
-        raw = raw[:, :dims] if dims else raw
-        return raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-300)
-
+    matrix = partial(unit_rows, dims=dims)
     parts = corpus.select(F.spark_partition_id().alias("part"), F.struct("id", "vector").alias("d")).groupBy("part", F.pmod(F.xxhash64("d.id"), F.lit(16)).alias("sub")).agg(F.collect_list("d").alias("ds"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for qs, ds in zip(batch["qs"].to_pylist(), batch["ds"].to_pylist(), strict=True):
-                q, d = matrix(pa.array([x["vector"] for x in qs])), matrix(pa.array([x["vector"] for x in ds]))
+                q, d = matrix([x["vector"] for x in qs]), matrix([x["vector"] for x in ds])
                 ids = np.array([x["id"] for x in ds])
                 scores = np.round(q @ d.T, 9)
                 best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
@@ -88,6 +92,32 @@ def rank_of_gold(run: DataFrame, gold: DataFrame) -> DataFrame:
     return gold.join(run, ["qid", "doc_id"], "left").select("qid", "rank")
 
 
+def whole_rank_of_gold(queries: DataFrame, corpus: DataFrame, gold: DataFrame, block: int = 1024, dims: int | None = None) -> DataFrame:
+    """(qid, doc_id, rank) of each gold document among all corpus rows, null if it or its query has no vector.
+
+    The rank is one more than the number of rows that score above the gold row, ties by doc_id: each corpus
+    partition counts its own, so one number per gold row and partition is shuffled.
+    """
+    vectors = lambda df, key, name: df.select(F.col("id").alias(key), F.col("vector").alias(name))
+    asked = gold.select("qid", "doc_id").distinct().join(vectors(queries, "qid", "q"), "qid").join(vectors(corpus, "doc_id", "g"), "doc_id")
+    blocks = asked.select(F.pmod(F.xxhash64("qid", "doc_id"), F.lit(max(1, -(-gold.count() // block)))).alias("blk"), F.struct("qid", "doc_id", "q", "g").alias("a"))
+    packed = blocks.groupBy("blk").agg(F.collect_list("a").alias("asked"))
+    parts = corpus.select(F.spark_partition_id().alias("part"), F.struct("id", "vector").alias("d")).groupBy("part", F.pmod(F.xxhash64("d.id"), F.lit(16)).alias("sub")).agg(F.collect_list("d").alias("ds"))
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asks, ds in zip(batch["asked"].to_pylist(), batch["ds"].to_pylist(), strict=True):
+                q, g, d = (unit_rows(v, dims) for v in ([x["q"] for x in asks], [x["g"] for x in asks], [x["vector"] for x in ds]))
+                ids, own = np.array([x["id"] for x in ds]), np.array([x["doc_id"] for x in asks])
+                scores, least = np.round(q @ d.T, 9), np.round((q * g).sum(1), 9)[:, None]
+                ahead = ((scores > least) | ((scores == least) & (ids < own[:, None]))) & (ids != own[:, None])
+                yield pa.record_batch({"qid": np.array([x["qid"] for x in asks]), "doc_id": own, "above": ahead.sum(1)})
+
+    met = parts.join(packed).select("asked", "ds").mapInArrow(above, "qid long, doc_id long, above long")
+    ranks = met.groupBy("qid", "doc_id").agg((F.sum("above") + 1).alias("rank"))
+    return gold.select("qid", "doc_id").join(ranks, ["qid", "doc_id"], "left")
+
+
 def rank_delta(base: DataFrame, tuned: DataFrame) -> DataFrame:
     """One row: queries whose gold rank improved, stayed or got worse, and the mean change."""
     both = base.withColumnRenamed("rank", "b").join(tuned.withColumnRenamed("rank", "t"), "qid").select((F.col("b") - F.col("t")).alias("d"))

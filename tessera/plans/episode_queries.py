@@ -122,6 +122,15 @@ def rank_of_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rank_of_gold(S.cosine_top_k(e.where("id % 100 = 0"), e, 50), gold)
 
 
+@query(f"WITH {STAGES_SQL} SELECT qid, f AS rank FROM r WHERE doc_id = qid + 1")
+def rank_of_gold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a greatest rank, where rank_of_gold, as its SQL, ends at place 50."""
+    e = vectors(spark, sf_dir)
+    q = e.where("id % 100 = 0")
+    gold = q.select(F.col("id").alias("qid"), (F.col("id") + 1).alias("doc_id"))
+    return S.whole_rank_of_gold(q, e, gold).where("rank is not null").select("qid", "rank")
+
+
 @query(f"WITH {STAGES_SQL}, g AS (SELECT c - f AS d FROM r WHERE doc_id = qid + 1) SELECT count(*) FILTER (d > 0) AS improved, count(*) FILTER (d = 0) AS unchanged, count(*) FILTER (d < 0) AS worse, round(avg(d), 6) + 0.0 AS mean_change FROM g")
 def rank_delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vectors(spark, sf_dir)
