@@ -63,18 +63,27 @@ def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """One row: macro-averaged nDCG@k, recall@k, MRR and MAP over queries that both sides have.
 
-    run: (qid, doc_id, rank); qrels: (qid, doc_id, rel).
+    run: (qid, doc_id, rank); qrels: (qid, doc_id, rel).  MRR and MAP go as far down as the run.
     """
+    return ranking_metrics_at(run, qrels, [k]).withColumnsRenamed({f"ndcg_{k}": "ndcg", f"recall_{k}": "recall"})
+
+
+def ranking_metrics_at(run: DataFrame, qrels: DataFrame, cuts: list[int]) -> DataFrame:
+    """ranking_metrics with ndcg_k and recall_k for each of the cuts."""
     judged = run.join(qrels.select("qid").distinct(), "qid", "left_semi").join(qrels.where("rel > 0"), ["qid", "doc_id"], "left")
     hit = F.col("rel").isNotNull()
     upto = W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     rows = judged.withColumn("hits", F.count("rel").over(upto))
-    gain = F.when(hit & (F.col("rank") <= k), F.col("rel") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
-    per = rows.groupBy("qid").agg(F.sum(gain).alias("dcg"), F.count(F.when(hit & (F.col("rank") <= k), 1)).alias("found"), F.max(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"), F.sum(F.when(hit, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("precisions"))
+    within = lambda k: hit & (F.col("rank") <= k)
+    gains = [F.sum(F.when(within(k), F.col("rel") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}") for k in cuts]
+    found = [F.count(F.when(within(k), 1)).alias(f"found_{k}") for k in cuts]
+    per = rows.groupBy("qid").agg(*gains, *found, F.max(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"), F.sum(F.when(hit, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("precisions"))
     ideal = qrels.where("rel > 0").withColumn("i", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")))
-    ideal = ideal.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("i") <= k, F.col("rel") / F.log2(F.col("i") + 1.0))).alias("idcg"))
+    ideal = ideal.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant"), *[F.sum(F.when(F.col("i") <= k, F.col("rel") / F.log2(F.col("i") + 1.0))).alias(f"idcg_{k}") for k in cuts])
     both = per.join(ideal, "qid")
-    return both.agg(F.count(F.lit(1)).alias("n_queries"), F.avg(F.col("dcg") / F.col("idcg")).alias("ndcg"), F.avg(F.col("found") / F.col("relevant")).alias("recall"), F.avg("rr").alias("mrr"), F.avg(F.col("precisions") / F.col("relevant")).alias("map"))
+    ndcg = [F.avg(F.col(f"dcg_{k}") / F.col(f"idcg_{k}")).alias(f"ndcg_{k}") for k in cuts]
+    recall = [F.avg(F.col(f"found_{k}") / F.col("relevant")).alias(f"recall_{k}") for k in cuts]
+    return both.agg(F.count(F.lit(1)).alias("n_queries"), *ndcg, *recall, F.avg("rr").alias("mrr"), F.avg(F.col("precisions") / F.col("relevant")).alias("map"))
 
 
 def rerank(recalled: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

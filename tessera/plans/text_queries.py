@@ -258,6 +258,17 @@ def recall_mrr_ndcg_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.ranking_metrics(*retrieval_run(spark, sf_dir)), 5)
 
 
+@query(f"""WITH {RUN_SQL.replace('rank <= 50', 'rank <= 100')}, u AS (SELECT *, sum(hit) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM t),
+p AS (SELECT qid, sum(CASE WHEN rank <= 10 THEN hit / log2(rank + 1.0) ELSE 0 END) AS dcg_10, sum(hit / log2(rank + 1.0)) AS dcg_100, sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) AS found_10, sum(hit) AS found_100, max(CASE WHEN hit = 1 THEN 1.0 / rank ELSE 0 END) AS rr, sum(CASE WHEN hit = 1 THEN hits / rank ELSE 0 END) AS prec FROM u GROUP BY qid),
+i AS (SELECT q.vec_id AS qid, count(*) AS relevant FROM e q JOIN e d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id),
+j AS (SELECT qid, relevant, list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda x: 1.0 / log2(x + 1.0))) AS idcg_10, list_sum(list_transform(range(1, least(relevant, 100) + 1), lambda x: 1.0 / log2(x + 1.0))) AS idcg_100 FROM i)
+SELECT count(*) AS n_queries, round(avg(dcg_10 / idcg_10), 5) + 0.0 AS ndcg_10, round(avg(dcg_100 / idcg_100), 5) + 0.0 AS ndcg_100, round(avg(found_10 / relevant), 5) + 0.0 AS recall_10, round(avg(found_100 / relevant), 5) + 0.0 AS recall_100, round(avg(rr), 5) + 0.0 AS mrr_100, round(avg(prec / relevant), 5) + 0.0 AS map_100 FROM p JOIN j USING (qid)""")
+def ranking_metrics_10_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over runs of 100 rows, as in the reference, where recall_mrr_ndcg_map, as its SQL, has runs of 50."""
+    metrics = V.ranking_metrics_at(*retrieval_run(spark, sf_dir, 100), [10, 100])
+    return rounded(metrics.withColumnsRenamed({"mrr": "mrr_100", "map": "map_100"}), 5)
+
+
 @query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), n AS (SELECT count(*) AS n FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM c GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 q AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), qc AS (SELECT qid, w, count(*) AS q FROM q GROUP BY ALL),
 s AS (SELECT qid, doc_id, round(sum(q * tf * (ln((n + 1.0) / (df + 1)) + 1)), 3) AS score FROM qc JOIN tf USING (w) JOIN df USING (w), n GROUP BY qid, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT qid, doc_id, score + 0.0 AS score, rank FROM r WHERE rank <= 5""")

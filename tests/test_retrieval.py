@@ -19,3 +19,14 @@ def test_gold_rows_far_down_have_ranks(spark, sf):
     assert got == {p: want.get(p) for p in pairs} and max(want.values()) > 250
     ranks = [r.rank for r in catalogue.QUERIES["rank_of_gold_whole"](spark, sf).collect()]
     assert ranks and None not in ranks
+
+
+def test_metrics_count_hits_beyond_place_50(spark, sf):
+    row = catalogue.QUERIES["ranking_metrics_10_100"](spark, sf).first()
+    assert set(row.asDict()) == {"n_queries", "ndcg_10", "ndcg_100", "recall_10", "recall_100", "mrr_100", "map_100"}
+    run = spark.createDataFrame([(0, 100 + r, r) for r in range(1, 101)], "qid long, doc_id long, rank int")
+    qrels = spark.createDataFrame([(0, 160, 1), (0, 190, 1), (0, 5, 1)], "qid long, doc_id long, rel int")
+    got = S.ranking_metrics_at(run, qrels, [10, 100]).first()
+    ideal = 1 + 1 / np.log2(3) + 0.5
+    want = {"n_queries": 1, "ndcg_10": 0, "ndcg_100": (1 / np.log2(61) + 1 / np.log2(91)) / ideal, "recall_10": 0, "recall_100": 2 / 3, "mrr": 1 / 60, "map": (1 / 60 + 2 / 90) / 3}
+    assert {k: round(v, 9) for k, v in got.asDict().items()} == {k: round(float(v), 9) for k, v in want.items()}
