@@ -4,8 +4,9 @@ The patterns give base spans of whole texts, in time linear in the text.  The fi
 tokens that hold a digit or an at sign.  Its factors are token features, a factor between neighbouring
 tokens, and skip factors between distant tokens that repeat or resemble each other (same letters and
 digits, or same last digits), so that a number spelled in full once is also known where it is
-shortened.  Marginals come from loopy sum-product messages over each document's tokens.  Weights
-are fitted by pseudo-likelihood to generated, labelled sentences; the seed and their number are parameters.
+shortened.  A token that resembles one in a base span hears from it directly, however many lie between; of others,
+three or more that resemble each other share one variable.  Marginals come from loopy sum-product messages over each document's tokens, passed until they
+settle.  Weights are fitted by pseudo-likelihood to generated, labelled sentences; the seed and their number are parameters.
 """
 
 from __future__ import annotations
@@ -135,20 +136,47 @@ def keys_of(token: str) -> tuple[str, str]:
     return ("=" + same if len(same) >= 6 else "", digits[-7:] if len(digits) >= 7 else "")
 
 
+def shared_keys(keys: list[tuple[str, str]]) -> list[list[int]]:
+    """Groups of tokens that repeat or resemble each other: by last digits, else (what repeats has the same ones) as a whole."""
+    groups: dict[str, list[int]] = {}
+    for i, (same, digits) in enumerate(keys):
+        if digits or same:
+            groups.setdefault(digits or same, []).append(i)
+    return [g for g in groups.values() if len(g) > 1]
+
+
 class SkipChain:
     """Weights of unary, chain and skip factors, and loopy inference."""
 
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, shown: np.ndarray, links: list[tuple[int, int]], skips: list[tuple[int, int]], rounds: int = 12) -> np.ndarray:
-        """Label marginals by damped sum-product messages along both kinds of links."""
+    def half_skip(self) -> np.ndarray:
+        """The factor between a token and its group's variable: two of them in a row are the skip factor."""
+        size, turn = np.linalg.eigh(np.exp(self.skip))
+        return np.log(np.maximum(turn * np.sqrt(np.maximum(size, 0)) @ turn.T, 1e-9))
+
+    def marginals(self, shown: np.ndarray, links: list[tuple[int, int]], groups: list[list[int]], rounds: int = 1000, near: float = 1e-5) -> np.ndarray:
+        """Label marginals by damped sum-product messages along links of neighbours and within groups.
+
+        Labels of base spans are known to their groups.  Messages pass until none changes by more than ``near``; ``rounds`` only ends those that never settle.
+        """
         local = shown @ self.unary
-        pairs = [*links, *skips]
+        n, based = len(local), shown[:, 2:6].any(1)
+        for g in groups:
+            known = {int(shown[i, 2:6].argmax()) + 1 for i in g if based[i]}
+            for i in g if known else ():
+                if not based[i]:
+                    local[i] += self.skip[sorted(known)].sum(0)
+        open_ones = [g for g in groups if not based[g].any()]
+        skips, large = [tuple(g) for g in open_ones if len(g) == 2], [g for g in open_ones if len(g) > 2]
+        hubs = [(i, n + k) for k, g in enumerate(large) for i in g]
+        pairs = [*links, *skips, *hubs]
         if not pairs:
             return _softmax(local)
+        local = np.concatenate([local, np.zeros((len(large), len(LABELS)))])
         a, b = np.array(pairs).T
-        factor = np.concatenate([np.repeat(self.chain[None], len(links), 0), np.repeat(self.skip[None], len(skips), 0)])
+        factor = np.concatenate([np.repeat(f[None], k, 0) for f, k in ((self.chain, len(links)), (self.skip, len(skips)), (self.half_skip(), len(hubs)))])
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         factor = np.concatenate([factor, factor.transpose(0, 2, 1)])  # message s->t: factor[s label, t label]
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
@@ -159,10 +187,13 @@ class SkipChain:
             out = belief[source] - message[back]
             new = _logsum(out[:, :, None] + factor)
             new -= new.max(1, keepdims=True)
+            settled = np.abs(new - message).max() <= near
             message = 0.5 * message + 0.5 * new
+            if settled:
+                break
         belief = local.copy()
         np.add.at(belief, target, message)
-        return _softmax(belief)
+        return _softmax(belief[:n])
 
 
 def _logsum(x: np.ndarray) -> np.ndarray:
@@ -257,10 +288,10 @@ def token_graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.
 
 def field_spans(text: str, base: list[Span], model: SkipChain, sure: float) -> list[Span]:
     """Spans that the field adds: tokens outside base spans whose label is sure; neighbours of one label join."""
-    places, shown, links, skips = token_graph(text, base)
+    places, shown, links, _ = token_graph(text, base)
     if not places:
         return []
-    chances = model.marginals(shown, links, skips)
+    chances = model.marginals(shown, links, shared_keys([keys_of(text[a:b]) for a, b in places]))
     best = chances[:, 1:].argmax(1) + 1
     starts = np.array([a for a, _, _ in base])
     reach = np.maximum.accumulate([b for _, _, b in base]) if base else np.zeros(0)

@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -76,3 +77,19 @@ def test_query_and_edges(spark, sf):
     docs = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], "doc_id long, text string, spans string, n_email int")
     assert sorted((str(r.doc_id), r.spans) for r in pii.find_pii(docs).collect()) == [("1", ""), ("2", ""), ("3", "email:300001:300007"), ("3", "email:300001:300007"), ("None", "email:0:6")]
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_all_mentions_of_a_long_document_are_judged_alike():
+    model = pii.fitted()
+    for full, short, found in [("+1-743-555-3824", "555-3824", True), ("+17435553824", "5553824", False)]:
+        for before, after in [(0, 50), (50, 0), (25, 25), (0, 5000)]:
+            piece = f"then we use {short} again and "
+            text = piece * before + f"reach {full} now. " + piece * after
+            base, every = pii.find(text, model)
+            assert pii.listed(base) == f"phone:{text.index(full)}:{text.index(full) + len(full)}"
+            assert len(every) == 1 + found * (before + after)
+    base, every = pii.find("call 555-3824 and then some more words. " * 50, model)
+    assert not base and len(every) in (0, 50)
+    for weights in (model, pii.fitted(300, 3)):
+        two = np.log(np.exp(weights.half_skip()) @ np.exp(weights.half_skip()))
+        assert np.allclose(two, weights.skip, atol=1e-6)
