@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +39,37 @@ def drawn_places(df: DataFrame, seed: int, key: str, slots: int, total: int) ->
     return spread.withColumn("place", F.conv(F.substring(hash_key(seed, key, "slot"), 1, 12), 16, 10).cast("long") % total)
 
 
+def pool_stride(total: int) -> int:
+    """The least step from 0.618 of ``total`` on that leads through all places below it."""
+    return next(x for x in range(max(1, total * 618 // 1000), total + 2) if math.gcd(x, total) == 1)
+
+
+def filled_pools(items: DataFrame, docs: DataFrame, key: str, doc: str, eligible: str, wanted: int, seed: int, slots: int = 8, width: int = 16) -> DataFrame:
+    """(key, doc): for each item ``wanted`` different eligible documents, or all if there are fewer.
+
+    ``slots`` places are drawn for each item.  Items still short then go from their first place in steps
+    through all places, in rounds of growing width; each round meets the documents in an equi-join by place.
+    """
+    spark, path, total = items.sparkSession, scratch(items.sparkSession, "pools"), docs.count()
+    placed = with_row_number(docs.select(doc), doc, name="place")
+    drawn = drawn_places(items.select(key), seed, key, slots, max(1, total))
+    starts = drawn.where("slot = 0").select(key, F.col("place").alias("_start"))
+    met = drawn.join(placed, "place").where(eligible).groupBy(key, doc).agg(F.min("slot").cast("long").alias("slot"))
+    kept, done = [], 0
+    while True:
+        kept.append(f"{path}/{len(kept)}")
+        met.write.parquet(kept[-1])
+        got = spark.read.parquet(*kept)
+        short = starts.join(got.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, "left").where(F.coalesce("_n", F.lit(0)) < wanted)
+        if done >= total or short.isEmpty():
+            break
+        steps = short.select(key, "_start", F.explode(F.sequence(F.lit(done), F.lit(min(done + width, total) - 1))).alias("_step"))
+        steps = steps.select(key, (F.col("_step") + slots).cast("long").alias("slot"), ((F.col("_start") + F.col("_step").cast("long") * pool_stride(total)) % total).alias("place"))
+        met = steps.join(placed, "place").where(eligible).select(key, doc, "slot").join(got.select(key, doc), [key, doc], "left_anti")
+        done, width = done + width, width * 4
+    return got.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("slot"))).where(F.col("_n") <= wanted).select(key, doc)
+
+
 def seeded_shuffle(df: DataFrame, seed: int, key: str, name: str = "row") -> DataFrame:
     return with_row_number(df.withColumn("_h", hash_key(seed, key)), "_h", key, name=name).drop("_h")
 

@@ -205,6 +205,15 @@ def distractor_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("n", F.row_number().over(W.partitionBy("item_id").orderBy("slot"))).where("n <= 5").select("item_id", "doc_id")
 
 
+@query("""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), t AS (SELECT count(*) AS total, count(*) * 618 // 1000 AS low FROM documents), u AS (SELECT min(x) AS stride FROM (SELECT unnest(range(greatest(low, 1), total + 2)) AS x, total FROM t) WHERE gcd(x, total) = 1),
+q AS (SELECT item_id, unnest(range(8)) AS slot FROM benchmark), d AS (SELECT item_id, slot, ('0x' || substr(md5(concat('3:', item_id, ':', slot)), 1, 12))::BIGINT % (SELECT count(*) FROM documents) AS place FROM q),
+w AS (SELECT item_id, place AS start, unnest(range(total)) AS step FROM d, t WHERE slot = 0), a AS (SELECT item_id, slot, place FROM d UNION ALL SELECT item_id, 8 + step, (start + step * stride) % total FROM w, u, t),
+f AS (SELECT item_id, doc_id, min(slot) AS slot FROM a JOIN c USING (place) WHERE doc_id % 10 <> item_id % 10 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY slot) AS n FROM f) SELECT item_id, doc_id FROM r WHERE n <= 5""")
+def distractor_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five documents for each item, or all that aren't its own, where distractor_anti_join, as its SQL, ends after 8 draws."""
+    return R.filled_pools(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "doc_id % 10 <> item_id % 10", 5, 3)
+
+
 @query("WITH p AS (SELECT event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY event_type) SELECT event_type, round(n / 60.0, 6) + 0.0::DOUBLE AS per_second, round(CASE WHEN m > 0 THEN n / m END, 6) + 0.0 AS ratio FROM p")
 def throughput_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
