@@ -4,9 +4,10 @@ The patterns give base spans of whole texts, in time linear in the text.  The fi
 tokens that hold a digit or an at sign.  Its factors are token features, a factor between neighbouring
 tokens, and skip factors between distant tokens that repeat or resemble each other (same letters and
 digits, or same last digits), so that a number spelled in full once is also known where it is
-shortened.  A token that resembles one in a base span hears from it directly, however many lie between; of others,
-three or more that resemble each other share one variable.  Marginals come from loopy sum-product messages over each document's tokens, passed until they
-settle.  Weights are fitted by pseudo-likelihood to generated, labelled sentences; the seed and their number are parameters.
+shortened.  A token that resembles one in a base span hears from it directly, however many lie between;
+of others, three or more that resemble each other share one variable.  Marginals come from loopy
+sum-product messages over each document's tokens, passed until they settle.  Weights are fitted by
+pseudo-likelihood to generated, labelled sentences; the seed and their number are parameters.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def base_spans(text: str) -> list[Span]:
     """(start, kind, end) of the patterns' matches that pass their checks, by start, then kind."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -254,7 +255,8 @@ def fitted(n: int = 1500, seed: int = 11, steps: int = 400) -> SkipChain:
     """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels."""
     rows, labels = [], []
     for text, gold in labelled_sentences(n, seed):
-        places, shown, links, skips = token_graph(text, base_spans(text))
+        places, shown, links = token_graph(text, base_spans(text))
+        skips = skip_links([keys_of(text[a:b]) for a, b in places])
         own = [next((k for a, b, k in gold if a <= begin and end <= b), 0) for begin, end in places]
         beside, like = np.zeros((len(places), len(LABELS))), np.zeros((len(places), len(LABELS)))
         for table, pairs in ((beside, links), (like, skips)):
@@ -274,21 +276,27 @@ def fitted(n: int = 1500, seed: int = 11, steps: int = 400) -> SkipChain:
     return SkipChain(weights[:k], (chain + chain.T) / 2, (skip + skip.T) / 2)
 
 
-def token_graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens of a text, their features, chain links of neighbours and skip links."""
+def token_graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """Tokens of a text, their features and chain links of neighbours.
+
+    Tokens don't overlap, so those that a span touches stand side by side; the first span to touch one gives its label.
+    """
     places = tokens_of(text)
-    starts, label = np.array([a for a, _ in places]), np.zeros(len(places), "i8")
-    for a, kind, b in base:
-        ends = np.array([e for _, e in places[: np.searchsorted(starts, b)]])
-        label[np.flatnonzero(ends > a)] = np.where(label[np.flatnonzero(ends > a)] == 0, kind + 1, label[np.flatnonzero(ends > a)]) if len(ends) else 0
+    starts, ends, label = np.array([a for a, _ in places]), np.array([b for _, b in places]), np.zeros(len(places), "i8")
+    if base and places:
+        firsts = np.searchsorted(ends, [a for a, _, _ in base], "right").tolist()
+        lasts = np.searchsorted(starts, [b for _, _, b in base], "left").tolist()
+        for (_, kind, _), i, j in zip(base, firsts, lasts, strict=True):
+            touched = label[i:j]
+            touched[touched == 0] = kind + 1
     shown = np.array([features(text, a, b, int(k)) for (a, b), k in zip(places, label, strict=True)]).reshape(-1, N_FEATURES)
     links = [(i, i + 1) for i in range(len(places) - 1) if text[places[i][1] : places[i + 1][0]].isspace()]
-    return places, shown, links, skip_links([keys_of(text[a:b]) for a, b in places])
+    return places, shown, links
 
 
 def field_spans(text: str, base: list[Span], model: SkipChain, sure: float) -> list[Span]:
     """Spans that the field adds: tokens outside base spans whose label is sure; neighbours of one label join."""
-    places, shown, links, _ = token_graph(text, base)
+    places, shown, links = token_graph(text, base)
     if not places:
         return []
     chances = model.marginals(shown, links, shared_keys([keys_of(text[a:b]) for a, b in places]))

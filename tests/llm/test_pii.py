@@ -93,3 +93,36 @@ def test_all_mentions_of_a_long_document_are_judged_alike():
     for weights in (model, pii.fitted(300, 3)):
         two = np.log(np.exp(weights.half_skip()) @ np.exp(weights.half_skip()))
         assert np.allclose(two, weights.skip, atol=1e-6)
+
+
+def test_long_runs_of_zeros_and_many_spans():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(0, 1, 5007)]
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == []
+    model, took = pii.fitted(), []
+    for n in (10_000, 100_000):
+        text = " ".join(f"u{k}@mail.example.com" for k in range(n))
+        began = time.time()
+        base, every = pii.find(text, model)
+        took.append(time.time() - began)
+        assert len(base) == len(every) == n
+    assert took[1] < 30 * took[0] + 1
+
+
+#: Sentences that no generator wrote, with what is personal in them besides the patterns' matches.
+WRITTEN = [
+    ("Dear Maria, my office line is +49 30 901820 44 and after six please ring 0182044, thanks.", []),
+    ("Invoice 20231107 over 1,250.00 EUR, due 2023-12-01, was paid by transfer; order no. 4471-22.", []),
+    ("Chapter 7.2 describes release v2.10.3 of 2019-04-11, see page 118 and table 4.", []),
+    ("Reach me at +1-212-555-0142. If nobody answers, 555-0142 also takes messages, extension 12.", ["555-0142"]),
+    ("The hotline (+1-646-555-0199) is busy on Mondays; 555-0199 is free at noon. We had 300 calls in 2021.", ["555-0199"]),
+    ("Mix 250 g flour with 125 ml milk at 180 degrees for 35 minutes; serves 4.", []),
+]
+
+
+def test_written_sentences():
+    model = pii.fitted()
+    for text, more in WRITTEN:
+        base, every = pii.find(text, model)
+        found = [text[a:b] for a, _, b in every if (a, _, b) not in base]
+        assert found == more
