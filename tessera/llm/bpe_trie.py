@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm._common import id_and_text, named
 from tessera.llm._items import Items, once, slices
 
-#: Words that a worker keeps with their ids; beyond it, new words are encoded in each batch anew.
-KNOWN_WORDS = 300_000
+#: Words that a worker keeps with their ids, and their greatest length; others are encoded in each batch anew.
+KNOWN_WORDS, KNOWN_LENGTH = 300_000, 64
 
 
 class TrieBpe:
@@ -73,49 +73,45 @@ class TrieBpe:
         self.adjacent[key] = fine
         return fine
 
-    def last_token(self, text: str, last: list[str], end: str) -> str:
-        """The last token of text's encoding, given those of its shorter prefixes (last[i]: of i symbols)."""
-        n = len(text)
+    def last_token(self, word: str, n: int, last: list[str], end: str) -> str:
+        """The last token of the encoding of word's first n symbols, given those of its shorter prefixes (last[i]: of i symbols)."""
         for size in range(min(n, self.longest), 0, -1):
-            token = text[n - size :] + end
+            token = word[n - size : n] + end
             if token in self.ids and (size == n or self.may_follow(last[n - size], token)):
                 return token
-        raise ValueError(f"no token ends {text!r}")
+        raise ValueError(f"no token ends {word[max(0, n - 40) : n]!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word.
 
-        Sorted words are the trie in depth-first order: a word's node path is that of the word
-        before it up to their common prefix, whose states stay, and new nodes from there on.
+        Sorted words are the trie in depth-first order: a word's node path is that of the word before it
+        up to their common prefix, whose states stay, and new nodes from there on.  A node keeps its last
+        token only, which says how far back the one before it ends: the path is followed back once a word.
         """
         out, end, ids = {}, self.suffix, self.packed
         last: list[str] = [""]
-        codes: list[bytes] = [b""]
         before = ""
         for word in sorted(words):
             inner = word[:-1] if end else word  # the last symbol is another one than inside words
-            kept = len(commonprefix(before, inner))
-            del last[kept + 1 :], codes[kept + 1 :]
-            for depth in range(kept + 1, len(inner) + 1):
-                token = self.last_token(inner[:depth], last, "")
-                last.append(token)
-                codes.append(codes[depth - len(token)] + ids[token])
+            del last[common(before, inner) + 1 :]
+            for depth in range(len(last), len(inner) + 1):
+                last.append(self.last_token(inner, depth, last, ""))
             before = inner
-            if end:
-                token = self.last_token(word, last, end)
-                out[word] = codes[len(word) - len(token) + len(end)] + ids[token]
-            else:
-                out[word] = codes[-1]
+            token = self.last_token(word, len(word), last, end) if end else last[-1]
+            codes, at = [ids[token]] if token else [], len(word) - len(token) + len(end if token else "")
+            while at > 0:
+                codes.append(ids[last[at]])
+                at -= len(last[at])
+            out[word] = b"".join(reversed(codes))
         return out
 
 
-def commonprefix(a: str, b: str) -> str:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return a[:n]
+def common(a: str, b: str) -> int:
+    """How many symbols two words share from their beginning on."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
 
 
 class WordTokenizer:
@@ -152,8 +148,9 @@ class WordTokenizer:
         new = {w for ws in words for found in ws if isinstance(found, list) for w in found if w not in known}
         codes = self.bpe.encode_words(new)
         if len(known) < KNOWN_WORDS:
+            long = {w: codes.pop(w) for w in [w for w in codes if len(w) > KNOWN_LENGTH]}
             known.update(codes)
-            codes = known
+            codes = ChainMap(long, known) if long else known
         else:
             codes = ChainMap(codes, known)
         pack = lambda found: codes[found[0]] if len(found) == 1 and isinstance(found, list) else pack_all(found)

@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -60,6 +61,18 @@ def test_digests_on_documents(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_long_words_take_little_memory():
+    random.seed(2)
+    word = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    coder = bpe_trie.WordTokenizer(WORD)
+    tracemalloc.start()
+    ids = np.frombuffer(coder.encode([word])[0], "<u4").tolist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == library(WORD, word)
+    assert most < 100e6 and not coder.known
+
+
 def test_ambiguous_vocabulary_is_refused():
     with pytest.raises(ValueError, match="two merges"):
         bpe_trie.TrieBpe({"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4, "abc": 5}, [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")], "")
