@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Items that a worker keeps with their ids; with more it begins anew.
-CACHE_ITEMS = 1_000_000
+#: Bytes of items and of their ids that a worker keeps; with more it begins anew.
+CACHE_BYTES = 48 << 20
+#: Longer items (where no spaces are written an item may be a whole text) are encoded each time and never kept.
+KEPT_LENGTH = 64
 #: Punctuation that is cut off an item's end, and after what: digits, Latin and Cyrillic letters
 #: that normalisation and lower-casing leave one letter each.
 TAIL = ",.;:!?"
@@ -27,14 +29,14 @@ LOOSE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 
 
 def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Runs of 32-bit numbers as binary values."""
-    offsets = np.concatenate([[0], ends]).astype("i4") * 4
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    """Runs of 32-bit numbers as binary values (with 64-bit offsets: ids take more bytes than their texts)."""
+    offsets = np.concatenate([[0], ends]).astype("i8") * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 32-bit numbers of binary values and the offsets of each into them."""
-    offsets = np.frombuffer(values.buffers()[1], "i4")[values.offset : values.offset + len(values) + 1].astype("i8") // 4
+    offsets = np.frombuffer(values.buffers()[1], "i8")[values.offset : values.offset + len(values) + 1] // 4
     data = values.buffers()[2]
     return np.frombuffer(data, "<u4")[offsets[0] : offsets[-1]] if data else np.zeros(0, "<u4"), offsets - offsets[0]
 
@@ -42,8 +44,8 @@ def numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """ids(): the ids of each text of a column, as one array and the texts' offsets into it.
 
-    ``encode`` gives the ids of distinct strings, put together, and how many each has; known ones stay
-    in tables until there are too many.  Punctuation after a letter or digit is a piece of its own in
+    ``encode`` gives the ids of distinct strings, put together, and how many each has; short ones stay
+    in tables until those hold too many bytes.  Punctuation after a letter or digit is a piece of its own in
     both tokenizers, so an item is put together from what stands before it and it.  With ``spaced``, an
     item carries the space before it (byte-level vocabularies); texts where white space precedes a
     space go through whole.
@@ -56,7 +58,10 @@ class Items:
     def forget(self) -> None:
         """Empty tables: by the mark that items carry before them, the items and their ids."""
         self.held = {mark: pa.array([], pa.string()) for mark in ("", " ")}
-        self.codes = {mark: pa.array([], pa.binary()) for mark in ("", " ")}
+        self.codes = {mark: pa.array([], pa.large_binary()) for mark in ("", " ")}
+
+    def bytes_held(self) -> int:
+        return sum(x.nbytes for table in (self.held, self.codes) for x in table.values())
 
     def fresh(self, items: list[str]) -> pa.Array:
         ids, sizes = self.encode(items)
@@ -67,14 +72,15 @@ class Items:
         at = pc.index_in(items, value_set=self.held[mark])
         if not at.null_count:
             return self.codes[mark].take(at)
-        new = items.filter(at.is_null())
+        lacks = at.is_null()
+        found, new = self.codes[mark].take(at.drop_null()), items.filter(lacks)
         codes = self.composed(new, mark)
-        place = pc.fill_null(at, -1).to_numpy().astype("i8")
-        first = len(self.held[mark])
-        place[place < 0] = np.arange(first, first + len(new))
-        self.held[mark] = pa.concat_arrays([self.held[mark], new])
-        self.codes[mark] = pa.concat_arrays([self.codes[mark], codes])
-        return self.codes[mark].take(pa.array(place))
+        short = pc.less_equal(pc.binary_length(new), KEPT_LENGTH)
+        self.held[mark] = pa.concat_arrays([self.held[mark], new.filter(short)])
+        self.codes[mark] = pa.concat_arrays([self.codes[mark], codes.filter(short)])
+        lacks = lacks.to_numpy(zero_copy_only=False)
+        place = np.where(lacks, len(found) + np.cumsum(lacks) - 1, np.cumsum(~lacks) - 1)
+        return pa.concat_arrays([found, codes]).take(pa.array(place))
 
     def composed(self, items: pa.Array, mark: str) -> pa.Array:
         stem = pc.ascii_rtrim(items, TAIL)
@@ -86,13 +92,13 @@ class Items:
             stems = stem.filter(mask).dictionary_encode()
             tails = pc.struct_field(pc.extract_regex(items.filter(mask), f"(?P<tail>[{TAIL}]+)$"), "tail").dictionary_encode()
             spelled = lambda coded, m: self.known(coded.dictionary, m).take(coded.indices)
-            parts.append(pc.binary_join_element_wise(spelled(stems, mark), spelled(tails, ""), b""))
+            parts.append(pc.binary_join_element_wise(spelled(stems, mark), spelled(tails, ""), pa.scalar(b"", pa.large_binary())))
         place = np.empty(len(items), "i8")
         place[~cut], place[cut] = np.arange(len(whole)), np.arange(len(whole), len(items))
         return pa.concat_arrays(parts).take(pa.array(place))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if sum(map(len, self.held.values())) > CACHE_ITEMS:
+        if self.bytes_held() > CACHE_BYTES:
             self.forget()
         mark, loose = " " if self.spaced else "", np.zeros(len(texts), bool)
         if self.spaced:

@@ -33,9 +33,19 @@ def test_any_texts(name, texts):
 
 @pytest.mark.parametrize("name", FILES)
 def test_tables_begin_anew(name, monkeypatch):
-    monkeypatch.setattr(_items, "CACHE_ITEMS", 3)
+    monkeypatch.setattr(_items, "CACHE_BYTES", 100)
     monkeypatch.setattr(_items, "TOGETHER", 2)
     items, library = _items.library_items(_items.default_path(name), FILES[name]), both(name)[1]
     for text in ("one two, three. four five two,", "six two, one", "", "seven: one\n two"):
         ids, ends = items.ids(pa.array([text, text]))
         assert ids[ends[1] :].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_texts_without_spaces_are_not_kept(name):
+    items, library = _items.library_items(_items.default_path(name), FILES[name]), both(name)[1]
+    for n in range(40):
+        texts = [chr(0x4E00 + (n * 50 + k) % 5000) * 300 + f"{n}.{k}" for k in range(50)]
+        ids, ends = items.ids(pa.array(texts))
+    assert ids[ends[-2] :].tolist() == library.encode(texts[-1], add_special_tokens=False).ids
+    assert items.bytes_held() < 100_000
