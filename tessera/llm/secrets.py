@@ -1,9 +1,10 @@
 """Secret scan with a random forest that removes false positives.
 
 Patterns propose candidates in whole texts, each to the end of its run; a random forest (Spark ML), trained on labelled
-findings, decides by length, character transitions, dictionary coverage, path and neighbouring words.
-The trained trees are a few thousand numbers, whatever the corpus: they travel with the task
-closure, and texts are scanned, decided and redacted in one pass without a shuffle.
+findings, decides by length, character transitions, dictionary coverage, path and neighbouring words.  The dictionary is
+fixed words and the corpus's own most frequent ones, counted over all documents.  The trained trees and the
+dictionary are some thousand numbers and words, whatever the corpus: they travel with the task closure, and texts are
+scanned, decided and redacted in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm._common import lean, named
 
@@ -31,7 +31,8 @@ PATTERNS = {
     "code_host_token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+)",
     "chat_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+",
     "signed_token": r"(?<![A-Za-z0-9])eyJ(?=[A-Za-z0-9_-]{10})",
-    "assigned": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret))[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/=_.~-]{8,}+)",
+    "url_password": r"://[^\s:/@\"'<>]*+:(?P<between>[^\s/@\"'<>]{3,}+)@",
+    "assigned": r"(?i:(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret))[\"']?[ \t]{0,3}[:=][ \t]{0,3}(?:(?P<mark>[\"'])(?P<quoted>[^\s\"']{6,}+)(?P=mark)|[\"']?(?P<value>[A-Za-z0-9+/=_.~!#%^&*@$-]{8,}+))",
     "random": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]{0,40}[0-9]|(?=[A-Za-z0-9+/=_-]{201})[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/=_-]{24,}+",
 }
 KINDS = list(PATTERNS)
@@ -48,7 +49,9 @@ PIECE = 200  # longer values are judged in parts of about this length
 KEY_WORDS = {"token", "secret", "password", "passwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "access"}
 HARMLESS_WORDS = {"example", "sample", "dummy", "test", "placeholder", "commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "id", "revision", "changeme", "version"}
 HARMLESS_PATHS = ("test", "example", "sample", "doc", "readme", "fixture", "lock")
-COMMON = "the and for you with this that have from your password example changeme secret token value key name user admin test sample none null true false config server default here insert enter replace data file path index http https www com org xxx abc".split()
+DICTIONARY = frozenset("the and for you with this that have from your password example changeme secret token value key name user admin test sample none null true false config server default here insert enter replace data file path index http https www com org xxx abc".split())
+#: The corpus's own words in the dictionary: how many, their lengths, and in how many documents each must stand.
+CORPUS_WORDS, WORD_LENGTHS, LEAST_DOCUMENTS = 4000, (4, 12), 20
 FEATURES = (
     ["length", "log_length", "transitions", "digit_share", "upper_share", "lower_share", "other_share", "hex_share", "entropy", "distinct_share", "longest_repeat", "coverage", "vowel_share", "dashes", "is_uuid", "near_key_word", "near_harmless_word", "harmless_path", "quoted"]
     + [f"kind_{k}" for k in KINDS]
@@ -59,19 +62,29 @@ def char_class(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def coverage(value: str) -> float:
-    """Share of the characters that common words cover, longest words first."""
-    low = value.lower()
-    covered = bytearray(len(low))
-    for word in COMMON:
-        at = low.find(word)
-        while at >= 0:
-            covered[at : at + len(word)] = b"\1" * len(word)
-            at = low.find(word, at + 1)
-    return sum(covered) / max(1, len(low))
+def coverage(value: str, words: frozenset[str]) -> float:
+    """Share of the characters that words of the dictionary cover."""
+    low, done, covered = value.lower(), 0, 0
+    for i in range(len(low)):
+        longest = next((k for k in range(min(WORD_LENGTHS[1], len(low) - i), 2, -1) if low[i : i + k] in words), 0)
+        if i + longest > done:
+            covered += i + longest - max(done, i)
+            done = i + longest
+    return covered / max(1, len(low))
 
 
-def features(value: str, kind: str, before: str, after: str, path: str) -> list[float]:
+def corpus_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS, least: int = LEAST_DOCUMENTS) -> frozenset[str]:
+    """The fixed words and the ``size`` words of plain letters that stand in the most documents (``least`` or more).
+
+    All documents are counted; only the ``size`` words, the dictionary's stated size, come to the driver.
+    """
+    words = F.array_distinct(F.split(F.lower(named(text_col)), "[^a-z0-9_]+"))
+    plain = docs.select(F.explode(words).alias("word")).where(F.length("word").between(*WORD_LENGTHS) & F.col("word").rlike("^[a-z]+$"))
+    counted = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return DICTIONARY | {r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()}
+
+
+def features(value: str, kind: str, before: str, after: str, path: str, words: frozenset[str] = DICTIONARY) -> list[float]:
     n = len(value)
     classes = [char_class(c) for c in value]
     counts = Counter(value)
@@ -90,7 +103,7 @@ def features(value: str, kind: str, before: str, after: str, path: str) -> list[
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         len(counts) / n,
         longest,
-        coverage(value),
+        coverage(value, words),
         sum(c in "aeiouAEIOU" for c in value) / max(1, letters),
         value.count("-"),
         float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None),
@@ -144,7 +157,7 @@ def between_keys(text: str, at: int, stop: int) -> Iterator[tuple[int, int, str]
             at = token[1]
         else:
             kind = next(k for k in KINDS if k in SCANNER.groupindex and m[k] is not None)
-            yield *(m.span("value") if kind == "assigned" else m.span()), kind
+            yield *m.span(next((g for g in ("between", "quoted", "value") if m[g] is not None), 0)), kind
             at = m.end()
 
 
@@ -160,14 +173,14 @@ def signed_tokens(text: str, at: int, stop: int) -> Iterator[tuple[int, int]]:
             yield m.start(), end
 
 
-def describe(text: str, found: tuple[int, int, str], path: str) -> list[list[float]]:
+def describe(text: str, found: tuple[int, int, str], path: str, words: frozenset[str] = DICTIONARY) -> list[list[float]]:
     """Features of the parts of a candidate; of a private key, its first line tells."""
     begin, end, kind = found
     if kind == "private_key":
         end = BEGIN.match(text, begin).end()
     before, after, parts = text[max(0, begin - 60) : begin], text[end : end + 40], -(-(end - begin) // PIECE)
     cuts = [begin + (end - begin) * i // parts for i in range(parts + 1)]
-    return [features(text[a:b], kind, before, after, path) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [features(text[a:b], kind, before, after, path, words) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def labelled_findings(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
@@ -176,6 +189,9 @@ def labelled_findings(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
     pick = lambda letters, k: "".join(rng.choices(letters, k=k))
     mixed, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     words = ["the", "server", "and", "then", "value", "of", "user", "load", "from", "with"]
+    spoken = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    chosen = lambda: rng.choice([str.capitalize, str])(spoken()) + rng.choice([pick("0123456789", rng.randint(1, 4)) + pick("!#%&*$?", rng.randint(0, 2)) + pick(mixed, rng.randint(2, 4)), pick("!#%&*$?", 1) + spoken() + pick("0123456789", 2)])
+    address = lambda value: f"{rng.choice(['postgres', 'mysql', 'amqp', 'https', 'redis'])}://{rng.choice(['app', 'user', 'root', 'svc', ''])}:{value}@{rng.choice(['db', 'host', 'queue'])}{rng.choice(['.internal', '', ':5432'])}/{rng.choice(words)}"
     for _ in range(n):
         before, after = " ".join(rng.choices(words, k=3)), " ".join(rng.choices(words, k=2))
         path = rng.choice(["src0", "src7", "app/config.py", "deploy.env", "web", "settings.yml"])
@@ -183,14 +199,15 @@ def labelled_findings(n: int, seed: int) -> Iterator[tuple[str, str, bool]]:
         eq = rng.choice([" = ", "=", ": "])
         if rng.random() < 0.5:
             value = rng.choice([pick(hexes, 40), pick(hexes, 32), pick(mixed, rng.randint(16, 48)), pick(mixed + "+/", 44), pick(mixed + "_-", 30)])
-            text = rng.choice([f'{name}{eq}"{value}"', f"{name}{eq}{value}", f"{name} {value + pick(mixed, 24)}", "AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(mixed, 36), f"xoxb-{pick('0123456789', 12)}-{pick(mixed, 24)}", f"eyJ{pick(mixed, 20)}.{pick(mixed, 60)}.{pick(mixed, 43)}", "-----BEGIN RSA PRIVATE KEY-----"])
+            text = rng.choice([f'{name}{eq}"{value}"', f"{name}{eq}{value}", f'{name}{eq}"{chosen()}"', f"{name}{eq}{chosen()}{pick(mixed, 2)}", address(rng.choice([chosen(), value])), f"{name} {value + pick(mixed, 24)}", "AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(mixed, 36), f"xoxb-{pick('0123456789', 12)}-{pick(mixed, 24)}", f"eyJ{pick(mixed, 20)}.{pick(mixed, 60)}.{pick(mixed, 43)}", "-----BEGIN RSA PRIVATE KEY-----"])
             yield f"{before} {text} {after}", path, True
         else:
             word = rng.choice(HARMLESS)
-            value = rng.choice([f"your_{name}_here_1", "x" * rng.randint(8, 30), "changeme123", "example_password_1", "<insert>your-key-value-here0", "0" * 32, "password1234", "test_secret_value_123"])
+            value = rng.choice([f"your_{name}_here_1", "x" * rng.randint(8, 30), "changeme123", "example_password_1", "<insert>your-key-value-here0", "0" * 32, "password1234", "test_secret_value_123", "*" * rng.randint(6, 12), "." * rng.randint(8, 12)])
+            blank = rng.choice(["password", "pass", "pwd", "secret", "$PASSWORD", "{password}", "changeme", "xxx", "xxxxxxxx", "****", "your_password", "example", "test"])
             uuid = "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))
             digest = rng.choice([pick(hexes, 40), pick(hexes, 64), pick(hexes, 32)])
-            text = rng.choice([f"{name}{eq}{value}", f'{name}{eq}"{value}"', f"{word} {digest}", f"id {uuid}", f"uuid: {uuid}", "-".join(rng.choices(words, k=8)) + "-2024", "/".join(rng.choices(words, k=7)) + "/v2", f"{name}{eq}" + ".".join(rng.choices(["config", "get", "user", "value", "default"], k=3)), pick("0123456789", 26), f"example {name}{eq}{pick(mixed, 20)}"])
+            text = rng.choice([f"{name}{eq}{value}", f'{name}{eq}"{value}"', address(blank), f'{name}{eq}"{blank}"', f"{word} {digest}", f"id {uuid}", f"uuid: {uuid}", "-".join(rng.choices(words, k=8)) + "-2024", "/".join(rng.choices(words, k=7)) + "/v2", f"{name}{eq}" + ".".join(rng.choices(["config", "get", "user", "value", "default"], k=3)), pick("0123456789", 26), f"example {name}{eq}{pick(mixed, 20)}"])
             yield f"{before} {text} {after}", rng.choice([path, "tests/fixture.py", "docs/readme.md", "poetry.lock"]), False
 
 
@@ -247,20 +264,31 @@ def train(spark: SparkSession, findings: DataFrame, trees: int = 20, depth: int
 _TRAINED: dict[tuple, Forest] = {}
 
 
+def finding_features(labelled: DataFrame) -> DataFrame:
+    """(features, label) of the candidates in labelled findings: text, path, is_secret."""
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(shown, float(real)) for t, p, real in zip(*(batch[c].to_pylist() for c in ("text", "path", "is_secret")), strict=True) for c in candidates(t) for shown in describe(t, c, p)]
+            yield pa.record_batch({"features": pa.array([r[0] for r in rows], pa.list_(pa.float64())), "label": pa.array([r[1] for r in rows], pa.float64())})
+
+    text, path = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "path"))
+    return labelled.where("is_secret is not null").select(text, path, F.col("is_secret").cast("boolean").alias("is_secret")).mapInArrow(described, "features array<double>, label double")
+
+
 def trained(spark: SparkSession, n: int = 1500, seed: int = 5) -> Forest:
     """The forest for ``n`` generated findings; once for each driver."""
     if (n, seed) not in _TRAINED:
-        rows = [(shown, float(real)) for t, p, real in labelled_findings(n, seed) for c in candidates(t) for shown in describe(t, c, p)]
-        schema = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("label", T.DoubleType())])
-        _TRAINED[n, seed] = train(spark, spark.createDataFrame(rows, schema))
+        rows = spark.createDataFrame(list(labelled_findings(n, seed)), "text string, path string, is_secret boolean")
+        _TRAINED[n, seed] = train(spark, finding_features(rows))
     return _TRAINED[n, seed]
 
 
-def secrets_of(text: str, path: str, forest: Forest, sure: float) -> list[tuple[int, int, str, float]]:
+def secrets_of(text: str, path: str, forest: Forest, sure: float, words: frozenset[str] = DICTIONARY) -> list[tuple[int, int, str, float]]:
     found = list(candidates(text))
     if not found:
         return []
-    parts = [describe(text, c, path) for c in found]
+    parts = [describe(text, c, path, words) for c in found]
     firsts = np.cumsum([0, *map(len, parts[:-1])])
     chances = np.maximum.reduceat(forest.chances(np.array([shown for rows in parts for shown in rows])), firsts)
     return [(a, b, k, float(p)) for (a, b, k), p in zip(found, chances, strict=True) if p >= sure]
@@ -274,19 +302,20 @@ def redacted(text: str, found: list[tuple[int, int, str, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int = 1500, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame = 1500, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, n_secrets, secrets (kind:start:end, comma-joined, code points), top_score of each row.
 
-    Null and empty texts have none; a missing or null path is empty.  Rows that repeat are judged
-    alike, null ids are kept, an empty table gives an empty result.
+    The forest is trained on ``findings``: a number of generated ones, or a table of labelled ones (text, path,
+    is_secret).  Null and empty texts have no secrets; a missing or null path is empty.  Rows that repeat are
+    judged alike, null ids are kept, an empty table gives an empty result.
     """
-    forest = trained(docs.sparkSession, findings)
+    forest, words = _forest(docs, findings), corpus_words(docs, text_col)
     path = F.coalesce(named(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [secrets_of(t.as_py(), p, forest, sure) for t, p in zip(batch["text"], batch["path"].to_pylist(), strict=True)]
+            found = [secrets_of(t.as_py(), p, forest, sure, words) for t, p in zip(batch["text"], batch["path"].to_pylist(), strict=True)]
             yield pa.record_batch(
                 {
                     "doc_id": batch["doc_id"],
@@ -299,16 +328,20 @@ def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int = 1500, id_co
     return rows.mapInArrow(lean(run), "doc_id long, n_secrets long, secrets string, top_score double")
 
 
-def redact(docs: DataFrame, sure: float = 0.5, findings: int = 1500, text_col: str = "text", path_col: str = "source", size_col: str = "n_chars") -> DataFrame:
+def _forest(docs: DataFrame, findings: int | DataFrame) -> Forest:
+    return trained(docs.sparkSession, findings) if isinstance(findings, int) else train(docs.sparkSession, finding_features(findings))
+
+
+def redact(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame = 1500, text_col: str = "text", path_col: str = "source", size_col: str = "n_chars") -> DataFrame:
     """docs with each secret replaced by its kind in brackets (and ``size_col``, if there, brought up to date)."""
-    forest = trained(docs.sparkSession, findings)
+    forest, words = _forest(docs, findings), corpus_words(docs, text_col)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column(names.index(path_col)).to_pylist() if path_col in names else [""] * len(batch)
             texts = batch.column(names.index(text_col)).to_pylist()
-            new = [None if t is None else redacted(t, secrets_of(t, str(p or ""), forest, sure)) for t, p in zip(texts, paths, strict=True)]
+            new = [None if t is None else redacted(t, secrets_of(t, str(p or ""), forest, sure, words)) for t, p in zip(texts, paths, strict=True)]
             changed = batch.set_column(names.index(text_col), text_col, pa.array(new, pa.string()))
             if size_col in names:
                 sizes = [n if t == s else len(s) for n, t, s in zip(batch.column(names.index(size_col)).to_pylist(), texts, new, strict=True)]
