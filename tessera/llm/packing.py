@@ -105,7 +105,8 @@ def pack_groups(pieces: DataFrame, groups: int, base: int, capacity: int) -> Dat
                 filled += n
         return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # by the place in the (written) table too: rows that repeat don't all meet in one group
+    dealt = pieces.withColumn("_place", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_place"), F.lit(groups))).drop("_place")
     return dealt.groupBy("_group").applyInArrow(pack, PIECE + ", sequence_id long, offset long")
 
 
