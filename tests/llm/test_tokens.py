@@ -127,7 +127,72 @@ def test_wavelet_answers_like_an_array():
             assert shard.access(i) == token
             assert shard.locate(token)[:40] == np.flatnonzero(ids == token).tolist()[:40]
             assert shard.count(token, i // 2, i) == int((ids[i // 2 : i] == token).sum())
-        assert shard.count(60_000) == 0
+        assert shard.count(60_000) == 0 and shard.count(70_000) == 0 and shard.count(-1) == 0
+        with pytest.raises(IndexError):
+            shard.select(70_000, 0)
+
+
+def test_wavelet_over_several_chunks_unpacks_few(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 256)
+    rng = np.random.default_rng(4)
+    for n, levels in ((5000, 17), (256, 3), (512, 1), (257, 20)):
+        ids = rng.integers(0, 1 << levels, n).astype("<u4")
+        ids[rng.integers(0, n, n // 2)] = 1
+        data = build_shard(np.arange(1), np.array([n]), ids, levels)
+        assert Shard(data).tokens().tolist() == ids.tolist()
+        shard = Shard(data)
+        assert shard.access(n // 2) == ids[n // 2] and len(shard.words) <= levels
+        assert shard.locate(1) == np.flatnonzero(ids == 1).tolist()
+        for i in (0, 255, 256, n - 1, n):
+            assert shard.count(1, 0, min(i, n)) == int((ids[:i] == 1).sum())
+
+
+def test_ids_beyond_the_planes_are_refused():
+    with pytest.raises(ValueError, match="planes"):
+        build_shard(np.arange(1), np.array([3]), np.array([70_000, 65_536, 3], "<u4"), 16)
+    assert Shard(build_shard(np.arange(1), np.array([3]), np.array([70_000, 65_536, 3], "<u4"), 17)).tokens().tolist() == [70_000, 65_536, 3]
+    assert wavelet.planes_of(BYTE, 0) == 16 and wavelet.planes_of(BYTE, 1 << 16) == 17
+
+
+def whole_documents(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def test_packing_query_on_documents(spark, sf):
+    docs, cache = whole_documents(spark, sf), {}
+    ids_of = lambda d: cache.setdefault(d, [*library(WORD, docs[d]), 2])
+    covered, windows = check_packing(queries.op8_packing(spark, sf).collect(), ids_of, 4096)
+    assert covered.keys() == docs.keys()
+    assert all(sum(n for _, n in p) == len(ids_of(d)) for d, p in covered.items())
+    assert all(a + n == b for p in covered.values() for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:]))
+    total = sum(map(len, cache.values()))
+    assert len(windows) * 4096 < 1.05 * total + 4096
+
+
+def test_wavelet_query_on_documents(spark, sf):
+    docs, at = whole_documents(spark, sf), 0
+    got = {r.doc_id: r for r in queries.op10_wavelet(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for d in sorted(docs):
+        ids = [*library(BYTE, docs[d]), 0]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_counts_and_places_over_shards(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    wavelet.write_shards(docs, str(tmp_path / "s"), BYTE, shard_bytes=1 << 14, shard_ids=3000)
+    every = [i for _, t in sorted((r.doc_id, r.text or "") for r in docs.collect()) for i in [*library(BYTE, t), 0]]
+    asked = [0, every[5], every[-2], 50_256, 1 << 20]
+    assert {r.token: r.n for r in wavelet.count_tokens(spark, str(tmp_path / "s"), asked).collect()} == {t: every.count(t) for t in set(asked)}
+    places = sorted((r.token, r.position) for r in wavelet.locate_tokens(spark, str(tmp_path / "s"), asked, most=7).collect())
+    assert places == sorted((t, k) for t in set(asked) for k, x in enumerate(every) if x == t)
+
+
+def test_repeated_rows_are_dealt_out(spark):
+    docs = spark.createDataFrame([(7, "same words again")] * 400, "doc_id long, text string")
+    packed = packing.pack_documents(docs, WORD, capacity=16, group_pieces=40).collect()
+    assert len(packed) == 400 and len({r.sequence_id >> 24 for r in packed}) > 5
 
 
 def test_shards_round_trip(spark, hard, tmp_path):
