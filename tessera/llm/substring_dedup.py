@@ -5,12 +5,15 @@ minimizers, and a run of neighbouring windows with one minimizer is a segment.
 grouped Arrow function over one shuffle:
 
 1. blocks of documents send the sorted minimizers that they hold, packed by minimizer range;
-2. ranges answer which of them stand in two documents or more;
-3. blocks send the segments of those, equal ones of a block once, to the minimizer's range;
+2. ranges answer which of them stand in two documents or more, and which have ``hot_segments`` or more;
+3. blocks send the segments of those, equal ones of a block once, to the minimizer's range; segments of hot
+   minimizers go window by window to the ranges of the windows' own hashes (equal windows have equal ones);
 4. ranges find equal windows by blockwise suffix sorting (``suffix_blocks``) and answer spans.
 
 At last blocks cut the spans out.  The documents are shuffled once: the three steps that read them
-share that exchange.  What is sent grows with the text and not with the number of equal pairs.
+share that exchange.  What is sent grows with the text and not with the number of equal pairs: a block's
+row for a range holds what falls there, so there are at most blocks x ranges rows in step 1 and never more
+than minimizers; answers go only where a minimizer is shared.
 """
 
 from __future__ import annotations
@@ -100,6 +103,17 @@ def string_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_hashes(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """A mixed 64-bit hash of the ``depth`` bytes from each place on."""
+    padded = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data), (len(data) - 7, 8), (1, 1))
+    out = np.zeros(len(places), "u8")
+    for shift in (*range(0, depth - 8, 8), depth - 8):
+        out ^= np.ascontiguousarray(padded[places + shift]).view("<u8").ravel()
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return evened(out)
+
+
 def evened(values: np.ndarray) -> np.ndarray:
     """Minima lie near zero; a one-to-one mix spreads them over all 64 bits, and so over equal ranges."""
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -126,8 +140,9 @@ def rows_of(columns: dict[str, list], schema: str) -> pa.Table:
     return pa.table({n: pa.array(columns.get(n, []), kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
 
 
-def repeated_spans(blocks: DataFrame, depth: int, ranges: int) -> DataFrame:
+def repeated_spans(blocks: DataFrame, depth: int, ranges: int, hot_segments: int) -> DataFrame:
     """(part, places, sizes) of windows that also stand in a document with a smaller id."""
+    told, answered = "key long, part long, ids binary, sizes binary, text binary", "key long, part long, ids binary, sizes binary"
 
     def minimizers(key: tuple, rows: pa.Table) -> pa.Table:
         block = Block(rows, depth)
@@ -139,53 +154,69 @@ def repeated_spans(blocks: DataFrame, depth: int, ranges: int) -> DataFrame:
         unique = least[begins]
         several = doc[begins] != doc[np.append(begins[1:], len(doc))[: len(begins)] - 1]
         bounds = key_bounds(unique, ranges)
-        out: dict[str, list] = {"key": [], "part": [], "ids": [], "text": []}
+        counts = np.minimum(np.diff(np.append(begins, len(least))), (1 << 32) - 1).astype("u4")
+        out: dict[str, list] = {"key": [], "part": [], "ids": [], "sizes": [], "text": []}
         for r in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[r], bounds[r + 1]
             short = unique[a:b] >> np.uint64(16)  # less to send; two keys that look equal only add candidates
-            for column, x in zip(out.values(), (r, key[0].as_py(), pack(np.diff(short, prepend=np.uint64(0))), pack(several[a:b].astype("u1"))), strict=True):
+            for column, x in zip(out.values(), (r, key[0].as_py(), pack(np.diff(short, prepend=np.uint64(0))), pack(counts[a:b]), pack(several[a:b].astype("u1"))), strict=True):
                 column.append(x)
-        return rows_of(out, "key long, part long, ids binary, text binary")
+        return rows_of(out, told)
 
     def shared(key: tuple, rows: pa.Table) -> pa.Table:
         keys = [np.cumsum(unpack(x.as_py(), "u8"), dtype="u8") for x in rows["ids"]]
         several = np.concatenate([unpack(x.as_py(), "u1") for x in rows["text"]]).astype(bool)
         every = np.concatenate(keys)
-        _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        twice = counts > 1
+        _, inverse, blocks_of = np.unique(every, return_inverse=True, return_counts=True)
+        twice = blocks_of > 1
         twice[inverse[several]] = True
-        flags = np.split(twice[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        return rows_of({"key": [key[0].as_py()] * len(keys), "part": rows["part"].to_pylist(), "ids": [pack(np.packbits(f)) for f in flags]}, "key long, part long, ids binary")
+        hot = np.bincount(inverse, np.concatenate([unpack(x.as_py(), "u4") for x in rows["sizes"]])) >= hot_segments
+        edges = np.cumsum([len(k) for k in keys])[:-1]
+        out: dict[str, list] = {"key": [], "part": [], "ids": [], "sizes": []}
+        for part, flags, hots in zip(rows["part"].to_pylist(), np.split(twice[inverse], edges), np.split((twice & hot)[inverse], edges), strict=True):
+            if flags.any():
+                for column, x in zip(out.values(), (key[0].as_py(), part, pack(np.packbits(flags)), pack(np.packbits(hots)) if hots.any() else None), strict=True):
+                    column.append(x)
+        return rows_of(out, answered)
 
     def send(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         block, part = Block(rows, depth), key[0].as_py()
         least, places, sizes = block.segments()
         unique, inverse = np.unique(least, return_inverse=True)
         bounds = key_bounds(unique, ranges)
-        twice = np.zeros(len(unique), bool)
-        for r, bits in zip(answers["key"].to_pylist(), answers["ids"].to_pylist(), strict=True):
-            twice[bounds[r] : bounds[r + 1]] = np.unpackbits(unpack(bits, "u1"), count=int(bounds[r + 1] - bounds[r]))
-        at = np.flatnonzero(twice[inverse])
-        ids = block.ids[block.doc_of(places[at])]
+        twice, hot = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
+        for r, shared_bits, hot_bits in zip(answers["key"].to_pylist(), answers["ids"].to_pylist(), answers["sizes"].to_pylist(), strict=True):
+            a, b = bounds[r], bounds[r + 1]
+            twice[a:b] = np.unpackbits(unpack(shared_bits, "u1"), count=int(b - a))
+            if hot_bits:
+                hot[a:b] = np.unpackbits(unpack(hot_bits, "u1"), count=int(b - a))
+        chosen, split = twice[inverse], hot[inverse]
+        keys, places, sizes, hots = least[chosen], places[chosen], sizes[chosen], split[chosen]
+        if hots.any():  # their windows, each with a key of its own
+            windows = np.repeat(places[hots], sizes[hots]) + np.arange(sizes[hots].sum()) - np.repeat(np.cumsum(sizes[hots]) - sizes[hots], sizes[hots])
+            keys = np.concatenate([keys[~hots], window_hashes(block.data, windows, depth)])
+            places, sizes = np.concatenate([places[~hots], windows]), np.concatenate([sizes[~hots], np.ones(len(windows), "i8")])
+            order = np.argsort(places, kind="stable")
+            keys, places, sizes = keys[order], places[order], sizes[order]
+        ids = block.ids[block.doc_of(places)]
         first: dict[bytes, int] = {}
-        known = np.zeros(len(at), bool)  # an equal segment stands in a smaller document of this block
+        known = np.zeros(len(places), bool)  # an equal segment stands in a smaller document of this block
         data = block.bytes
-        for i, (a, n, d) in enumerate(zip(places[at].tolist(), (sizes[at] + depth - 1).tolist(), ids.tolist(), strict=True)):
+        for i, (a, n, d) in enumerate(zip(places.tolist(), (sizes + depth - 1).tolist(), ids.tolist(), strict=True)):
             known[i] = first.setdefault(bytes(data[a : a + n]), d) < d
         out: dict[str, list] = {n.split()[0]: [] for n in ROUTED.split(", ")}
-
-        fine = key_bounds(unique, ranges * BUCKETS)
+        fine = np.array([(r << 64) // (ranges * BUCKETS) for r in range(ranges * BUCKETS)], "u8")
 
         def add(key: int, some: np.ndarray, text: bytes | None) -> None:
-            bucket = (np.searchsorted(fine, inverse[some], "right") - 1 - key * BUCKETS).astype("u1")
-            for column, x in zip(out.values(), (key, part, pack(block.ids[block.doc_of(places[some])]), pack(places[some]), pack(sizes[some]), pack(bucket), text), strict=True):
+            bucket = (np.searchsorted(fine, keys[some], "right") - 1 - key * BUCKETS).astype("u1")
+            for column, x in zip(out.values(), (key, part, pack(ids[some]), pack(places[some]), pack(sizes[some]), pack(bucket), text), strict=True):
                 column.append(x)
 
         if known.any():
-            add(part % ranges, at[known], None)
-        at = at[~known]
-        at = at[np.argsort(inverse[at], kind="stable")]
-        edges = np.searchsorted(inverse[at], bounds)
+            add(part % ranges, np.flatnonzero(known), None)
+        at = np.flatnonzero(~known)
+        at = at[np.argsort(keys[at], kind="stable")]
+        edges = key_bounds(keys[at], ranges)
         for r in np.flatnonzero(np.diff(edges)).tolist():
             some = at[edges[r] : edges[r + 1]]
             text = b"".join([data[a : a + n] for a, n in zip(places[some].tolist(), (sizes[some] + depth - 1).tolist(), strict=True)])
@@ -224,19 +255,19 @@ def repeated_spans(blocks: DataFrame, depth: int, ranges: int) -> DataFrame:
                 out["sizes"].append(pack(lengths[a:b].astype("i8")))
         return rows_of(out, "part long, places binary, sizes binary")
 
-    held = blocks.groupBy("part").applyInArrow(minimizers, "key long, part long, ids binary, text binary")
-    answers = held.groupBy("key").applyInArrow(shared, "key long, part long, ids binary")
+    held = blocks.groupBy("part").applyInArrow(minimizers, told)
+    answers = held.groupBy("key").applyInArrow(shared, answered)
     routed = blocks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(send, ROUTED)
     return routed.groupBy("key").applyInArrow(compare, "part long, places binary, sizes binary")
 
 
-def _with_spans(docs: DataFrame, depth: int, block_bytes: int, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
+def _with_spans(docs: DataFrame, depth: int, block_bytes: int, hot_segments: int, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
     if depth < 2 * K - 8 or depth < 42:
         raise ValueError(f"windows of {depth} bytes are too short for minimizers of {K}")
     rows = id_and_text(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // block_bytes))
-    blocks = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"), "doc_id", "text")
+    blocks = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(parts)).alias("part"), "doc_id", "text")
 
     def cut(key: tuple, rows: pa.Table, spans: pa.Table) -> pa.Table:
         block = Block(rows, depth)
@@ -261,31 +292,32 @@ def _with_spans(docs: DataFrame, depth: int, block_bytes: int, id_col: str, text
             results.append((None if block.null[i] else int(block.ids[i]), b - a, sum(y - x for x, y in gone), len(gone), kept))
         return finish(results)
 
-    spans = repeated_spans(blocks, depth, parts)
+    spans = repeated_spans(blocks, depth, parts, hot_segments)
     return blocks.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut, schema)
 
 
-def span_digests(docs: DataFrame, depth: int = 50, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def span_digests(docs: DataFrame, depth: int = 50, block_bytes: int = 8 << 20, hot_segments: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
     Null texts are empty; null ids come before all others; rows with one id are no source for each
-    other.  Texts shorter than a window stay whole.  An empty table gives an empty result.
+    other.  Texts shorter than a window stay whole.  An empty table gives an empty result.  A minimizer with
+    ``hot_segments`` segments or more is split by window over all ranges.
     """
 
     def finish(results: list[tuple]) -> pa.Table:
         ids, sizes, gone, spans, kept = zip(*results, strict=True)
         return rows_of({"doc_id": ids, "n_bytes": sizes, "n_removed": gone, "n_spans": spans, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}, SPANS)
 
-    return _with_spans(docs, depth, block_bytes, id_col, text_col, finish, SPANS)
+    return _with_spans(docs, depth, block_bytes, hot_segments, id_col, text_col, finish, SPANS)
 
 
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeated_spans(docs: DataFrame, depth: int = 50, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, depth: int = 50, block_bytes: int = 8 << 20, hot_segments: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and what is left of each row's text as UTF-8; characters that a cut leaves incomplete go."""
 
     def finish(results: list[tuple]) -> pa.Table:
         return rows_of({"doc_id": [r[0] for r in results], "text": [r[4].decode(errors="ignore") for r in results]}, "doc_id long, text string")
 
-    return _with_spans(docs, depth, block_bytes, id_col, text_col, finish, "doc_id long, text string")
+    return _with_spans(docs, depth, block_bytes, hot_segments, id_col, text_col, finish, "doc_id long, text string")

@@ -32,6 +32,9 @@ def test_query_matches_brute_force(spark, sf):
     assert sorted(map(tuple, queries.op9_suffix_dedup(spark, sf).collect())) == want
     small = substring_dedup.span_digests(spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=1 << 15)
     assert sorted(map(tuple, small.collect())) == want
+    for hot in (1, 6):
+        split = substring_dedup.span_digests(spark.read.parquet(f"{sf}/documents.parquet"), block_bytes=1 << 16, hot_segments=hot)
+        assert sorted(map(tuple, split.collect())) == want
 
 
 def test_planted_passages(spark):
@@ -44,8 +47,8 @@ def test_planted_passages(spark):
     rows += [(51, rows[3][1]), (51, rows[3][1]), (52, prose(10)), (52, prose(50)), (-3, passage + passage)]
     docs = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], "doc_id long, text string, part string, key string, ids int")
     want = brute([r for r in rows])
-    for size in (8 << 20, 3000):
-        assert sorted(map(tuple, substring_dedup.span_digests(docs, block_bytes=size).collect())) == want
+    for size, hot in ((8 << 20, 1 << 20), (3000, 1 << 20), (8 << 20, 3), (3000, 3)):
+        assert sorted(map(tuple, substring_dedup.span_digests(docs, block_bytes=size, hot_segments=hot).collect())) == want
     left = {r.doc_id: r.text for r in substring_dedup.remove_repeated_spans(docs).collect()}
     assert left[-3] == passage + passage and left[40] == "" and left[44] == other
 
