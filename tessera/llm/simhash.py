@@ -2,19 +2,24 @@
 
 Two fingerprints at most ``2r`` bits apart have a variant in common that is within ``r`` bits of
 either, so each distinct fingerprint emits its ball of radius ``r`` and those that meet on a variant
-are candidates.  The distance asked for here is odd (3): one of the differing bits is absorbed by
-leaving out, in turn, each of three blocks of the fingerprint.  If no block holds two differing
-bits, leaving out one that holds one leaves two; else leaving out a block with two or more leaves at
-most one.  So a fingerprint emits 3 x (1 + 42 or 43) variants of radius 1, where balls of
-radius 2 over all 64 bits would be 2,081.
-
-Fingerprints are made distinct before they are spread, those that meet are verified on all bits,
-and each variant's members give a spanning forest of their links, not all pairs.
+are candidates.  Bits beyond two are absorbed by leaving out, in turn, blocks of the fingerprint:
+
+* distance 3: one of three blocks.  If no block holds two differing bits, leaving out one that holds
+  one leaves two; else leaving out a block with two or more leaves at most one.  A fingerprint emits
+  3 x (1 + 42 or 43) variants of radius 1, where balls of radius 2 over all 64 bits would be 2,081.
+* distance 6: two of four blocks.  Were three bits left by leaving out the two blocks with most, one
+  of the others would hold two, so the two left out four or more, seven in all.  A fingerprint emits
+  6 x (1 + 32) variants.
+
+Fingerprints are made distinct before they are spread, those that meet are verified on all bits (and,
+if asked for, on a second fingerprint of longer shingles), and each variant's members give a spanning
+forest of their links, not all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm._common import checkpointed, hot_lookup, id_and_text, lean, without
 from tessera.llm.components import connected_components
 
-BLOCKS = ((0, 21), (21, 42), (42, 64))
+#: By the distance reached: where blocks of the 64 bits end, and how many of them are left out.
+CUTS = {3: ((0, 21, 42, 64), 1), 6: ((0, 16, 32, 48, 64), 2)}
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype("i8")
 
 
@@ -53,57 +59,73 @@ def fingerprint(data: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint (long, the 64 bits as signed)."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", verify_words: int | None = None) -> DataFrame:
+    """doc_id and fingerprint (long, the 64 bits as signed), and ``check``, that of ``verify_words`` words, if given."""
+    lengths = {"fingerprint": words} | ({"check": verify_words} if verify_words else {})
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_buffer().to_pybytes(), words) for t in batch["text"]]
-            yield pa.record_batch({"doc_id": batch["doc_id"], "fingerprint": pa.array(prints, pa.int64())})
+            data = [t.as_buffer().to_pybytes() for t in batch["text"]]
+            yield pa.record_batch({"doc_id": batch["doc_id"], **{name: pa.array([fingerprint(d, k) for d in data], pa.int64()) for name, k in lengths.items()}})
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(lean(hashed), "doc_id long, fingerprint long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(hashed), ", ".join(["doc_id long", *(f"{name} long" for name in lengths)]))
 
 
-def ball() -> list[tuple[int, int]]:
-    """(kept bits, change) of each variant: a block left out and marked there, at most one kept bit changed."""
-    out = []
-    for k, (begin, end) in enumerate(BLOCKS):
-        gone = ((1 << end) - 1) ^ ((1 << begin) - 1)
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        mark = (k + 1) << begin
-        out += [(signed(~gone & (1 << 64) - 1), signed(mark | change)) for change in (0, *(1 << b for b in range(64) if not begin <= b < end))]
+def ball(distance: int) -> list[tuple[int, int]]:
+    """(kept bits, change) of each variant: blocks left out and marked there, at most one kept bit changed."""
+    ends, gone = CUTS[min(d for d in CUTS if d >= distance)]
+    out, signed = [], lambda x: x - (1 << 64) if x >> 63 else x
+    for k, chosen in enumerate(combinations(range(len(ends) - 1), gone)):
+        left_out = {b for c in chosen for b in range(ends[c], ends[c + 1])}
+        keep, mark = sum(1 << b for b in range(64) if b not in left_out), (k + 1) << ends[chosen[0]]
+        out += [(signed(keep), signed(mark | change)) for change in (0, *(1 << b for b in range(64) if b not in left_out))]
     return out
 
 
-def forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect those of the members which links of at most ``distance`` bits connect."""
-    rest, out = np.unique(members), []
+def forest(members: np.ndarray, checks: np.ndarray | None, distance: int, verify_distance: int) -> list[tuple[int, int]]:
+    """Links that connect those of the members which links connect."""
+    rest, at = np.unique(members, return_index=True)
+    checks, out = np.zeros(len(rest), "i8") if checks is None else checks[at], []
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest, checks = [(rest[0], checks[0])], rest[1:], checks[1:]
         while queue and len(rest):
-            p = queue.pop()
-            near = np.bitwise_count((rest ^ p).view("u8")) <= distance
+            p, c = queue.pop()
+            near = linked(rest, p, checks, c, distance, verify_distance)
             if near.any():
-                queue += list(rest[near])
+                queue += list(zip(rest[near], checks[near], strict=True))
                 out += [(int(p), int(x)) for x in rest[near]]
-                rest = rest[~near]
+                rest, checks = rest[~near], checks[~near]
     return out
 
 
-def fingerprint_links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b) links that connect distinct fingerprints at most ``distance`` (3 or less) bits apart."""
-    if not 0 <= distance <= 3:
-        raise ValueError("balls of radius 1 with one block left out reach 3 bits")
-    variants = F.array(*[F.struct(F.lit(keep).alias("keep"), F.lit(change).alias("change")) for keep, change in ball()])
-    spread = prints.select("fingerprint", F.explode(variants).alias("v"))
-    spread = spread.select(F.col("fingerprint").bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.change")).alias("variant"), "fingerprint")
+def linked(a: np.ndarray, b: np.ndarray, a_check: np.ndarray | None, b_check: np.ndarray | None, distance: int, verify_distance: int) -> np.ndarray:
+    near = np.bitwise_count((a ^ b).view("u8")) <= distance
+    return near if a_check is None else near & (np.bitwise_count((a_check ^ b_check).view("u8")) <= verify_distance)
+
+
+def fingerprint_links(prints: DataFrame, distance: int = 3, verify_distance: int = 14) -> DataFrame:
+    """(a, b) links that connect distinct fingerprints at most ``distance`` (6 or less) bits apart.
+
+    Where prints have a column ``check``, those are also at most ``verify_distance`` bits apart.
+    """
+    if not 0 <= distance <= max(CUTS):
+        raise ValueError(f"balls of radius 1 with blocks left out reach {max(CUTS)} bits")
+    checked = "check" in prints.columns
+    carried = ["fingerprint", "check"] if checked else ["fingerprint"]
+    variants = F.array(*[F.struct(F.lit(keep).alias("keep"), F.lit(change).alias("change")) for keep, change in ball(distance)])
+    spread = prints.select(*carried, F.explode(variants).alias("v"))
+    spread = spread.select(F.col("fingerprint").bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.change")).alias("variant"), *carried)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = np.zeros(0, "i8"), np.zeros(0, "i8")  # of the last variant so far, which may go on
+        check = np.zeros(0, "i8") if checked else None
+        of = lambda at: None if check is None else check[at]
         for batch in (*batches, None):
             if batch is not None:
                 key = np.concatenate([key, batch["variant"].to_numpy()])
                 own = np.concatenate([own, batch["fingerprint"].to_numpy()])
+                if checked:
+                    check = np.concatenate([check, batch["check"].to_numpy()])
                 if not len(key):
                     continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, "i8")
@@ -112,34 +134,43 @@ def fingerprint_links(prints: DataFrame, distance: int = 3) -> DataFrame:
             whole = (ends <= done) & (ends - starts > 1)
             two = starts[whole & (ends - starts == 2)]
             a, b = own[two], own[two + 1]
-            near = (a != b) & (np.bitwise_count((a ^ b).view("u8")) <= distance)
+            near = (a != b) & linked(a, b, of(two), of(two + 1), distance, verify_distance)
             links = [np.stack([a[near], b[near]], 1)]
             for s, e in zip(starts[whole & (ends - starts > 2)].tolist(), ends[whole & (ends - starts > 2)].tolist(), strict=True):
-                links.append(np.array(forest(own[s:e], distance), "i8").reshape(-1, 2))
+                links.append(np.array(forest(own[s:e], of(slice(s, e)), distance, verify_distance), "i8").reshape(-1, 2))
             found = np.unique(np.concatenate(links), axis=0)
-            key, own = key[done:], own[done:]
+            key, own, check = key[done:], own[done:], of(slice(done, None))
             yield pa.record_batch({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
     return spread.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", verify_words: int | None = None, verify_distance: int = 14
+) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row.
 
-    Texts without words, null ones included, have fingerprint zero and link like any other.  Rows that
-    repeat get a result each; null ids take part but never name a component unless all its ids are
-    null, when component_id is null.  An empty table gives an empty result.
+    With ``verify_words`` a link also asks for fingerprints of shingles of so many words to be at most
+    ``verify_distance`` bits apart (texts with equal fingerprints are always linked).  Texts without words, null
+    ones included, have fingerprint zero and link like any other.  Rows that repeat get a result each; null ids
+    take part but never name a component unless all its ids are null, when component_id is null.  An empty
+    table gives an empty result.
     """
-    prints = checkpointed(fingerprints(docs, words, id_col, text_col))
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(distinct.select("fingerprint"), distance))
+    prints = checkpointed(fingerprints(docs, words, id_col, text_col, verify_words))
+    carried = ["fingerprint", "check"] if verify_words else ["fingerprint"]
+    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in carried[1:]])
+    roots = connected_components(fingerprint_links(distinct.select(*carried), distance, verify_distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     table = hot_lookup(rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root", F.col("fingerprint"))
-    told = hot_lookup(prints, table.select("fingerprint", "component_id"), "fingerprint", F.col("doc_id"))
+    told = hot_lookup(prints.select("doc_id", "fingerprint"), table.select("fingerprint", "component_id"), "fingerprint", F.col("doc_id"))
     return told.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the least id; rows with null ids stay; all columns stay."""
-    losers = near_duplicates(docs, words, distance, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+def drop_near_duplicates(docs: DataFrame, words: int = 2, distance: int = 6, id_col: str = "doc_id", text_col: str = "text", verify_words: int | None = 5, verify_distance: int = 14) -> DataFrame:
+    """docs with one row of each component, that of the least id; rows with null ids stay; all columns stay.
+
+    Of two texts that share 0.8 of their 5-word shingles, fingerprints of those lie about 9.7 bits apart;
+    14 is 1.5 standard deviations more.  Candidates come from shorter shingles, of which an edit spoils fewer.
+    """
+    losers = near_duplicates(docs, words, distance, id_col, text_col, verify_words, verify_distance).where("doc_id <> component_id").select("doc_id").distinct()
     return without(docs, id_col, losers)

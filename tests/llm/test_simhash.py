@@ -75,7 +75,7 @@ def test_edges_and_clashing_columns(spark):
     assert by[5].component_id == 4 and by[7].component_id == 6 and by[8].component_id == 8
     for d, t in rows[:-1]:
         assert by[d].fingerprint == f"{brute_print(t):016x}"
-    left = simhash.drop_near_duplicates(docs)
+    left = simhash.drop_near_duplicates(docs, words=3, distance=3, verify_words=None)
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "6", "8", "None"]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
@@ -88,5 +88,48 @@ def test_long_chains_of_links(spark):
 
 
 def test_distance_beyond_reach_is_refused(spark):
-    with pytest.raises(ValueError, match="3 bits"):
-        simhash.fingerprint_links(spark.createDataFrame([], "fingerprint long"), 4)
+    with pytest.raises(ValueError, match="6 bits"):
+        simhash.fingerprint_links(spark.createDataFrame([], "fingerprint long"), 7)
+
+
+@pytest.mark.parametrize("distance", [4, 6])
+def test_wider_links_by_brute_force(spark, distance):
+    rng = random.Random(distance)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    for v in values[:60]:
+        values += [v ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (4, 5, 6, 6, 7)]
+    checks = {v: rng.choice([0, (1 << 14) - 1, (1 << 15) - 1]) for v in values}
+    signed = {v - (1 << 64) if v >> 63 else v: c for v, c in checks.items()}
+    got = simhash.fingerprint_links(spark.createDataFrame(list(signed.items()), "fingerprint long, check long"), distance, verify_distance=14)
+    roots = {r.node: r.root for r in connected_components(got).collect()}
+    nodes = list(signed)
+    bits, marks = np.array(nodes, "i8"), np.array(list(signed.values()), "i8")
+    least, seen = {}, set()
+    for i in range(len(nodes)):
+        queue, members = [i], []
+        while queue:
+            j = queue.pop()
+            if j in seen:
+                continue
+            seen.add(j)
+            members.append(nodes[j])
+            near = (np.bitwise_count((bits ^ bits[j]).view("u8")) <= distance) & (np.bitwise_count((marks ^ marks[j]).view("u8")) <= 14)
+            queue += np.flatnonzero(near).tolist()
+        least |= {m: min(members) for m in members}
+    assert {v: roots.get(v, v) for v in nodes} == least
+
+
+def test_near_copies_are_dropped_and_others_stay(spark, sf):
+    rng, texts = random.Random(8), {}
+    words = [f"w{k}" for k in range(3000)]
+    for d in range(60):
+        texts[d] = [rng.choice(words) for _ in range(300)]
+        copy = list(texts[d])
+        for at in rng.sample(range(300), 3):  # similarity of about 0.9
+            copy[at] = rng.choice(words)
+        texts[1000 + d] = copy
+        texts[2000 + d] = texts[d][:100] + [rng.choice(words) for _ in range(200)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert left >= set(range(60)) | set(range(2000, 2060))
+    assert len(left & set(range(1000, 1060))) <= 12
