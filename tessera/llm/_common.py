@@ -27,11 +27,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is named and one machine does all."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not configured and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-"))
     return configured or context._jsc.sc().getCheckpointDir().get()
 
@@ -58,12 +60,23 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column, salt
     return salted.join(resolved, [key, "_salt"], "left").drop("_salt")
 
 
-def without(docs: DataFrame, id_col: str, losers: DataFrame, digest: Column | None = None) -> DataFrame:
-    """docs less the rows whose id (and digest, if given) is among the losers'; docs may have columns of any names."""
-    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).cast("long").alias("row_id"), (F.lit("") if digest is None else digest).alias("row_digest"))
-    wanted = losers.select(F.col("doc_id").alias("loser_id"), (F.lit("") if digest is None else F.col("text_sha256")).alias("loser_digest"))
-    same = F.col("row_id").eqNullSafe(F.col("loser_id")) & (F.col("row_digest") == F.col("loser_digest"))
-    return rows.join(wanted, same, "left_anti").select("row.*")
+def without(docs: DataFrame, id_col: str, losers: DataFrame, digest: Column | None = None, repeats: tuple[DataFrame, Column] | None = None) -> DataFrame:
+    """docs less the rows whose id (and digest, if given) is among the losers'; docs may have columns of any names.
+
+    ``repeats``: ids and digests of which one row stays, and the column whose least value says which.
+    """
+    told = F.lit("") if digest is None else digest
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), named(id_col).cast("long").alias("row_id"), told.alias("row_digest"), *([repeats[1].alias("row_order")] if repeats else []))
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        wanted = some.select(F.col("doc_id").alias("some_id"), (F.lit("") if digest is None else F.col("text_sha256")).alias("some_digest"))
+        return rows.join(wanted, F.col("row_id").eqNullSafe(F.col("some_id")) & (F.col("row_digest") == F.col("some_digest")), how)
+
+    if repeats is None:
+        return among(losers, "left_anti").select("row.*")
+    one = among(repeats[0], "left_semi").groupBy("row_id", "row_digest").agg(F.min_by("row", "row_order").alias("row"))
+    gone = losers.select("doc_id", "text_sha256").unionByName(repeats[0].select("doc_id", "text_sha256"))
+    return among(gone, "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], text_col: str = "text", most: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -3,7 +3,7 @@
 Three stages, each comparing full content: rows of one input split are combined before any shuffle
 (Spark's partial aggregation), (digest, salt, content) groups are merged, and the salt winners are
 combined over (digest, content).  A digest that a third of all rows share is thereby met by at most
-``salts`` rows in the last stage.
+``salts`` rows in the last stage; by default there are more salts where there are more shuffle partitions.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def exact_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    salts: int = 16,
+    salts: int | None = None,
     digest: Callable[[Column], Column] = lambda c: F.sha2(c, 256),
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -35,6 +35,7 @@ def exact_duplicates(
     keep_id and is kept.  Rows that repeat both id and text of the winner are the same document and
     are all marked kept.  An empty table gives an empty result.
     """
+    salts = salts or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
     base = id_and_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("content"))
     base = base.select("doc_id", "content", digest(F.col("content")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     merged = base.groupBy("digest", "salt", "content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -53,7 +54,13 @@ def exact_duplicates(
     return told.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """docs without the rows that repeat another's normalised text; all columns stay."""
-    losers = exact_duplicates(docs, id_col, text_col, salts).where("not kept").select("doc_id", "text_sha256").distinct()
-    return without(docs, id_col, losers, F.sha2(normalised(F.coalesce(named(text_col), F.lit(""))), 256))
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
+    """docs with one row of each normalised text, that of the smallest id; all columns stay.
+
+    Of rows that repeat both id and text (or have one text and null ids only) one stays, that of the least text.
+    """
+    text = F.coalesce(named(text_col), F.lit(""))
+    told = checkpointed(exact_duplicates(docs, id_col, text_col, salts).select("doc_id", "kept", "text_sha256"))
+    losers = told.where("not kept").select("doc_id", "text_sha256").distinct()
+    repeats = told.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    return without(docs, id_col, losers, F.sha2(normalised(text), 256), None if repeats.isEmpty() else (repeats, text))

@@ -36,7 +36,11 @@ def test_colliding_digests_fall_back_to_content(spark):
 def test_drop_keeps_columns_and_winners(spark):
     left = exact_dedup.drop_exact_duplicates(table(spark))
     assert left.columns == table(spark).columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _, _, kept in brute(ROWS) if kept)
+    # of the two rows with id 11 and one text, one stays
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted({str(d) for d, _, _, kept in brute(ROWS) if kept})
+    rows = [(1, "a b"), (1, "a  b"), (1, "a b"), (None, "c"), (None, "c"), (2, "d")]
+    some = spark.createDataFrame([(d, t, {"k": t}) for d, t in rows], "doc_id long, text string, row map<string,string>")
+    assert sorted((str(r.doc_id), r.text) for r in exact_dedup.drop_exact_duplicates(some).collect()) == [("1", "a  b"), ("2", "d"), ("None", "c")]
 
 
 def test_empty(spark):
