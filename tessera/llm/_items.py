@@ -14,14 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of items and of their ids that a worker keeps; with more it begins anew.
-CACHE_BYTES = 48 << 20
+#: Bytes of repeated items and of their ids that a worker keeps; with more it begins anew.
+CACHE_BYTES = 32 << 20
 #: Longer items (where no spaces are written an item may be a whole text) are encoded each time and never kept.
 KEPT_LENGTH = 64
 #: Punctuation that is cut off an item's end, and after what: digits, Latin and Cyrillic letters
 #: that normalisation and lower-casing leave one letter each.
-TAIL = ",.;:!?"
-AFTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}]$"
+TAIL = ",.;:!?*&$#%"
+LETTERS = r"A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}"
+AFTER = f"[{LETTERS}]$"
+#: Lines that meet in an item: one line end between two of those letters or printable ASCII.
+LINES = f"^(?P<left>[!-~{LETTERS}]+)\n(?P<right>[!-~{LETTERS}]+)$"
 #: Items that go to the library in one call.
 TOGETHER = 200
 #: White space with a space after it: there a byte-level tokenizer's pieces reach over the space.
@@ -67,34 +70,45 @@ class Items:
         ids, sizes = self.encode(items)
         return binary(ids, np.cumsum(sizes))
 
-    def known(self, items: pa.Array, mark: str) -> pa.Array:
-        """Ids of distinct items, each with ``mark`` before it."""
+    def spelled(self, some: pa.Array, mark: str) -> pa.Array:
+        """Ids of items that may repeat, each with ``mark`` before it."""
+        coded = some.dictionary_encode()
+        return self.known(coded.dictionary, mark, coded.indices).take(coded.indices)
+
+    def known(self, items: pa.Array, mark: str, uses: pa.Array) -> pa.Array:
+        """Ids of distinct items, each with ``mark`` before it; those that ``uses`` names once only are not kept."""
         at = pc.index_in(items, value_set=self.held[mark])
         if not at.null_count:
             return self.codes[mark].take(at)
         lacks = at.is_null()
         found, new = self.codes[mark].take(at.drop_null()), items.filter(lacks)
         codes = self.composed(new, mark)
-        short = pc.less_equal(pc.binary_length(new), KEPT_LENGTH)
-        self.held[mark] = pa.concat_arrays([self.held[mark], new.filter(short)])
-        self.codes[mark] = pa.concat_arrays([self.codes[mark], codes.filter(short)])
         lacks = lacks.to_numpy(zero_copy_only=False)
+        often = np.bincount(uses.to_numpy(), minlength=len(items))[lacks] > 1
+        kept = pc.and_(pc.less_equal(pc.binary_length(new), KEPT_LENGTH), pa.array(often))
+        self.held[mark] = pa.concat_arrays([self.held[mark], new.filter(kept)])
+        self.codes[mark] = pa.concat_arrays([self.codes[mark], codes.filter(kept)])
         place = np.where(lacks, len(found) + np.cumsum(lacks) - 1, np.cumsum(~lacks) - 1)
         return pa.concat_arrays([found, codes]).take(pa.array(place))
 
     def composed(self, items: pa.Array, mark: str) -> pa.Array:
+        """Codes of new items, put together from parts that are pieces of their own in both tokenizers."""
+        lines = pc.match_substring_regex(items, LINES).to_numpy(zero_copy_only=False)
         stem = pc.ascii_rtrim(items, TAIL)
-        cut = pc.and_(pc.not_equal(pc.binary_length(stem), pc.binary_length(items)), pc.match_substring_regex(stem, AFTER)).to_numpy(zero_copy_only=False)
-        mask = pa.array(cut)
-        whole = [mark + x for x in items.filter(pc.invert(mask)).to_pylist()]
+        cut = pc.and_(pc.not_equal(pc.binary_length(stem), pc.binary_length(items)), pc.match_substring_regex(stem, AFTER)).to_numpy(zero_copy_only=False) & ~lines
+        whole = [mark + x for x in items.filter(pa.array(~(cut | lines))).to_pylist()]
         parts = [self.fresh(whole)] if whole else []
+        spelled = self.spelled
+        joined = lambda *codes: pc.binary_join_element_wise(*codes, pa.scalar(b"", pa.large_binary()))
         if cut.any():
-            stems = stem.filter(mask).dictionary_encode()
-            tails = pc.struct_field(pc.extract_regex(items.filter(mask), f"(?P<tail>[{TAIL}]+)$"), "tail").dictionary_encode()
-            spelled = lambda coded, m: self.known(coded.dictionary, m).take(coded.indices)
-            parts.append(pc.binary_join_element_wise(spelled(stems, mark), spelled(tails, ""), pa.scalar(b"", pa.large_binary())))
+            tails = pc.struct_field(pc.extract_regex(items.filter(pa.array(cut)), f"(?P<tail>[{TAIL}]+)$"), "tail")
+            parts.append(joined(spelled(stem.filter(pa.array(cut)), mark), spelled(tails, "")))
+        if lines.any():
+            met = pc.extract_regex(items.filter(pa.array(lines)), LINES)
+            left, right = spelled(pc.struct_field(met, "left"), mark), spelled(pc.struct_field(met, "right"), "")
+            parts.append(joined(left, self.fresh(["\n"])[0], right))
         place = np.empty(len(items), "i8")
-        place[~cut], place[cut] = np.arange(len(whole)), np.arange(len(whole), len(items))
+        place[np.concatenate([np.flatnonzero(~(cut | lines)), np.flatnonzero(cut), np.flatnonzero(lines)])] = np.arange(len(items))
         return pa.concat_arrays(parts).take(pa.array(place))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +121,11 @@ class Items:
         starts = split.offsets.to_numpy().astype("i8")
         starts, flat = starts - starts[0], split.flatten()
         coded = flat.dictionary_encode()
-        codes, at = [self.known(coded.dictionary, mark)], coded.indices.to_numpy().astype("i8")
+        codes, at = [self.known(coded.dictionary, mark, coded.indices)], coded.indices.to_numpy().astype("i8")
         if self.spaced:  # the first item of a text has no space before it
             first = flat.take(pa.array(starts[:-1])).dictionary_encode()
             at[starts[:-1]] = len(codes[0]) + first.indices.to_numpy()
-            codes.append(self.known(first.dictionary, ""))
+            codes.append(self.known(first.dictionary, "", first.indices))
         if loose.any():
             at[starts[:-1][loose]] = sum(map(len, codes)) + np.arange(np.count_nonzero(loose))
             codes.append(self.fresh(texts.filter(pa.array(loose)).to_pylist()))

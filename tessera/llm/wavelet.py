@@ -175,8 +175,8 @@ def write_shards(
     """Encode documents in ascending id order into shards at ``path``; each document ends with ``end_id``.
 
     Documents are dealt out by id ranges of about ``shard_bytes`` of text, and a part's shard ends where
-    it holds ``shard_ids`` ids.  Null texts are empty, null ids come first.  Rows that share an id go by a hash of
-    their text, then by their place in the table, so that ranges can part them too.
+    it holds ``shard_ids`` ids.  Null texts are empty, null ids come first.  Rows that share an id go by their place
+    in the table, so that ranges can part them too.
     """
     rows = id_and_text(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -204,8 +204,8 @@ def write_shards(
         if sizes:
             yield flush()
 
-    placed = rows.withColumn("_like", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
-    dealt = placed.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "_like", "_place").sortWithinPartitions("doc_id", "_like", "_place")
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", "_place").sortWithinPartitions("doc_id", "_place")
     dealt.select("doc_id", "text").mapInArrow(encode, "part long, seq long, n_tokens long, block binary").write.parquet(path)
 
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from tessera.llm import _items
 
 FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
-ALPHABET = ["a", "B", "the", " ", "  ", "\n", "\t", ",", ".", "!", "?;", "'s", "'", "1", "23", "é", "é", "J̌", "Σ", "ß", "İ", " ", " ", "中", "ा", "😀", "<|endoftext|>", "<|", "_", "-", "\x1f", "\u0085"]
+ALPHABET = ["a", "B", "the", " ", "  ", "\n", "\t", ",", ".", "!", "?;", "'s", "'", "1", "23", "é", "é", "J̌", "Σ", "ß", "İ", " ", " ", "中", "ा", "😀", "<|endoftext|>", "<|", "_", "-", "***", "&", "$5", "#", "a\nb", "it's\n's", ".\n.", "\x1f", "\u0085"]
 READY = {}
 
 
