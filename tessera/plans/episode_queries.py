@@ -136,8 +136,7 @@ def rank_delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = vectors(spark, sf_dir)
     q = e.where("id % 100 = 0")
     gold = q.select(F.col("id").alias("qid"), (F.col("id") + 1).alias("doc_id"))
-    every = e.count()
-    ranks = [S.rank_of_gold(S.cosine_top_k(q, e, every, dims=d), gold) for d in (16, None)]
+    ranks = [S.whole_rank_of_gold(q, e, gold, dims=d).select("qid", "rank") for d in (16, None)]
     return rounded(S.rank_delta(*ranks))
 
 
