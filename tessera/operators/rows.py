@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import scratch
+
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -106,20 +109,30 @@ def classify_turns(df: DataFrame, key: str, order: str, fingerprint: str) -> Dat
     return df.withColumn("kind", F.when(before.isNull(), "NEW").when(prefix & (F.size(fingerprint) >= F.size(before)), "APPEND").otherwise("WIPE"))
 
 
-def tree_paths(nodes: DataFrame, node: str, parent: str, depth: int) -> DataFrame:
-    """(leaf, position, node): the path from the root to each leaf, by joins with the parent table.
+def tree_paths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(leaf, position, node): the path from the root to each leaf, of any depth.
 
-    A shared node is owned (``owns``) by the first leaf below it.  Trees deeper than ``depth`` raise.
+    Each node's known ancestors double in each round (a join of the table with itself, written to cut the
+    lineage), so a tree of depth d takes about log2(d) of them.  A shared node is owned (``owns``) by the first
+    leaf below it.  A parent that is no node itself is a root; nodes that are their own ancestors raise.
     """
-    table = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    leaves = table.join(table.select(F.col("_p").alias("_n")).where("_n is not null").distinct(), "_n", "left_anti")
-    paths = leaves.select(F.col("_n").alias("leaf"), F.array("_n").alias("path"), F.col("_p").alias("up"))
-    for _ in range(depth):
-        step = table.select(F.col("_n").alias("up"), F.col("_p").alias("next"))
-        paths = paths.join(step, "up", "left").select("leaf", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat(F.array("up"), "path")).alias("path"), F.col("next").alias("up"))
-    if not paths.where("up is not null").isEmpty():
-        raise ValueError(f"a tree is deeper than {depth}")
-    flat = paths.select("leaf", F.posexplode("path").alias("position", "node"))
+    spark, path = nodes.sparkSession, scratch(nodes.sparkSession, "tree")
+    known = nodes.select(F.col(node).alias("_n"), F.array(F.col(node)).alias("path"), F.col(parent).alias("up"))
+    inner = nodes.select(F.col(parent).alias("_n")).where("_n is not null").distinct()
+    for k in count():
+        known.write.parquet(f"{path}/{k}")
+        known = spark.read.parquet(f"{path}/{k}")
+        open_ones = known.where("up is not null")
+        if open_ones.isEmpty():
+            break
+        if not open_ones.where(F.array_contains("path", F.col("up"))).isEmpty():
+            raise ValueError("a node is its own ancestor")
+        above = known.select(F.col("_n").alias("_a"), F.col("path").alias("_above"), F.col("up").alias("_next"))
+        met = known.join(above, F.col("up") == F.col("_a"), "left")
+        longer = F.concat(F.coalesce("_above", F.array("up")), "path")
+        known = met.select("_n", F.when(F.col("up").isNull(), F.col("path")).otherwise(longer).alias("path"), F.col("_next").alias("up"))
+    leaves = known.join(inner, "_n", "left_anti")
+    flat = leaves.select(F.col("_n").alias("leaf"), F.posexplode("path").alias("position", "node"))
     return flat.withColumn("owns", F.col("leaf") == F.min("leaf").over(W.partitionBy("node")))
 
 

@@ -32,7 +32,7 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row_index, strlen(concat('{\"item_id\":', item_id, '}')) + 1 AS n_bytes FROM benchmark")
 def jsonl_offset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id").coalesce(1).sortWithinPartitions("item_id")
+    rows = table(spark, sf_dir, "benchmark").select("item_id").orderBy("item_id")
     return readers.jsonl_with_index(spark, written(spark, rows, "index", sinks.write_jsonl), "item_id long").withColumn("n_bytes", F.col("n_bytes").cast("long"))
 
 
@@ -50,9 +50,8 @@ def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id::VARCHAR AS item_id, to_json(string_split(text, ' ')) AS words FROM benchmark")
 def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("words"))
-    one = rows.groupBy((F.col("item_id") % 4).alias("_file")).agg(F.to_json(F.collect_list(F.struct("item_id", "words"))).alias("value")).select("value")
-    path = written(spark, one, "array", lambda df, p: df.repartition(4).write.text(p))
-    return readers.all_strings(readers.json_array(spark, path, "item_id long, words array<string>"))
+    path = written(spark, rows, "array", sinks.write_json_array)
+    return readers.all_strings(readers.json_array(spark, path, "item_id long, words array<string>").drop("share"))
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE n_chars > 1000 GROUP BY lang")
@@ -88,7 +87,9 @@ def binary_files_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id::VARCHAR AS id, ts::DATE AS day, round(sum(event_id % 7), 6) + 0.0::DOUBLE AS used FROM events GROUP BY ALL")
 def usage_series_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), (F.col("event_id") % 7).cast("string").alias("value"))
-    nested = table(spark, sf_dir, "events").groupBy("user_id", (F.col("event_id") % 4).alias("page")).agg(F.collect_list(point).alias("values"))
+    events = table(spark, sf_dir, "events")
+    pages = max(4, events.count() // 10_000)  # of some ten thousand points each
+    nested = events.groupBy("user_id", (F.col("event_id") % pages).alias("page")).agg(F.collect_list(point).alias("values"))
     series = nested.groupBy("page").agg(F.collect_list(F.struct(F.create_map(F.lit("id"), F.col("user_id").cast("string")).alias("labels"), "values")).alias("series"))
     return rounded(readers.usage_series(series))
 
@@ -311,7 +312,7 @@ p AS (SELECT l.node AS leaf, n.node, n.parent, 0 AS up FROM leaf l JOIN n ON n.n
 SELECT leaf, (max(up) OVER (PARTITION BY leaf) - up)::INT AS position, node, leaf = min(leaf) OVER (PARTITION BY node) AS owns FROM p""")
 def trajectory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.when(F.col("event_id") >= 3, F.floor(F.col("event_id") / 3)).alias("parent"))
-    return X.tree_paths(nodes, "node", "parent", 16)
+    return X.tree_paths(nodes, "node", "parent")
 
 
 @query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM e q, e d WHERE q.vec_id % 100 = 0 AND d.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) SELECT qid, doc_id, round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= 4")

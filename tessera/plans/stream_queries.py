@@ -16,11 +16,12 @@ RUNS_SQL = "SELECT user_id AS grp, event_id AS run, CASE WHEN event_id % 7 <> 0
 
 
 def run_files(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
-    """Rollouts in order of their run id, in files of increasing ids."""
+    """Rollouts in order of their run id, in files of increasing ids, of two million rows at most on average."""
     v = F.when(F.col("event_id") % 7 != 0, F.col("value"))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("grp"), F.col("event_id").alias("run"), v.alias("reward"), (F.col("event_id") % 5).alias("version"))
     path = scratch(spark, "runs")
-    last = rows.agg(F.max("run")).first()[0] or 0
+    last, n = rows.agg(F.coalesce(F.max("run"), F.lit(0)), F.count(F.lit(1))).first()
+    files = max(files, -(-n // 2_000_000))
     part = F.least(F.floor(F.col("run") * files / F.lit(last + 1)), F.lit(files - 1))
     for k in range(files):  # one after the other: streams take files by age
         rows.where(part == k).coalesce(1).sortWithinPartitions("run").write.mode("append").parquet(path)

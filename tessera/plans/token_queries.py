@@ -152,10 +152,12 @@ def igpo_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an assembler's stopped stream still holds: runs and drops of each open group."""
     progress = scratch(spark, "progress")
-    runs.drained(assembler.assemble_groups(runs.source(spark, run_files(spark, sf_dir), RUNS), expected=4), scratch(spark, "groups"), progress)
+    closed = runs.drained(assembler.assemble_groups(runs.source(spark, run_files(spark, sf_dir), RUNS), expected=4), scratch(spark, "groups"), progress)
     state = runs.snapshot(spark, progress)
     count = lambda f: F.coalesce(F.get_json_object("value", f"$.groupState.{f}"), F.get_json_object("value", f"$.{f}")).cast("long")
-    return state.select(F.regexp_extract("key", r"(-?[0-9]+)", 1).cast("long").alias("grp"), (count("n") + count("dropped")).alias("waiting"))
+    held = state.select(F.regexp_extract("key", r"(-?[0-9]+)", 1).cast("long").alias("grp"), (count("n") + count("dropped")).alias("waiting"))
+    seen = closed.select("grp").distinct().select("grp", F.lit(0).cast("long").alias("waiting"))  # closed groups without a rest hold no state
+    return held.unionByName(seen).groupBy("grp").agg(F.max("waiting").alias("waiting"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'low' ELSE c_mktsegment END AS c_mktsegment FROM customer")

@@ -9,5 +9,8 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    shared, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not shared and not (master == "local" or master.startswith("local[")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    shared = shared or tempfile.gettempdir()  # one machine does all
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

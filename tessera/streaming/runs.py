@@ -33,21 +33,36 @@ def publish(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.parquet(path)
 
 
-def upsert_on_change(changes: DataFrame, key: str, order: str, derive: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+def upsert_on_change(changes: DataFrame, key: str, order: str, derive: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, buckets: int = 64) -> DataFrame:
     """A table kept up to date: each micro-batch's newest rows, with what ``derive`` adds, replace those of their keys.
 
-    A version is a folder; the next one is written from it and the latest is returned.
+    Keys are dealt into buckets by hash.  A micro-batch writes a version, a folder with the buckets that it
+    changes; each bucket's newest version is the table.
     """
     spark = changes.sparkSession
 
     def do(df: DataFrame, i: int) -> None:
-        new = derive(df)
-        earlier = [v for v in versions(spark, path) if v < i]
-        old = spark.read.parquet(f"{path}/version={max(earlier)}") if earlier else new.limit(0)
-        sinks.upsert(old, new, key, order).write.mode("overwrite").parquet(f"{path}/version={i}")
+        new = derive(df).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        changed = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most ``buckets``
+        earlier = [p for b, p in newest(spark, path, i).items() if b in changed]
+        old = spark.read.parquet(*earlier).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))) if earlier else new.limit(0)
+        sinks.upsert(old, new, key, order).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={i}")
 
     each_batch(changes, checkpoint, do)
-    return spark.read.parquet(f"{path}/version={max(versions(spark, path))}")
+    return spark.read.parquet(*newest(spark, path).values())
+
+
+def newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket's newest finished version (before a version, if given)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store, done = folder.getFileSystem(spark._jsc.hadoopConfiguration()), set(versions(spark, path))
+    found: dict[int, tuple[int, str]] = {}
+    for f in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "version=*/bucket=*")) or []:
+        place = f.getPath()
+        version, bucket = (int(p.getName().split("=")[1]) for p in (place.getParent(), place))
+        if version in done and (before is None or version < before):
+            found[bucket] = max(found.get(bucket, (-1, "")), (version, place.toString()))
+    return {b: p for b, (_, p) in sorted(found.items())}
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:

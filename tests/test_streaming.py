@@ -19,6 +19,20 @@ def test_groups_close_by_count_over_batches(spark, tmp_path):
     assert (got[2].n_runs, got[2].n_dropped, got[2].kept) == (1, 2, False)
 
 
+def test_closed_groups_leave_no_state(spark, tmp_path):
+    from tessera.streaming import runs
+
+    schema = "grp long, run long, reward double, version long"
+    rows = [(g, r, None if r % 5 == 0 else float(r), r % 3) for g in range(6) for r in range(1000 if g == 0 else 4 + g % 2)]
+    for part in (0, 1):
+        spark.createDataFrame([x for x in rows if (x[1] >= 500) == bool(part)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = assembler.assemble_groups(runs.source(spark, str(tmp_path / "in"), schema), expected=4)
+    closed = runs.drained(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    assert {r.grp: r["count"] for r in closed.groupBy("grp").count().collect()} == {0: 250, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+    assert closed.agg({"n_runs": "sum", "n_dropped": "sum"}).first().asDict() == {"sum(n_runs)": sum(x[2] is not None for x in rows) - 3, "sum(n_dropped)": sum(x[2] is None for x in rows)}
+    assert runs.snapshot(spark, str(tmp_path / "c")).count() == 3  # groups 1, 3 and 5 wait with one run each
+
+
 def test_batches_and_admission(spark):
     rows = assembler.optimizer_batches(spark.range(10), "id", 4, 2).collect()
     assert {r.id: (r.batch, r.chunk) for r in rows}[7] == (1, 1) and len(rows) == 10
@@ -45,3 +59,14 @@ def test_upserts_follow_micro_batches_and_repeats_change_nothing(spark, tmp_path
     assert out.count() == 6
     again = runs.drained(runs.source(spark, str(tmp_path / "in"), "k long, n long"), str(tmp_path / "o"), str(tmp_path / "p"))
     assert again.count() == 6
+
+
+def test_upserts_write_changed_buckets_only(spark, tmp_path):
+    from tessera.streaming import runs
+
+    for rows in ([(k, 1) for k in range(200)], [(7, 5)]):
+        spark.createDataFrame(rows, "k long, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = runs.source(spark, str(tmp_path / "in"), "k long, n long")
+        table = runs.upsert_on_change(stream, "k", "n", lambda df: df, str(tmp_path / "t"), str(tmp_path / "c"), buckets=8)
+    assert {r.k: r.n for r in table.collect()} == {k: 5 if k == 7 else 1 for k in range(200)}
+    assert len(list((tmp_path / "t" / "version=1").glob("bucket=*"))) == 1 and len(runs.newest(spark, str(tmp_path / "t"))) == 8
