@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -81,3 +83,18 @@ class AppendLog:
         if not self.sealed:
             raise ValueError("the log isn't sealed yet")
         return spark.read.parquet(self.path)
+
+
+def write_record(spark: SparkSession, record: dict, path: str) -> None:
+    """One JSON record in a file of its own, written beside its place and then moved over it in one step."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(beside, True)
+    out.write(bytearray(json.dumps(record).encode() + b"\n"))
+    out.hsync()
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, how)
