@@ -50,8 +50,8 @@ KEY_WORDS = {"token", "secret", "password", "passwd", "key", "apikey", "api_key"
 HARMLESS_WORDS = {"example", "sample", "dummy", "test", "placeholder", "commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "id", "revision", "changeme", "version"}
 HARMLESS_PATHS = ("test", "example", "sample", "doc", "readme", "fixture", "lock")
 DICTIONARY = frozenset("the and for you with this that have from your password example changeme secret token value key name user admin test sample none null true false config server default here insert enter replace data file path index http https www com org xxx abc".split())
-#: The corpus's own words in the dictionary: how many, their lengths, and in how many documents each must stand.
-CORPUS_WORDS, WORD_LENGTHS, LEAST_DOCUMENTS = 4000, (4, 12), 20
+#: The corpus's own words in the dictionary: how many, their lengths, and how often each must be found.
+CORPUS_WORDS, WORD_LENGTHS, LEAST_FOUND = 4000, (4, 12), 20
 FEATURES = (
     ["length", "log_length", "transitions", "digit_share", "upper_share", "lower_share", "other_share", "hex_share", "entropy", "distinct_share", "longest_repeat", "coverage", "vowel_share", "dashes", "is_uuid", "near_key_word", "near_harmless_word", "harmless_path", "quoted"]
     + [f"kind_{k}" for k in KINDS]
@@ -73,14 +73,15 @@ def coverage(value: str, words: frozenset[str]) -> float:
     return covered / max(1, len(low))
 
 
-def corpus_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS, least: int = LEAST_DOCUMENTS) -> frozenset[str]:
-    """The fixed words and the ``size`` words of plain letters that stand in the most documents (``least`` or more).
+def corpus_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS, least: int = LEAST_FOUND) -> frozenset[str]:
+    """The fixed words and the ``size`` most frequent words of plain letters (found ``least`` times or more).
 
-    All documents are counted; only the ``size`` words, the dictionary's stated size, come to the driver.
+    All documents are counted, whole; a word counts once a document for each punctuation after it.  Only the
+    ``size`` words, the dictionary's stated size, come to the driver.
     """
-    words = F.array_distinct(F.split(F.lower(named(text_col)), "[^a-z0-9_]+"))
-    plain = docs.select(F.explode(words).alias("word")).where(F.length("word").between(*WORD_LENGTHS) & F.col("word").rlike("^[a-z]+$"))
-    counted = plain.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    words = F.array_distinct(F.split(F.lower(F.replace(named(text_col), F.lit("\n"), F.lit(" "))), " "))
+    plain = docs.select(F.explode(words).alias("word")).select(F.rtrim("word", F.lit(",.;:!?)\"'")).alias("word"))
+    counted = plain.where(F.length("word").between(*WORD_LENGTHS) & F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return DICTIONARY | {r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()}
 
 
