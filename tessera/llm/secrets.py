@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import lean, named
+from tessera.llm._common import checkpointed, lean, named
 
 #: Shapes of well-known keys, by kind; the last two are general.  Runs are possessive: they have no
 #: greatest length and take linear time.  Of a private key and a signed token, only the first part stands here.
@@ -74,15 +74,23 @@ def coverage(value: str, words: frozenset[str]) -> float:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", size: int = CORPUS_WORDS, least: int = LEAST_FOUND) -> frozenset[str]:
-    """The fixed words and the ``size`` most frequent words of plain letters (found ``least`` times or more).
+    """The fixed words and the ``size`` (or some fewer) most frequent words of plain letters, found ``least`` times or more.
 
-    All documents are counted, whole; a word counts once a document for each punctuation after it.  Only the
-    ``size`` words, the dictionary's stated size, come to the driver.
+    All documents are counted, whole; a word counts once a document for each punctuation after it.  How many words
+    there are of each frequency, in steps of about one hundredth, tells from which on ``size`` of them are enough:
+    beside those counts only the dictionary's own words come to the driver.
     """
     words = F.array_distinct(F.split(F.lower(F.replace(named(text_col), F.lit("\n"), F.lit(" "))), " "))
     plain = docs.select(F.explode(words).alias("word")).select(F.rtrim("word", F.lit(",.;:!?)\"'")).alias("word"))
-    counted = plain.where(F.length("word").between(*WORD_LENGTHS) & F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return DICTIONARY | {r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()}
+    counted = plain.where(F.length("word").between(*WORD_LENGTHS) & F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    often = checkpointed(counted.where(F.col("n") >= least).withColumn("step", F.floor(F.log2("n") * 64)))
+    total, first = 0, None
+    for step, n in sorted(((r.step, r["count"]) for r in often.groupBy("step").count().collect()), reverse=True):
+        total += n
+        if total > size:
+            break
+        first = step
+    return DICTIONARY | ({r.word for r in often.where(F.col("step") >= first).collect()} if first is not None else set())
 
 
 def features(value: str, kind: str, before: str, after: str, path: str, words: frozenset[str] = DICTIONARY) -> list[float]:

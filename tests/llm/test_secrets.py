@@ -141,6 +141,9 @@ def test_dictionary_counts_all_documents(spark):
     docs = spark.createDataFrame([(i, f"Harbour lights {'rare' if i == 3 else ''} ab x1y2 {i}") for i in range(30)] + [(99, None)], "doc_id long, text string")
     words = secrets.corpus_words(docs) - secrets.DICTIONARY
     assert words == {"harbour", "lights"}
+    more = spark.createDataFrame([(i, "often " + ("seldom " if i < 25 else "") + " ".join(f"w{'abcdefghij'[k]}ord" for k in range(i % 10))) for i in range(200)], "doc_id long, text string")
+    assert secrets.corpus_words(more, size=3) - secrets.DICTIONARY == {"often", "waord", "wbord"}  # 200, 180, 160 (and 140, 120, ...) times
+    assert len(secrets.corpus_words(more, size=2) - secrets.DICTIONARY) == 2 and not secrets.corpus_words(more, size=0) - secrets.DICTIONARY
     assert secrets.coverage("HarbourLights42", words | secrets.DICTIONARY) == 13 / 15
     assert secrets.coverage("", secrets.DICTIONARY) == 0
 
