@@ -41,3 +41,14 @@ def test_planted(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
     spans = licenses.license_spans(docs).where("doc_id = 7").collect()
     assert len(spans) == 1 and spans[0].label == "mit" and 70_000 <= spans[0].first_word < 70_010
+
+
+def test_words_are_exploded_and_hashed_in_one_generated_stage(spark, sf):
+    """The array of a text's words must not be copied for each of its words: both explodes and the join are fused."""
+    spans = licenses.license_spans(spark.read.parquet(f"{sf}/documents.parquet"))
+    spans.collect()
+    plan = spans._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    steps = [line for line in plan.splitlines() if "Generate posexplode(words" in line or "Generate explode(array(" in line]
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    stage = {re.search(r"\*\((\d+)\)", line)[1] for line in steps[:2] + joins[:1] if "*(" in line}
+    assert len(steps) >= 2 and len(joins) >= 1 and len(stage) == 1, plan[:3000]
