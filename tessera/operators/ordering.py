@@ -31,6 +31,19 @@ def with_row_number(df: DataFrame, *order: Column | str, name: str = "row") -> D
     return ordered.join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
 
 
+def neighbourhoods(df: DataFrame, *order: Column | str, back: int = 0, ahead: int = 0, size: int = 1 << 16) -> DataFrame:
+    """df in chunks of ``size`` rows in the given order, for windows that reach few rows: ``_row``, ``_chunk``, ``_own``.
+
+    A chunk also holds the ``back`` rows before it and the ``ahead`` rows after it (``_own`` is false there), so that
+    windows over (``_chunk``, key) by ``_row`` see what windows over the key would, with no task for a whole key.
+    """
+    size = max(size, back, ahead, 1)
+    numbered = with_row_number(df, *order, name="_row")
+    near = [F.floor((F.col("_row") + d) / size) for d in (0, back, -ahead)]
+    spread = numbered.withColumn("_chunk", F.explode(F.filter(F.array_distinct(F.array(*near)), lambda c: c >= 0)))
+    return spread.withColumn("_own", F.col("_chunk") == F.floor(F.col("_row") / size))
+
+
 def hash_key(seed: int | str, *ids: str) -> Column:
     """A reproducible pseudo-random order: md5 of the seed and the ids."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import neighbourhoods
 
-def time_weighted_mean(df: DataFrame, gauge: str, ts: str, value: str) -> DataFrame:
+
+def time_weighted_mean(df: DataFrame, gauge: str, ts: str, value: str, chunk: int = 1 << 16) -> DataFrame:
     """Mean of a step function: each value counts for the time until the next; nulls add neither value nor time."""
-    span = F.unix_micros(F.lead(ts).over(W.partitionBy(gauge).orderBy(ts, value)).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(gauge, value, span.alias("_dt")).where(F.col("_dt").isNotNull() & F.col(value).isNotNull())
+    near = neighbourhoods(df.select(gauge, ts, value), gauge, ts, value, ahead=1, size=chunk)
+    span = F.unix_micros(F.lead(ts).over(W.partitionBy("_chunk", gauge).orderBy("_row")).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = near.select(gauge, value, "_own", span.alias("_dt")).where(F.col("_own") & F.col("_dt").isNotNull() & F.col(value).isNotNull())
     return rows.groupBy(gauge).agg((F.sum(F.col(value) * F.col("_dt")) / F.nullif(F.sum("_dt"), F.lit(0))).alias("mean"), (F.sum("_dt") / 1e6).alias("seconds"))
 
 
-def moving_average(df: DataFrame, key: str, order: str, value: str, width: int = 3) -> DataFrame:
-    by = W.partitionBy(key).orderBy(order).rowsBetween(1 - width, 0)
-    return df.withColumn("moving", F.avg(value).over(by))
+def moving_average(df: DataFrame, key: str, order: str, value: str, width: int = 3, chunk: int = 1 << 16) -> DataFrame:
+    by = W.partitionBy("_chunk", key).orderBy("_row").rowsBetween(1 - width, 0)
+    near = neighbourhoods(df, key, order, back=width - 1, size=chunk)
+    return near.withColumn("moving", F.avg(value).over(by)).where("_own").drop("_row", "_chunk", "_own")
 
 
 def contiguous_cursor(df: DataFrame, key: str, index: str) -> DataFrame:
@@ -25,14 +29,13 @@ def contiguous_cursor(df: DataFrame, key: str, index: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_if(F.col(index) == F.col("_n")).alias("cursor"), F.count(F.lit(1)).alias("resolved"))
 
 
-def circuit_breaker(df: DataFrame, key: str, order: str, failed: Column, run: int = 5, window: int = 20, least: int = 10, share: float = 0.5) -> DataFrame:
+def circuit_breaker(df: DataFrame, key: str, order: str, failed: Column, run: int = 5, window: int = 20, least: int = 10, share: float = 0.5, chunk: int = 1 << 16) -> DataFrame:
     """First failure at which ``run`` failures stand in a row, or ``share`` of the last ``window`` (of ``least`` or more) failed."""
-    by = W.partitionBy(key).orderBy(order)
-    rows = df.select(key, order, failed.cast("int").alias("_f")).withColumn("_ok", F.sum(1 - F.col("_f")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("_run", F.sum("_f").over(W.partitionBy(key, "_ok").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
-    recent = by.rowsBetween(1 - window, 0)
-    tripped = (F.col("_f") == 1) & ((F.col("_run") >= run) | ((F.count("_f").over(recent) >= least) & (F.avg("_f").over(recent) >= share)))
-    return rows.withColumn("_t", tripped).groupBy(key).agg(F.min(F.when(F.col("_t"), F.col(order))).alias("tripped_at"), F.sum("_f").alias("failures"))
+    near = neighbourhoods(df.select(key, order, failed.cast("int").alias("_f")), key, order, back=max(run, window) - 1, size=chunk)
+    by = W.partitionBy("_chunk", key).orderBy("_row")
+    row, recent = by.rowsBetween(1 - run, 0), by.rowsBetween(1 - window, 0)
+    tripped = (F.col("_f") == 1) & ((F.sum("_f").over(row) >= run) | ((F.count("_f").over(recent) >= least) & (F.avg("_f").over(recent) >= share)))
+    return near.withColumn("_t", tripped).where("_own").groupBy(key).agg(F.min(F.when(F.col("_t"), F.col(order))).alias("tripped_at"), F.sum("_f").alias("failures"))
 
 
 def daily_usage(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
@@ -69,10 +72,11 @@ def best_so_far(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def change_points(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+def change_points(df: DataFrame, key: str, order: str, *values: str, chunk: int = 1 << 16) -> DataFrame:
     """Rows whose values differ from those of the row before (the first row of each key counts)."""
-    by = W.partitionBy(key).orderBy(order)
+    by = W.partitionBy("_chunk", key).orderBy("_row")
     same = F.lit(True)
     for v in values:
         same = same & F.lag(v).over(by).eqNullSafe(F.col(v))
-    return df.withColumn("_new", (F.row_number().over(by) == 1) | ~same).where("_new").drop("_new")
+    near = neighbourhoods(df, key, order, back=1, size=chunk).withColumn("_new", F.lag("_row").over(by).isNull() | ~same)
+    return near.where("_own and _new").drop("_new", "_row", "_chunk", "_own")
