@@ -33,6 +33,24 @@ def formatted(messages: Column, formats: dict[str, tuple[str, str, bool]]) -> Co
     return F.transform(messages, lambda m: F.struct(pick(m, 0).alias("head"), F.concat(m["content"], pick(m, 1)).alias("content"), pick(m, 2).alias("trained")))
 
 
+#: Well-known chat formats, by role the text before and after a content and whether it is trained, and
+#: what opens a chat.  Where a format has no system role, its text stands as a turn of the user.
+FORMATS: dict[str, tuple[str, dict[str, tuple[str, str, bool]]]] = {
+    "im": ("", {r: (f"<|im_start|>{r}\n", "<|im_end|>\n", r == "assistant") for r in ("system", "user", "assistant", "tool")}),
+    "header": ("<|begin_of_text|>", {r: (f"<|start_header_id|>{r}<|end_header_id|>\n\n", "<|eot_id|>", r == "assistant") for r in ("system", "user", "assistant", "tool")}),
+    "inst": ("<s>", {"system": ("[SYSTEM_PROMPT] ", "[/SYSTEM_PROMPT]", False), "user": ("[INST] ", "[/INST]", False), "assistant": (" ", "</s>", True)}),
+    "turn": ("<bos>", {r: (f"<start_of_turn>{'model' if r == 'assistant' else 'user'}\n", "<end_of_turn>\n", r == "assistant") for r in ("system", "user", "assistant")}),
+}
+
+
+def chat_text(messages: Column, name: str, prompt: bool = False) -> Column:
+    """A chat in a named format; with ``prompt`` the head of an answer follows unless the last message is one."""
+    opening, roles = FORMATS[name]
+    text = F.array_join(F.transform(formatted(messages, roles), lambda p: F.concat(p["head"], p["content"])), "")
+    asks = F.when(F.coalesce(F.try_element_at(messages, F.lit(-1))["role"] != "assistant", F.lit(True)), roles["assistant"][0]).otherwise("")
+    return F.concat(F.lit(opening), text, asks) if prompt else F.concat(F.lit(opening), text)
+
+
 def loss_segments(messages: Column) -> Column:
     """Array of (text, trained): each message as rendered, trained if it is the assistant's."""
     return F.transform(messages, lambda m: F.struct(F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"]).alias("text"), (m["role"] == "assistant").cast("int").alias("trained")))

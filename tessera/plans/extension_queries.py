@@ -119,3 +119,18 @@ def json_write_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     for version in (1, 2):
         sinks.write_record(spark, {"version": version, "n": n}, path)
     return spark.read.schema("version int, n long").json(path)
+
+
+FORMATS_SQL = """WITH t AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) SELECT conv_id,
+ concat(string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '' ORDER BY turn), CASE WHEN max(CASE WHEN turn = last THEN role END) <> 'assistant' THEN concat('<|im_start|>assistant', chr(10)) ELSE '' END) AS im,
+ concat('<|begin_of_text|>', string_agg(concat('<|start_header_id|>', role, '<|end_header_id|>', chr(10), chr(10), text, '<|eot_id|>'), '' ORDER BY turn)) AS header,
+ concat('<s>', string_agg(CASE role WHEN 'system' THEN concat('[SYSTEM_PROMPT] ', text, '[/SYSTEM_PROMPT]') WHEN 'user' THEN concat('[INST] ', text, '[/INST]') ELSE concat(' ', text, '</s>') END, '' ORDER BY turn)) AS inst,
+ concat('<bos>', string_agg(concat('<start_of_turn>', CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END, chr(10), text, '<end_of_turn>', chr(10)), '' ORDER BY turn)) AS turn
+FROM t GROUP BY conv_id"""
+
+
+@query(FORMATS_SQL)
+def chat_render_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chat in four well-known formats, in the first one ready for an answer."""
+    chats = C.to_chats(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return chats.select("conv_id", *[C.chat_text(F.col("messages"), name, prompt=name == "im").alias(name) for name in C.FORMATS])
