@@ -117,19 +117,20 @@ def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     queries: (qid, words), corpus: (doc_id, words), words being arrays.  Words are counted over all documents;
     a task holds the queries' weights as a matrix of words and queries and multiplies its documents with it.
     """
-    n = corpus.count()
+    spark, n = corpus.sparkSession, corpus.count()
     wanted = queries.select("qid", F.explode("words").alias("w")).groupBy("qid", "w").agg(F.count(F.lit(1)).alias("q"))
     seen = corpus.select(F.explode(F.array_distinct("words")).alias("w")).join(wanted.select("w").distinct(), "w", "left_semi")
     idf = seen.groupBy("w").agg((F.log((n + 1.0) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
     weights = wanted.join(idf, "w").groupBy("qid").agg(F.collect_list(F.struct("w", (F.col("q") * F.col("idf")).alias("x"))).alias("xs"))  # a query's own words
-    widest = wanted.select(F.count_distinct("w")).first()[0]
+    path, widest = scratch(spark, "weights"), wanted.select(F.count_distinct("w")).first()[0]
+    weights.select(F.col("qid").cast("long").alias("qid"), "xs").write.parquet(path)  # read twice below
 
     def task(wave: pa.Table) -> Callable:
         qids, xs = wave["qid"].to_numpy(), _one(wave["xs"])
         words = xs.flatten().field("w").dictionary_encode()
         matrix = np.zeros((max(1, len(words.dictionary)), len(qids)))
         matrix[words.indices.to_numpy(), np.repeat(np.arange(len(qids)), np.diff(xs.offsets.to_numpy()))] = xs.flatten().field("x").to_numpy()
-        shared = corpus.sparkSession.sparkContext.broadcast((qids, words.dictionary, matrix))
+        shared = spark.sparkContext.broadcast((qids, words.dictionary, matrix))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, vocabulary, matrix = shared.value
@@ -150,7 +151,7 @@ def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         return multiply
 
     rows = corpus.where("words is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "words")
-    met = over_waves(rows, waves(weights.select(F.col("qid").cast("long").alias("qid"), "xs"), "qid", 8 * max(1, widest)), task, "qid long, doc_id long, score double")
+    met = over_waves(rows, waves(spark.read.parquet(path), "qid", 8 * max(1, widest)), task, "qid long, doc_id long, score double")
     by = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
