@@ -13,7 +13,8 @@ are candidates.  Bits beyond two are absorbed by leaving out, in turn, blocks of
 
 Fingerprints are made distinct before they are spread, those that meet are verified on all bits (and,
 if asked for, on a second fingerprint of longer shingles), and each variant's members give a spanning
-forest of their links, not all pairs.
+forest of their links, not all pairs.  ``similar_documents`` verifies those links once more by the
+similarity of the whole texts' shingle sets, so that no estimate decides which documents go.
 """
 
 from __future__ import annotations
@@ -166,11 +167,53 @@ def near_duplicates(
     return told.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 2, distance: int = 6, id_col: str = "doc_id", text_col: str = "text", verify_words: int | None = 5, verify_distance: int = 14) -> DataFrame:
-    """docs with one row of each component, that of the least id; rows with null ids stay; all columns stay.
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and shingles (the distinct hashes, in order) of (doc_id, text)."""
 
-    Of two texts that share 0.8 of their 5-word shingles, fingerprints of those lie about 9.7 bits apart;
-    14 is 1.5 standard deviations more.  Candidates come from shorter shingles, of which an edit spoils fewer.
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_buffer().to_pybytes(), words)).view("i8") for t in batch["text"]]
+            yield pa.record_batch({"doc_id": batch["doc_id"], "shingles": pa.array(found, pa.list_(pa.int64()))})
+
+    return docs.mapInArrow(lean(listed), "doc_id long, shingles array<long>")
+
+
+def similar_documents(
+    docs: DataFrame, words: int = 2, distance: int = 6, id_col: str = "doc_id", text_col: str = "text", verify_words: int = 5, verify_distance: int = 17, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id) of the ids that links of verified similarity connect; others are not listed.
+
+    A link is a pair that fingerprints of ``words`` words and of ``verify_words`` words propose (texts with one
+    fingerprint are proposed with the one of least id) and whose sets of ``verify_words``-word shingles, whole
+    texts, have a Jaccard similarity of ``similarity`` or more.  Texts alike in both fingerprints are linked as they
+    are.  Null texts are empty; null ids take no part; rows with one id count as one document, alike if any of its
+    texts is; an empty table gives an empty result.
+    """
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    prints = checkpointed(fingerprints(texts, words, verify_words=verify_words))
+    alike = checkpointed(prints.groupBy("fingerprint", "check").agg(F.min("doc_id").alias("least")))
+    shown = alike.groupBy("fingerprint").agg(F.min(F.struct("least", "check")).alias("of")).select("fingerprint", F.col("of.least").alias("shown"), F.col("of.check").alias("check"))
+    links = fingerprint_links(shown.select("fingerprint", "check"), distance, verify_distance).distinct()
+    ends = shown.select("fingerprint", "shown")
+    between = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select("x", "y")
+    within = hot_lookup(alike, ends, "fingerprint", F.col("least")).select(F.col("shown").alias("x"), F.col("least").alias("y"))
+    proposed = checkpointed(between.unionByName(within).where("x <> y").distinct())
+    wanted = proposed.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    sets = checkpointed(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), verify_words))
+    pairs = proposed.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y").select("x", "y", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size(F.array_intersect("a", "b")).alias("both"))
+    held = pairs.where(F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("x", "y")
+    known = F.struct("fingerprint", "check").alias("known")
+    same = hot_lookup(prints.select("doc_id", known), alike.select(known, "least"), "known", F.col("doc_id")).where("doc_id <> least")
+    every = held.unionByName(same.select(F.col("doc_id").alias("x"), F.col("least").alias("y")))
+    return connected_components(every.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 2, distance: int = 6, id_col: str = "doc_id", text_col: str = "text", verify_words: int = 5, verify_distance: int = 17, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar documents, that of the least id; rows with null ids stay; all columns stay.
+
+    Of two texts that share 0.8 of their 5-word shingles, fingerprints of those lie about 9.7 bits apart; 17 is
+    2.5 standard deviations more, and the shingles themselves decide.  Candidates come from shorter shingles, of
+    which an edit spoils fewer.
     """
-    losers = near_duplicates(docs, words, distance, id_col, text_col, verify_words, verify_distance).where("doc_id <> component_id").select("doc_id").distinct()
+    losers = similar_documents(docs, words, distance, id_col, text_col, verify_words, verify_distance, similarity).where("doc_id <> component_id").select("doc_id")
     return without(docs, id_col, losers)

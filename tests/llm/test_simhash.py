@@ -75,10 +75,11 @@ def test_edges_and_clashing_columns(spark):
     assert by[5].component_id == 4 and by[7].component_id == 6 and by[8].component_id == 8
     for d, t in rows[:-1]:
         assert by[d].fingerprint == f"{brute_print(t):016x}"
-    left = simhash.drop_near_duplicates(docs, words=3, distance=3, verify_words=None)
+    left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "6", "8", "None"]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+    assert simhash.similar_documents(docs.where(F.lit(False))).count() == 0
 
 
 def test_long_chains_of_links(spark):
@@ -133,3 +134,26 @@ def test_near_copies_are_dropped_and_others_stay(spark, sf):
     left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert left >= set(range(60)) | set(range(2000, 2060))
     assert len(left & set(range(1000, 1060))) <= 12
+
+
+def test_similar_documents_are_verified_on_whole_shingle_sets(spark):
+    rng, rows, sets = random.Random(9), [], {}
+    words = [f"w{k}" for k in range(3000)]
+    for d in range(40):
+        text = [rng.choice(words) for _ in range(400)]
+        for k, n in enumerate((0, 4, 7, 9, 11, 14)):  # similarities from above 0.9 to about 0.7
+            copy = list(text)
+            for at in rng.sample(range(400), n):
+                copy[at] = rng.choice(words)
+            rows.append((d + 100 * k, " ".join(copy)))
+    rows += [(5000 + d, t) for d, t in rows[:120:6]] + [(None, rows[0][1]), (6000, None), (6001, " "), (7000, "a B c"), (7000, "other words"), (7001, "A b C")]
+    for d, t in rows:
+        sets.setdefault(d, []).append(set(simhash.shingle_hashes((t or "").encode(), 5).tolist()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    alike = lambda x, y: any(len(a & b) >= 0.8 * len(a | b) for a in sets[x] for b in sets[y])
+    for d, c in got.items():
+        others = [x for x, y in got.items() if y == c and x != d]
+        assert c == min([d, *others]) and any(alike(d, x) for x in others)
+    assert all(got[d] == got[5000 + d] for d in range(20)) and got[6001] == 6000 and got[7001] == 7000
+    assert None not in got and sum(got.get(d) == got.get(d + 100, -1) for d in range(40)) >= 30
