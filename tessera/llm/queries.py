@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
+from tessera.llm import bpe_trie, clustering, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
@@ -53,8 +53,12 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet, op11_clusters)}
 
 
 OP6_SQL = r"""
@@ -92,5 +96,24 @@ FROM b
 """.replace("@@", quality.BOILERPLATE)
 
 
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Rounds unrolled: r{i} assigns to the centroids c{i}, of which c{i + 1} are the means; empty ones stay."""
+    steps = [
+        "q AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "c0 AS (SELECT (row_number() OVER (ORDER BY sha256(concat('1:', vec_id::VARCHAR)), v) - 1)::INT AS c, v AS m FROM q WHERE vec_id IS NOT NULL QUALIFY c < 16)",
+    ]
+    for i in range(rounds + 1):
+        steps += [
+            f"d{i} AS (SELECT rid, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - m[j]) * (v[j] - m[j])))::BIGINT AS d FROM q, c{i})",
+            f"r{i} AS (SELECT rid, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)",
+            f"s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM r{i} JOIN q USING (rid)) GROUP BY c, j)",
+            f"c{i + 1} AS (SELECT c{i}.c, coalesce(a.m, c{i}.m) AS m FROM c{i} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS m FROM s{i} GROUP BY c) a ON a.c = c{i}.c)",
+        ]
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, r{rounds}.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY r{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM r{rounds} JOIN q USING (rid) JOIN c{rounds} ON c{rounds}.c = r{rounds}.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op5_quality": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_clusters": _lloyd_sql()}
