@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, clustering, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
+from tessera.llm import bpe_trie, chat_format, clustering, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
@@ -57,8 +57,17 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3)
 
 
+def op12_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = shared_path(spark, "chats")
+    chat_format.write_chats(chat_format.turn_events(turns), path)
+    return chat_format.chat_digests(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet, op11_clusters)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet, op11_clusters, op12_chat_log)}
 
 
 OP6_SQL = r"""
