@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_trie, chat_format, clustering, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
+from tessera.llm import bpe_trie, chat_format, clustering, collocations, exact_dedup, licenses, packing, pii, quality, secrets, simhash, substring_dedup, wavelet
 from tessera.llm._common import documents, shared_path
 from tessera.llm._items import default_path
 
@@ -66,8 +66,12 @@ def op12_chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(spark, path)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), most_words=5, least=100, top=2000, subsumed_percent=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet, op11_clusters, op12_chat_log)}
+    return {f.__name__: f for f in (op1_pii, op2_bpe_trie, op3_simhash, op4_licenses, op5_quality, op6_exact_dedup, op7_secrets, op8_packing, op9_suffix_dedup, op10_wavelet, op11_clusters, op12_chat_log, op13_collocations)}
 
 
 OP6_SQL = r"""
@@ -105,6 +109,26 @@ FROM b
 """.replace("@@", quality.BOILERPLATE)
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p0 AS (SELECT rid, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS ps FROM d),
+p AS (SELECT rid, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pn FROM p0),
+w0 AS (SELECT rid, lang, pn, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+w AS (SELECT rid, lang, pn, unnest(ws) AS w, generate_subscripts(ws, 1) AS wn FROM w0),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, list(w) OVER (PARTITION BY rid, pn ORDER BY wn ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ws FROM w),
+m AS (SELECT unnest(range(1, 6)) AS m),
+f AS (SELECT lang, array_to_string(ws[1:m], ' ') AS phrase, m, count(*) AS f FROM g, m WHERE len(ws) >= m GROUP BY ALL HAVING count(*) >= 100),
+longer AS (SELECT lang, m, f, string_split(phrase, ' ') AS ws FROM f WHERE m > 2),
+inside AS (SELECT l.lang, array_to_string(l.ws[i:i + j - 1], ' ') AS phrase, max(f) AS around FROM longer l, (SELECT m AS j FROM m WHERE m > 1) j, (SELECT m AS i FROM m) i WHERE j < m AND i + j - 1 <= m GROUP BY ALL),
+c AS (SELECT f.lang, f.phrase, f.m, f.f AS a FROM f LEFT JOIN inside USING (lang, phrase) WHERE m > 1 AND (around IS NULL OR 100 * around < 100 * f.f)),
+cut AS (SELECT c.lang, phrase, a, k.m AS k, array_to_string(string_split(phrase, ' ')[1:k.m], ' ') AS lp, array_to_string(string_split(phrase, ' ')[k.m + 1:], ' ') AS rp FROM c, m k WHERE k.m < c.m),
+s AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
+
+
 def _lloyd_sql(rounds: int = 3) -> str:
     """Rounds unrolled: r{i} assigns to the centroids c{i}, of which c{i + 1} are the means; empty ones stay."""
     steps = [
@@ -125,4 +149,4 @@ FROM r{rounds} JOIN q USING (rid) JOIN c{rounds} ON c{rounds}.c = r{rounds}.c"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_clusters": _lloyd_sql()}
+    return {"op5_quality": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_clusters": _lloyd_sql(), "op13_collocations": OP13_SQL}
