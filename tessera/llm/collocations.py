@@ -6,15 +6,16 @@ word, and its endpos count is the number of places where it ends.  The tree is b
 (link, word to the left) of all ends at once, to the depth asked for.
 
 A phrase that is frequent over all shards has frequent parts, so counting goes by depth: a shard gives the counts of
-phrases whose link and whose prefix (the transition that leads to them) are frequent, Spark adds them up, and what is
-frequent is known to the next depth by a Bloom filter of a fixed size.  False positives cost rows and never
-counts; a corpus too rich for the filter shuffles more and gives the same result.
+phrases whose link and whose prefix (the transition that leads to them) are frequent, Spark adds them up, first in buckets
+of hashes, then those of full buckets by their words, and what is frequent is known to the next depth by a Bloom filter of
+a fixed size.  False positives cost rows and never counts; a corpus too rich for the filter shuffles more and gives the
+same result.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +129,8 @@ def extended(suffix: np.ndarray, left: np.ndarray) -> np.ndarray:
 class Known:
     """A Bloom filter of two bits for each phrase."""
 
-    def __init__(self, bits: int):
-        self.bits, self.held = bits, np.zeros(1 << (bits - 3), "u1")
+    def __init__(self, bits: int, empty: bool = False):
+        self.bits, self.held = bits, np.zeros(0 if empty else 1 << (bits - 3), "u1")
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (hashes >> np.uint64(64 - self.bits)).astype("i8"), (hashes & np.uint64((1 << self.bits) - 1)).astype("i8")
@@ -138,37 +139,41 @@ class Known:
         both = [self.held[p >> 3] >> (p & 7).astype("u1") & 1 for p in self.places(hashes)]
         return (both[0] & both[1]).astype(bool)
 
-    def add_all(self, phrases: DataFrame) -> None:
-        """Bits of (lang, phrase), found in tasks; what comes here is as large as the filter at most."""
-        bits, places = self.bits, self.places
+    def add(self, rows: DataFrame, hashed: Callable[[pa.RecordBatch], np.ndarray]) -> None:
+        """Bits of the rows' hashes, found in tasks; what comes here is as large as the filter at most."""
+        places = Known(self.bits, empty=True).places
 
         def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own: dict[str, dict[str, int]] = defaultdict(dict)
-                hashes = np.zeros(len(batch), "u8")
-                for i, (lang, phrase) in enumerate(zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True)):
-                    words = phrase.split(" ")
-                    of = own[lang]
-                    for w in words:
-                        if w not in of:
-                            of[w] = xxhash.xxh64_intdigest(f"{lang} {w}")
-                    x = np.array([of[words[-1]]], "u8")
-                    for w in words[-2::-1]:
-                        x = extended(x, np.array([of[w]], "u8"))
-                    hashes[i] = x[0]
-                at = np.unique(np.concatenate(places(hashes)))
+                at = np.unique(np.concatenate(places(hashed(batch))))
                 yield pa.record_batch({"word": at >> 6, "mask": (np.uint64(1) << (at & 63).astype("u8")).view("i8")})
 
-        sent = Known.__new__(Known)
-        sent.bits = bits
-        places = sent.places  # tasks need no bits
-        got = phrases.select("lang", "phrase").mapInArrow(told, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        words = self.held.view("<i8")
-        words[got["word"].to_numpy()] |= got["mask"].to_numpy()
+        got = rows.mapInArrow(told, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        self.held.view("<i8")[got["word"].to_numpy()] |= got["mask"].to_numpy()
 
 
-def counted(ids: np.ndarray, skip: int, hashes: np.ndarray, depth: int, known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """An end and the endpos count of each phrase of ``depth`` words whose link and prefix are known, and so theirs."""
+def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of (lang, phrase) rows, as automata have them."""
+    own: dict[str, dict[str, np.ndarray]] = defaultdict(dict)
+    out = np.zeros(len(batch), "u8")
+    for i, (lang, phrase) in enumerate(zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True)):
+        words, of = phrase.split(" "), own[lang]
+        for w in words:
+            if w not in of:
+                of[w] = word_hashes(lang, [w])
+        x = of[words[-1]]
+        for w in words[-2::-1]:
+            x = extended(x, of[w])
+        out[i] = x[0]
+    return out
+
+
+def bucket_hashes(buckets: np.ndarray) -> np.ndarray:
+    return extended(buckets.astype("u8"), np.zeros(len(buckets), "u8"))
+
+
+def counted(ids: np.ndarray, skip: int, hashes: np.ndarray, depth: int, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An end, the endpos count and the hash of each phrase of ``depth`` words whose link and prefix are known, and so theirs."""
     width, word = len(hashes), ids.astype("i8")
     node = np.where(word >= 0, word, -1)
     node[node >= 0] = np.where(known.has(hashes)[node[node >= 0]], node[node >= 0], -1)
@@ -177,35 +182,61 @@ def counted(ids: np.ndarray, skip: int, hashes: np.ndarray, depth: int, known: K
         ends = np.flatnonzero((node[1:] >= 0) & (node[:-1] >= 0)) + 1
         left = word[ends - m + 1]
         keys, first, inverse, counts = np.unique(node[ends] * width + left, return_index=True, return_inverse=True, return_counts=True)
+        own = extended(own[keys // width], hashes[keys % width])
         if m == depth:
             if skip:
                 counts = np.bincount(inverse[ends >= skip], minlength=len(keys))
-            return ends[first][counts > 0], counts[counts > 0]
-        own = extended(own[keys // width], hashes[keys % width])
-        kept = known.has(own)
+            held = counts > 0
+            return ends[first][held], counts[held], own[held]
         node = np.full(len(word), -1, "i8")
-        node[ends] = np.where(kept[inverse], inverse, -1)
+        node[ends] = np.where(known.has(own)[inverse], inverse, -1)
     raise ValueError("phrases have two words or more")
 
 
-def phrase_counts(shards: DataFrame, depth: int, known: Known, rows: int = 1 << 16) -> DataFrame:
-    """(lang, phrase, n) of each shard's phrases of ``depth`` words that may be frequent."""
-    shared = shards.sparkSession.sparkContext.broadcast((known.bits, known.held))
+def over_shards(shards: DataFrame, depth: int, known: Known, hot: Known | None, rows: int = 1 << 16) -> DataFrame:
+    """What shards count at a depth: (bucket, n) by 32 bits of the phrases' hashes, or, with the ``hot`` buckets, (lang, phrase, n)."""
+    sent = lambda k: None if k is None else (k.bits, k.held)
+    shared = shards.sparkSession.sparkContext.broadcast((sent(known), sent(hot)))
+
+    def heard(told: tuple | None) -> Known | None:
+        if told is None:
+            return None
+        out = Known(told[0], empty=True)
+        out.held = told[1]
+        return out
 
     def enumerate_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known.__new__(Known)
-        known.bits, known.held = shared.value
+        known, hot = map(heard, shared.value)
         for batch in batches:
             for i in range(len(batch)):
                 lang, words = batch["lang"][i].as_py(), batch["words"][i].values
                 ids = np.frombuffer(batch["ids"][i].as_buffer(), "<i4")
-                ends, counts = counted(ids, batch["skip"][i].as_py(), word_hashes(lang, words.to_pylist()), depth, known)
+                ends, counts, own = counted(ids, batch["skip"][i].as_py(), word_hashes(lang, words.to_pylist()), depth, known)
+                buckets = own >> np.uint64(32)
+                if hot is None:
+                    for a in range(0, len(ends), rows):
+                        yield pa.record_batch({"bucket": buckets[a : a + rows].astype("u4").view("i4"), "n": counts[a : a + rows].astype("i4")})
+                    continue
+                held = hot.has(bucket_hashes(buckets))
+                ends, counts = ends[held], counts[held]
                 for a in range(0, len(ends), rows):
                     at = ends[a : a + rows]
                     phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at - k])) for k in range(depth - 1, -1, -1)], " ")
                     yield pa.record_batch([pa.array([lang] * len(at), pa.string()), phrase, pa.array(counts[a : a + rows].astype("i8"))], names=["lang", "phrase", "n"])
 
-    return shards.select("lang", "skip", "words", "ids").mapInArrow(lean(enumerate_shard, "ids"), "lang string, phrase string, n long")
+    return shards.select("lang", "skip", "words", "ids").mapInArrow(lean(enumerate_shard, "ids"), "bucket int, n int" if hot is None else "lang string, phrase string, n long")
+
+
+def phrase_counts(shards: DataFrame, depth: int, known: Known, least: int) -> DataFrame:
+    """(lang, phrase, n) of each shard's phrases of ``depth`` words that may stand ``least`` times in all.
+
+    Nearly all phrases are rare, so they are first counted in 2^32 buckets, whose numbers shuffle in a few bytes; only
+    phrases of buckets that reach ``least`` are then written out.
+    """
+    buckets = over_shards(shards, depth, known, None).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    hot = Known(known.bits)
+    hot.add(buckets.select("bucket"), lambda batch: bucket_hashes(batch["bucket"].to_numpy().view("u4")))
+    return over_shards(shards, depth, known, hot)
 
 
 def frequent_phrases(docs: DataFrame, most_words: int = 5, least: int = 100, shard_words: int = 1 << 20, filter_bits: int = 26, block_bytes: int = 4 << 20, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -215,11 +246,11 @@ def frequent_phrases(docs: DataFrame, most_words: int = 5, least: int = 100, sha
     shards, known = spark.read.schema(SHARD).parquet(f"{path}/shards"), Known(filter_bits)
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     for m in range(1, most_words + 1):
-        found = words if m == 1 else phrase_counts(shards, m, known)
+        found = words if m == 1 else phrase_counts(shards, m, known, least)
         sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         sums.withColumn("words", F.lit(m)).write.parquet(f"{path}/frequent/depth={m}")
         if m < most_words:
-            known.add_all(spark.read.parquet(f"{path}/frequent/depth={m}"))
+            known.add(spark.read.parquet(f"{path}/frequent/depth={m}").select("lang", "phrase"), phrase_hashes)
     sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     return spark.read.schema("lang string, phrase string, words int, f long").parquet(*[f"{path}/frequent/depth={m}" for m in range(1, most_words + 1)]), sizes
 

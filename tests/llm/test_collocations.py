@@ -92,7 +92,7 @@ def test_context_is_not_counted_twice():
             _, skip, names, counts, ids = shard.row("en")
             ids = np.frombuffer(ids, "<i4")
             for m in range(2, 6):
-                for e, n in zip(*C.counted(ids, skip, C.word_hashes("en", names), m, known), strict=True):
+                for e, n, _ in zip(*C.counted(ids, skip, C.word_hashes("en", names), m, known), strict=True):
                     into[tuple(names[x] for x in ids[e - m + 1 : e + 1])] += int(n)
             into["n"] += int(counts.sum())
             at += size
