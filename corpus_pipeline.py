@@ -21,7 +21,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more of their 5-word shingles the one with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs, words=2, distance=6, verify_words=5, verify_distance=17, similarity=0.8)
+    return simhash.drop_near_duplicates(docs, words=2, verify_words=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
