@@ -6,43 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import affine_scan
+from tessera.operators.skew import salted_lookup
+
+
+def beside_groups(df: DataFrame, group: list[str], stats: list[Column], salts: int = 32) -> DataFrame:
+    """df with aggregates of each row's group as columns.
+
+    Groups are aggregated in part before the shuffle (Spark merges counts, means and squares), and rows meet their
+    group by (group, salt): a group brings its aggregates once for each salt that its rows have, so that a hot
+    group is no one task's.  Null groups are a group.
+    """
+    found = df.groupBy(*group).agg(*stats)
+    return salted_lookup(df, found, group, F.xxhash64(*df.columns), salts, "inner")
+
 
 def group_advantage(df: DataFrame, group: str, reward: str, eps: float = 1e-8, name: str = "advantage") -> DataFrame:
     """(reward - mean) / (sample std + eps) in each group; a std below eps counts as 1; groups of one row are dropped."""
-    by = W.partitionBy(group)
-    spread = F.stddev_samp(reward).over(by)
-    scaled = (F.col(reward) - F.avg(reward).over(by)) / (F.when(spread < eps, 1.0).otherwise(spread) + eps)
-    return df.withColumn(name, scaled).where(F.col(name).isNotNull())
+    return group_advantage_safe(df, group, reward, eps, name, lone=None).where(F.col(name).isNotNull())
+
 
+def group_advantage_safe(df: DataFrame, group: str, reward: str, eps: float = 1e-8, name: str = "advantage", lone: float | None = 0.0) -> DataFrame:
+    """As group_advantage, but a group of one row gets ``lone`` and stays."""
+    both = beside_groups(df, [group], [F.stddev_samp(reward).alias("_sd"), F.avg(reward).alias("_mean"), F.count(F.lit(1)).alias("_n")])
+    scaled = (F.col(reward) - F.col("_mean")) / (F.when(F.col("_sd") < eps, 1.0).otherwise(F.col("_sd")) + eps)
+    return both.withColumn(name, F.when(F.col("_n") <= 1, F.lit(lone)).otherwise(scaled)).drop("_sd", "_mean", "_n")
 
-def group_advantage_safe(df: DataFrame, group: str, reward: str, eps: float = 1e-8, name: str = "advantage") -> DataFrame:
-    """As group_advantage, but a group of one row gets 0 and stays."""
-    by = W.partitionBy(group)
-    spread = F.stddev_samp(reward).over(by)
-    scaled = (F.col(reward) - F.avg(reward).over(by)) / (F.when(spread < eps, 1.0).otherwise(spread) + eps)
-    return df.withColumn(name, F.when(F.count(F.lit(1)).over(by) <= 1, 0.0).otherwise(scaled))
 
+def z_scores(df: DataFrame, values: dict[str, str], group: list[str], eps: float = 1e-6) -> DataFrame:
+    """df with population z-scores (name: value column); 0 in groups of one value or with a deviation below eps."""
+    stats = lambda v: [F.stddev_pop(v).alias(f"_sd_{v}"), F.avg(v).alias(f"_mean_{v}"), F.count(v).alias(f"_n_{v}")]
+    both = beside_groups(df, group, [s for v in values.values() for s in stats(v)])
+    for name, v in values.items():
+        flat = (F.col(f"_n_{v}") <= 1) | (F.col(f"_sd_{v}") < eps)
+        both = both.withColumn(name, F.when(flat, 0.0).otherwise((F.col(v) - F.col(f"_mean_{v}")) / F.col(f"_sd_{v}")))
+    return both.drop(*[f"_{s}_{v}" for v in values.values() for s in ("sd", "mean", "n")])
 
-def z_normalize(value: str, group: list[str], eps: float = 1e-6) -> Column:
-    """Population z-score; 0 in groups of one row or with a deviation below eps."""
-    by = W.partitionBy(*group)
-    spread = F.stddev_pop(value).over(by)
-    return F.when((F.count(value).over(by) <= 1) | (spread < eps), 0.0).otherwise((F.col(value) - F.avg(value).over(by)) / spread)
 
+def discounted_returns(df: DataFrame, key: str, order: str, value: str, gamma: float | Column, name: str = "ret") -> DataFrame:
+    """(key, order, name): ret[t] = value[t] + gamma * ret[t + 1] in each key's order; gamma may differ by row.
 
-def discounted_returns(df: DataFrame, key: str, order: str, value: str, gamma: float, name: str = "ret") -> DataFrame:
-    """ret[t] = value[t] + gamma * ret[t + 1] in each key's order; a key's rows are folded as one array."""
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    step = lambda acc, x: F.concat(acc, F.array(x[value] + gamma * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))))
-    folded = F.reverse(F.aggregate(F.reverse("_rows"), F.array().cast("array<double>"), step))
-    out = df.groupBy(key).agg(rows.alias("_rows")).select(key, F.arrays_zip(F.col("_rows").alias("r"), folded.alias("v")).alias("_z"))
-    return out.select(key, F.explode("_z").alias("_z")).select(key, F.col("_z.r")[order].alias(order), F.col("_z.v").alias(name))
+    A scan from the last row on, so a key may have any number of rows.  Rows alike in order go by value; after a
+    null value the sum begins anew.
+    """
+    factor = gamma if isinstance(gamma, Column) else F.lit(float(gamma))
+    return affine_scan(df, key, [(order, True), (value, True)], [order], factor, F.col(value), name)
 
 
 def turn_advantages(df: DataFrame, group: str, rollout: str, turn: str, ig: str, outcome: str, gamma: float = 0.95) -> DataFrame:
     """Both rewards z-scored over all turns of the group, added, then discounted backwards in each rollout."""
-    summed = df.select(group, rollout, turn, (z_normalize(ig, [group]) + z_normalize(outcome, [group])).alias("_r"))
-    return discounted_returns(summed, rollout, turn, "_r", gamma, "advantage")
+    scored = z_scores(df.select(group, rollout, turn, ig, outcome), {"_z_ig": ig, "_z_outcome": outcome}, [group])
+    return discounted_returns(scored.withColumn("_r", F.col("_z_ig") + F.col("_z_outcome")), rollout, turn, "_r", gamma, "advantage")
 
 
 def information_gain(df: DataFrame, rollout: str, turn: str, score: str, baseline: float = 0.0) -> DataFrame:

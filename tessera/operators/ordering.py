@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessera.operators.scans import next_fit
 from tessera.sources.scratch import scratch
 
 
@@ -152,26 +150,8 @@ def balanced_chunks(df: DataFrame, group: str, order: str, chunks: int) -> DataF
 
 
 def greedy_pack(df: DataFrame, shard: str, order: str, size_col: str, capacity: int) -> DataFrame:
-    """In-order next-fit per shard: a row that doesn't fit opens a new pack.  Rows over the capacity are dropped before.
-
-    Rows are sorted by shard and order on disk if need be; a task carries one shard's pack number and fill.
-    """
-    fit = df.where(F.col(size_col) <= capacity).select(shard, order, size_col, F.col(size_col).cast("long").alias("_n"))
-    schema = T.StructType([*fit.drop("_n").schema.fields, T.StructField("pack", T.IntegerType())])
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, pack, used = object(), 0, 0
-        for batch in batches:
-            packs = []
-            for own, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if own != before:
-                    before, pack, used = own, 0, 0
-                over = used + n > capacity
-                pack, used = pack + over, n if over else used + n
-                packs.append(pack)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packs, pa.int32())], names=schema.names)
-
-    return fit.repartition(shard).sortWithinPartitions(shard, order).mapInArrow(put, schema)
+    """In-order next-fit per shard: a row that doesn't fit opens a new ``pack``.  Rows over the capacity are dropped before."""
+    return next_fit(df, shard, order, size_col, capacity)
 
 
 def weighted_sample(df: DataFrame, key: str, weight: Column, k: int, seed: int) -> DataFrame:

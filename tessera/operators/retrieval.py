@@ -1,6 +1,6 @@
 """Exact vector and TF-IDF search and ranking metrics.
 
-Searches read the corpus as it lies.  What is asked for goes to the tasks as matrices of a checked size, in
+Vector searches read the corpus as it lies.  What is asked for goes to the tasks as matrices of a checked size, in
 waves if it is larger; a task multiplies each Arrow batch with them and keeps its k best, so only k rows
 a query and partition are shuffled.
 """
@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import inverted_index
 from tessera.sources.scratch import scratch
 
 #: Most bytes that one wave of queries sends to the tasks.
@@ -114,46 +114,12 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 def tfidf_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(qid, doc_id, score, rank) with idf = ln((N + 1) / (df + 1)) + 1, query words with repetition, ties by doc_id.
 
-    queries: (qid, words), corpus: (doc_id, words), words being arrays.  Words are counted over all documents;
-    a task holds the queries' weights as a matrix of words and queries and multiplies its documents with it.
+    queries: (qid, words), corpus: (doc_id, words), words being arrays.  The corpus is indexed once, whatever the
+    number of queries; see ``inverted_index``, which also keeps an index for later searches.
     """
-    spark, n = corpus.sparkSession, corpus.count()
-    wanted = queries.select("qid", F.explode("words").alias("w")).groupBy("qid", "w").agg(F.count(F.lit(1)).alias("q"))
-    seen = corpus.select(F.explode(F.array_distinct("words")).alias("w")).join(wanted.select("w").distinct(), "w", "left_semi")
-    idf = seen.groupBy("w").agg((F.log((n + 1.0) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
-    weights = wanted.join(idf, "w").groupBy("qid").agg(F.collect_list(F.struct("w", (F.col("q") * F.col("idf")).alias("x"))).alias("xs"))  # a query's own words
-    path, widest = scratch(spark, "weights"), wanted.select(F.count_distinct("w")).first()[0]
-    weights.select(F.col("qid").cast("long").alias("qid"), "xs").write.parquet(path)  # read twice below
-
-    def task(wave: pa.Table) -> Callable:
-        qids, xs = wave["qid"].to_numpy(), _one(wave["xs"])
-        words = xs.flatten().field("w").dictionary_encode()
-        matrix = np.zeros((max(1, len(words.dictionary)), len(qids)))
-        matrix[words.indices.to_numpy(), np.repeat(np.arange(len(qids)), np.diff(xs.offsets.to_numpy()))] = xs.flatten().field("x").to_numpy()
-        shared = spark.sparkContext.broadcast((qids, words.dictionary, matrix))
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, vocabulary, matrix = shared.value
-            best, block = Best(len(qids), k), max(1, (32 << 20) // (8 * len(matrix)))
-            for batch in batches:
-                for begin in range(0, len(batch), block):
-                    some = batch.slice(begin, block)
-                    at = pc.index_in(some["words"].flatten(), value_set=vocabulary)
-                    doc = np.repeat(np.arange(len(some)), np.diff(some["words"].offsets.to_numpy()))
-                    held = at.is_valid().to_numpy(zero_copy_only=False)
-                    tf = np.bincount(doc[held] * len(matrix) + at.drop_null().to_numpy(), minlength=len(some) * len(matrix)).reshape(len(some), -1)
-                    for a in range(0, len(qids), BLOCK_QUERIES):
-                        scores = np.round(tf @ matrix[:, a : a + BLOCK_QUERIES], 3).T
-                        best.add(a, scores, some["doc_id"].to_numpy())
-            above = best.scores > 0
-            yield pa.record_batch({"qid": qids[best.rows[above]], "doc_id": best.ids[above], "score": best.scores[above]})
-
-        return multiply
-
-    rows = corpus.where("words is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "words")
-    met = over_waves(rows, waves(spark.read.parquet(path), "qid", 8 * max(1, widest)), task, "qid long, doc_id long, score double")
-    by = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    path = scratch(corpus.sparkSession, "index")
+    inverted_index.write_index(corpus, path)
+    return inverted_index.search(corpus.sparkSession, path, queries, k)
 
 
 def ranking_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:

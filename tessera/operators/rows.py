@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import salted_lookup
 from tessera.sources.scratch import scratch
 
 
@@ -133,7 +134,8 @@ def tree_paths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         known = met.select("_n", F.when(F.col("up").isNull(), F.col("path")).otherwise(longer).alias("path"), F.col("_next").alias("up"))
     leaves = known.join(inner, "_n", "left_anti")
     flat = leaves.select(F.col("_n").alias("leaf"), F.posexplode("path").alias("position", "node"))
-    return flat.withColumn("owns", F.col("leaf") == F.min("leaf").over(W.partitionBy("node")))
+    owner = flat.groupBy("node").agg(F.min("leaf").alias("_owner"))  # in part before the shuffle: a root is on every path
+    return salted_lookup(flat, owner, ["node"], F.col("leaf")).withColumn("owns", F.col("leaf") == F.col("_owner")).drop("_owner").select("leaf", "position", "node", "owns")
 
 
 def matching(df: DataFrame, wanted: dict[str, str], defaults: dict[str, bool]) -> DataFrame:

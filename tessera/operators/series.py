@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import neighbourhoods
+from tessera.operators.ordering import neighbourhoods, with_row_number
+from tessera.operators.skew import salted_lookup
 
 
 def time_weighted_mean(df: DataFrame, gauge: str, ts: str, value: str, chunk: int = 1 << 16) -> DataFrame:
@@ -24,9 +25,15 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, width: int =
 
 
 def contiguous_cursor(df: DataFrame, key: str, index: str) -> DataFrame:
-    """Length of the longest prefix 0, 1, ... of resolved indices; repeats count once."""
-    rows = df.select(key, index).distinct().withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(index)) - 1)
-    return rows.groupBy(key).agg(F.count_if(F.col(index) == F.col("_n")).alias("cursor"), F.count(F.lit(1)).alias("resolved"))
+    """Length of the longest prefix 0, 1, ... of resolved indices; repeats count once, negative and null ones not at all.
+
+    Rows are numbered over all keys, so an index belongs to the prefix where it is as far from the key's first number; a
+    key's rows lie in as many tasks as they fill.
+    """
+    rows = with_row_number(df.select(key, index).where(F.col(index) >= 0).distinct(), key, index, name="_row")
+    first = rows.groupBy(key).agg(F.min("_row").alias("_first"))
+    met = salted_lookup(rows, first, [key], F.col("_row"))
+    return met.groupBy(key).agg(F.count_if(F.col(index) == F.col("_row") - F.col("_first")).alias("cursor"), F.count(F.lit(1)).alias("resolved"))
 
 
 def circuit_breaker(df: DataFrame, key: str, order: str, failed: Column, run: int = 5, window: int = 20, least: int = 10, share: float = 0.5, chunk: int = 1 << 16) -> DataFrame:

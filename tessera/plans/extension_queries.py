@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.templates import rendered
 from tessera.operators import chat as C
 from tessera.operators import extensions as X
-from tessera.operators import grids, vector_index
+from tessera.operators import grids, residual_index, vector_index
 from tessera.plans import derived as D
 from tessera.plans.registry import query, table
 from tessera.plans.rollout_queries import rounded
@@ -25,6 +25,20 @@ def template_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", rendered(chats, pattern, mode="train").alias("shown"))
 
 
+@query("SELECT conv_id, concat(string_agg(concat(n, '. ', upper(role), CASE WHEN role = 'user' THEN '?' ELSE '' END), ', ' ORDER BY turn), ' (', count(*) FILTER (role = 'user'), ' of ', count(*), ', ', sum(length(text)), ' characters)') AS shown FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
+def template_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros, a namespace that a loop carries along, loop variables and an included template."""
+    chats = C.to_chats(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    pattern = """{%- macro line(m, mark='') -%} {{ loop.index }}. {{ m.role | upper }}{{ mark }} {%- endmacro -%}
+    {%- set ns = namespace(users=0, size=0) -%}
+    {%- for m in messages -%}
+        {%- set ns.size = ns.size + m.content | length -%}
+        {%- if m.role == 'user' -%} {%- set ns.users = ns.users + 1 -%} {{ line(m, mark='?') }} {%- else -%} {{ line(m) }} {%- endif -%}
+        {%- if not loop.last %}, {% endif -%}
+    {%- endfor -%} {%- include 'tail' -%}"""
+    return chats.select("conv_id", rendered(chats, pattern, {"tail": "{% set all = messages | length %} ({{ ns.users }} of {{ all }}, {{ ns.size }} characters)"}).alias("shown"))
+
+
 @query("SELECT conv_id, turn, part, CASE part WHEN 0 THEN text ELSE concat('> ', text) END AS shown FROM conversations, (VALUES (0), (1)) v(part) WHERE role <> 'system' AND part <= (role = 'assistant')::INT")
 def render_flat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns give one row, assistant turns two, system turns none."""
@@ -102,6 +116,15 @@ def vector_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vector_index.index_top_k(e.where("id % 100 = 0"), vector_index.in_cells(e, centres), centres, 5, probes=20))
 
 
+@query()
+def vector_residual_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is indexed by a code of 16 bytes; the 100 best by codes are compared.  No SQL: recall against the exact search is tested."""
+    e, path = vectors(spark, sf_dir), scratch(spark, "codes")
+    model = residual_index.fit(e)
+    residual_index.write_index(e, model, path)
+    return rounded(residual_index.search(e, path, model, e.where("id % 100 = 0"), 5))
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def parquet_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A split read as a stream, until its files are used up."""

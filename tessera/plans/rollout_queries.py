@@ -49,12 +49,12 @@ Z_SQL = "CASE WHEN count({0}) OVER g <= 1 OR stddev_pop({0}) OVER g < 1e-6 THEN
 
 @query(f"WITH t AS ({D.TURNS_SQL}) SELECT grp, rollout, turn, round({Z_SQL.format('ig')}, 6) + 0.0 AS z FROM t WINDOW g AS (PARTITION BY grp)")
 def z_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.turns(spark, sf_dir).select("grp", "rollout", "turn", G.z_normalize("ig", ["grp"]).alias("z")))
+    return rounded(G.z_scores(D.turns(spark, sf_dir), {"z": "ig"}, ["grp"]).select("grp", "rollout", "turn", "z"))
 
 
-@query(f"WITH t AS ({D.TURNS_SQL}), s AS (SELECT rollout, turn, {Z_SQL.format('ig')} + {Z_SQL.format('outcome')} AS r FROM t WINDOW g AS (PARTITION BY grp)) SELECT a.rollout, a.turn, round(sum(b.r * power(0.95, b.turn - a.turn)), 5) + 0.0 AS advantage FROM s a JOIN s b ON a.rollout = b.rollout AND b.turn >= a.turn GROUP BY a.rollout, a.turn")
+@query(f"WITH t AS ({D.TURNS_SQL}), s AS (SELECT rollout, turn, {Z_SQL.format('ig')} + {Z_SQL.format('outcome')} AS r FROM t WINDOW g AS (PARTITION BY grp)) SELECT a.rollout, a.turn, round(sum(b.r * power(0.95, b.turn - a.turn)) + 1e-9, 5) + 0.0 AS advantage FROM s a JOIN s b ON a.rollout = b.rollout AND b.turn >= a.turn GROUP BY a.rollout, a.turn")
 def turn_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.turn_advantages(D.turns(spark, sf_dir), "grp", "rollout", "turn", "ig", "outcome"), 5)
+    return rounded(G.turn_advantages(D.turns(spark, sf_dir), "grp", "rollout", "turn", "ig", "outcome"), 5, 1e-9)
 
 
 @query(f"WITH t AS ({D.TURNS_SQL}) SELECT a.rollout, a.turn, round(sum(b.ig * power(0.9, b.turn - a.turn)) + 1e-9, 6) + 0.0 AS ret FROM t a JOIN t b ON a.rollout = b.rollout AND b.turn >= a.turn GROUP BY a.rollout, a.turn")

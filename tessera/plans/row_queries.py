@@ -14,7 +14,7 @@ from tessera.operators import rows as X
 from tessera.plans import derived as D
 from tessera.plans.registry import query, table
 from tessera.plans.rollout_queries import rounded
-from tessera.sources import readers, sinks
+from tessera.sources import lines, readers, sinks
 from tessera.sources.scratch import scratch
 
 
@@ -30,10 +30,25 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.jsonl(spark, written(spark, docs, "jsonl", sinks.write_jsonl), "doc_id long, text string, lang string")
 
 
-@query("SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row_index, strlen(concat('{\"item_id\":', item_id, '}')) + 1 AS n_bytes FROM benchmark")
+@query("SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row_index, strlen(concat('{\"item_id\":', item_id, '}')) + 1 AS n_bytes, true AS adds_up FROM benchmark")
 def jsonl_offset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id").orderBy("item_id")
-    return readers.jsonl_with_index(spark, written(spark, rows, "index", sinks.write_jsonl), "item_id long").withColumn("n_bytes", F.col("n_bytes").cast("long"))
+    """Rows written in order, indexed by byte ranges of 512 bytes, and read again by offset; offsets are sums of the sizes before."""
+    path = written(spark, table(spark, sf_dir, "benchmark").select("item_id").orderBy("item_id"), "index", sinks.write_jsonl)
+    lines.write_offsets(spark, path, f"{path}-offsets", range_bytes=512)
+    index = lines.offsets(spark, f"{path}-offsets")
+    first = index.groupBy("file").agg(F.min("row_index").alias("first"), F.min("offset").alias("zero"), F.max(F.col("offset") + F.col("n_bytes")).alias("end"), F.sum("n_bytes").alias("bytes"))
+    rows = lines.read_at(index, path).join(first, "file")
+    return rows.select(F.get_json_object("line", "$.item_id").cast("long").alias("item_id"), "row_index", "n_bytes", ((F.col("zero") == 0) & (F.col("end") == F.col("bytes"))).alias("adds_up"))
+
+
+@query("WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents) SELECT row_index, doc_id, strlen(text) AS n_chars FROM r WHERE row_index % 100 = 0")
+def jsonl_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth line is looked up in the index and read where it lies."""
+    path = written(spark, table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id"), "access", sinks.write_jsonl)
+    lines.write_offsets(spark, path, f"{path}-offsets")
+    found = lines.read_at(lines.offsets(spark, f"{path}-offsets").where("row_index % 100 = 0"), path)
+    row = F.from_json("line", "doc_id long, text string")
+    return found.select("row_index", row.alias("r")).select("row_index", "r.doc_id", F.octet_length("r.text").cast("long").alias("n_chars"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
@@ -194,24 +209,16 @@ def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.max("value") < 200).alias("low_max"), (F.avg("value") < 50).alias("low_avg"), F.bool_and(F.col("value") < 500).alias("low_all"))
 
 
-@query("""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS total FROM documents), q AS (SELECT item_id, unnest(range(8)) AS slot FROM benchmark),
-p AS (SELECT item_id, slot, doc_id FROM (SELECT item_id, slot, ('0x' || substr(md5(concat('3:', item_id, ':', slot)), 1, 12))::BIGINT % (SELECT count(*) FROM documents) AS place FROM q) JOIN c USING (place)),
-f AS (SELECT item_id, doc_id, min(slot) AS slot FROM p WHERE doc_id % 10 <> item_id % 10 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY slot) AS n FROM f) SELECT item_id, doc_id FROM r WHERE n <= 5""")
-def distractor_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to five documents for each item that aren't its own: drawn by place, so items meet documents in an equi-join."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    drawn = R.drawn_places(table(spark, sf_dir, "benchmark").select("item_id"), 3, "item_id", 8, docs.count())
-    met = drawn.join(R.with_row_number(docs, "doc_id", name="place"), "place").where("doc_id % 10 <> item_id % 10")
-    first = met.groupBy("item_id", "doc_id").agg(F.min("slot").alias("slot"))
-    return first.withColumn("n", F.row_number().over(W.partitionBy("item_id").orderBy("slot"))).where("n <= 5").select("item_id", "doc_id")
-
-
-@query("""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), t AS (SELECT count(*) AS total, count(*) * 618 // 1000 AS low FROM documents), u AS (SELECT min(x) AS stride FROM (SELECT unnest(range(greatest(low, 1), total + 2)) AS x, total FROM t) WHERE gcd(x, total) = 1),
+POOL_SQL = """WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), t AS (SELECT count(*) AS total, count(*) * 618 // 1000 AS low FROM documents), u AS (SELECT min(x) AS stride FROM (SELECT unnest(range(greatest(low, 1), total + 2)) AS x, total FROM t) WHERE gcd(x, total) = 1),
 q AS (SELECT item_id, unnest(range(8)) AS slot FROM benchmark), d AS (SELECT item_id, slot, ('0x' || substr(md5(concat('3:', item_id, ':', slot)), 1, 12))::BIGINT % (SELECT count(*) FROM documents) AS place FROM q),
 w AS (SELECT item_id, place AS start, unnest(range(total)) AS step FROM d, t WHERE slot = 0), a AS (SELECT item_id, slot, place FROM d UNION ALL SELECT item_id, 8 + step, (start + step * stride) % total FROM w, u, t),
-f AS (SELECT item_id, doc_id, min(slot) AS slot FROM a JOIN c USING (place) WHERE doc_id % 10 <> item_id % 10 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY slot) AS n FROM f) SELECT item_id, doc_id FROM r WHERE n <= 5""")
+f AS (SELECT item_id, doc_id, min(slot) AS slot FROM a JOIN c USING (place) WHERE doc_id % 10 <> item_id % 10 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY slot) AS n FROM f) SELECT item_id, doc_id FROM r WHERE n <= 5"""
+
+
+@query(POOL_SQL)
+@query(POOL_SQL, name="distractor_anti_join")
 def distractor_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five documents for each item, or all that aren't its own, where distractor_anti_join, as its SQL, ends after 8 draws."""
+    """Five documents for each item that aren't its own, or all if there are fewer: drawn by place, then step by step."""
     return R.filled_pools(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "doc_id % 10 <> item_id % 10", 5, 3)
 
 

@@ -9,7 +9,7 @@ from tessera.operators import chat as C
 from tessera.operators.ordering import with_row_number
 from tessera.plans.registry import query, table
 from tessera.plans.row_queries import written
-from tessera.sources import readers, sinks
+from tessera.sources import lines, readers, sinks
 from tessera.sources.scratch import scratch
 
 
@@ -21,8 +21,7 @@ def row_index_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, strlen(concat('{\"o_orderkey\":', o_orderkey, ',\"o_orderpriority\":\"', o_orderpriority, '\"}')) + 1 AS n_bytes FROM orders")
 def row_size_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = written(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "sizes", sinks.write_jsonl)
-    lines = spark.read.text(path)
-    return lines.select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), (F.octet_length("value") + 1).cast("long").alias("n_bytes"))
+    return lines.lines(spark, path).select(F.get_json_object("line", "$.o_orderkey").cast("long").alias("o_orderkey"), "n_bytes")
 
 
 @query("SELECT 0::BIGINT AS n_missing, count(*) AS n_there FROM benchmark")

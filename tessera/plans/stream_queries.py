@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import with_row_number
 from tessera.plans.registry import query, table
 from tessera.plans.rollout_queries import rounded
 from tessera.sources.scratch import scratch
-from tessera.streaming import assembler, runs
+from tessera.streaming import assembler, runs, stateful
 
 RUNS = "grp long, run long, reward double, version long"
 RUNS_SQL = "SELECT user_id AS grp, event_id AS run, CASE WHEN event_id % 7 <> 0 THEN value END AS reward, event_id % 5 AS version FROM events"
@@ -23,8 +24,7 @@ def run_files(spark: SparkSession, sf_dir: str, files: int = 4) -> str:
     last, n = rows.agg(F.coalesce(F.max("run"), F.lit(0)), F.count(F.lit(1))).first()
     files = max(files, -(-n // 2_000_000))
     part = F.least(F.floor(F.col("run") * files / F.lit(last + 1)), F.lit(files - 1))
-    for k in range(files):  # one after the other: streams take files by age
-        rows.where(part == k).coalesce(1).sortWithinPartitions("run").write.mode("append").parquet(path)
+    runs.write_in_order(rows.withColumn("part", part), "part", "run", files, path)
     return path
 
 
@@ -99,3 +99,39 @@ def pipeline_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_id % 7 <> 0").select(F.col("event_id").alias("run"), F.col("value").alias("reward"))
     g = with_row_number(rows.where("reward is not null"), "run", name="n").groupBy(F.floor(F.col("n") / 50).alias("step")).agg(F.count(F.lit(1)).alias("trained"), F.avg("reward").alias("mean_reward"))
     return rounded(g.where("trained = 50"), 4)
+
+
+@query("""WITH f AS (SELECT user_id AS session, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, count(*) OVER (PARTITION BY user_id) AS frames FROM events),
+x AS (SELECT session, seq * 6 + j AS k, value + j / 2.0 AS v, frames * 6 AS n FROM f, (SELECT unnest(range(6)) AS j)),
+m AS (SELECT session, unnest(range(max(n) * 2)) AS m, max(n) * 2 AS total FROM x GROUP BY session),
+y AS (SELECT m.session, m.m, max(total) AS total, sum(v * CASE WHEN 2 * k = m.m THEN 1.0 ELSE sin(pi() * (k - m.m / 2.0)) / (pi() * (k - m.m / 2.0)) * power(cos(pi() * (k - m.m / 2.0) / 12), 2) END) AS y FROM m JOIN x ON x.session = m.session AND x.k BETWEEN m.m // 2 - 6 AND m.m // 2 + 7 AND abs(k - m.m / 2.0) < 6 GROUP BY ALL)
+SELECT session, m // 25 AS chunk, count(*) AS n, round(sum(y), 4) + 0.0 AS loudness, max(m) + 1 = max(total) AS last FROM y GROUP BY session, m // 25""")
+def audio_resampled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels mixed to one, 8 kHz made 16 kHz, in chunks of 25 samples that micro-batches don't cut."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.array(F.col("value") + j, F.col("value"))))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), place.cast("long").alias("seq"), pairs.alias("samples"), F.lit(2).alias("channels"), F.lit(8000).alias("rate"), (F.lead("event_id").over(W.partitionBy("user_id").orderBy("event_id")).isNull()).alias("last"))
+    path, most = scratch(spark, "frames"), rows.agg(F.coalesce(F.max("event_id"), F.lit(0)) + 1).first()[0]
+    runs.write_in_order(rows.withColumn("part", F.floor(F.col("event_id") * 4 / F.lit(most))), "part", "event_id", 4, path)
+    frames = "session long, seq long, samples array<double>, channels int, rate int, last boolean"
+    with stateful.rocks(spark):
+        chunks = runs.drained(stateful.audio_chunks(runs.source(spark, path, frames), size=25), scratch(spark, "chunks"), scratch(spark, "progress"))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    return chunks.select("session", "chunk", F.size("samples").cast("long").alias("n"), (F.round(total, 4) + 0.0).alias("loudness"), "last")
+
+
+@query(f"WITH r AS ({RUNS_SQL}), n AS (SELECT *, (row_number() OVER (PARTITION BY grp ORDER BY run) - 1) // 5 AS k FROM r) SELECT grp, count(reward) AS n_runs, count(*) - count(reward) AS n_dropped, round(avg(reward), 6) + 0.0 AS mean_reward, min(CASE WHEN reward IS NOT NULL THEN run END) AS first_run FROM n GROUP BY grp, k HAVING count(*) = 5")
+def stream_state_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream stops, its state is saved, and another stream begins with it: together what one stream gives."""
+    rows, paths = spark.read.schema(RUNS).parquet(run_files(spark, sf_dir)), [scratch(spark, f"half{k}") for k in (1, 2)]
+    middle = rows.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0] // 2
+    for path, half in zip(paths, (rows.where(F.col("run") <= middle), rows.where(F.col("run") > middle)), strict=True):
+        last = half.agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+        runs.write_in_order(half.withColumn("part", F.floor(F.col("run") * 3 / F.lit(last))), "part", "run", 3, path)
+    progress, saved = scratch(spark, "progress"), scratch(spark, "saved")
+    with stateful.rocks(spark):
+        first = runs.drained(stateful.grouped_runs(runs.source(spark, paths[0], RUNS), 5), scratch(spark, "first"), progress)
+        stateful.save_state(stateful.open_state(spark, progress), saved, version=1)
+        initial = stateful.loaded(spark, saved, "grp long, " + stateful.GROUP, 1)
+        second = runs.drained(stateful.grouped_runs(runs.source(spark, paths[1], RUNS), 5, initial), scratch(spark, "second"), scratch(spark, "progress"))
+    return rounded(first.unionByName(second))

@@ -18,6 +18,7 @@ from tessera.plans.rollout_queries import rounded
 from tessera.plans.stream_queries import RUNS, run_files
 from tessera.sources import readers
 from tessera.sources.scratch import scratch
+from tessera.sources.table_log import TableLog
 from tessera.streaming import assembler, runs
 
 
@@ -162,12 +163,22 @@ def stream_state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'low' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def warehouse_sql_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An update as a new version of the table: Parquet has no update in place."""
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    new = readers.sql(spark, "SELECT c_custkey, c_acctbal, CASE WHEN c_acctbal < :least THEN 'low' ELSE c_mktsegment END AS c_mktsegment FROM customers_now", {"customers_now": old}, least=0)
-    path = scratch(spark, "customers")
-    new.write.parquet(path)
-    return spark.read.parquet(path).select("c_custkey", "c_mktsegment")
+    """An update of a table with a log: files without a balance below zero stay as they are."""
+    customers = TableLog(spark, scratch(spark, "customers"))
+    customers.create(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), ["c_acctbal"], cluster_by=["c_acctbal"])
+    customers.update({"c_acctbal": (None, 0)}, {"c_mktsegment": F.lit("low")}, where=F.col("c_acctbal") < 0)
+    return customers.read().select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT 'old' AS version, count(*) AS n, round(sum(c_acctbal), 2) + 0.0 AS balance FROM customer UNION ALL SELECT 'new', count(*), round(sum(CASE WHEN c_custkey BETWEEN 100 AND 200 THEN 0 ELSE c_acctbal END), 2) + 0.0 FROM customer WHERE c_nationkey <> 3 OR c_custkey > 50")
+def warehouse_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after an update and a deletion, and as it was before."""
+    customers = TableLog(spark, scratch(spark, "versions"))
+    customers.create(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_custkey"], cluster_by=["c_custkey"])
+    customers.update({"c_custkey": (100, 200)}, {"c_acctbal": F.lit(0.0)})
+    customers.delete({"c_custkey": (None, 50)}, where=F.col("c_nationkey") == 3)
+    told = lambda name, version: customers.read(version).agg(F.lit(name).alias("version"), F.count(F.lit(1)).alias("n"), (F.round(F.sum("c_acctbal"), 2) + 0.0).alias("balance"))
+    return told("old", 0).unionByName(told("new", None))
 
 
 @query("SELECT 'good' AS name, 5::BIGINT AS n_rows, NULL AS error UNION ALL SELECT 'broken', 0, 'error'")

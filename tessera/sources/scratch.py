@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -14,3 +14,11 @@ def scratch(spark: SparkSession, name: str) -> str:
         raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     shared = shared or tempfile.gettempdir()  # one machine does all
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the cluster's shared folder; partitions and their order stay as they are."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)

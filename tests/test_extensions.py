@@ -23,6 +23,31 @@ def test_templates(spark):
             rendered(df, wrong)
 
 
+def test_template_scopes(spark):
+    df = spark.createDataFrame([(1, "Ann", ["x", None, "z"], [1, 2, 3]), (2, None, [], None)], "id int, name string, tags array<string>, ns array<int>")
+    shown = lambda pattern, includes=None: [r[0] for r in df.orderBy("id").select(rendered(df, pattern, includes)).collect()]
+    assert shown("{% for t in tags %}{{ loop.index }}/{{ loop.length }}{{ t }}{% if not loop.last %},{% endif %}{% endfor %}") == ["1/3x,2/3,3/3z", ""]
+    assert shown("{% for t in tags %}{{ loop.index0 }}{{ loop.revindex }}{% if loop.first %}!{% endif %}{% endfor %}") == ["03!1221", ""]
+    assert shown("{% set a = id + 1 %}{% set a = a * 2 %}{{ a }} {{ a - 1 }} {{ a / 4 }} {{ a % 3 }} {{ 'n' ~ a }} {{ 1 + 2 * 3 }} {{ -a }}") == ["4 3 1.0 1 n4 7 -4", "6 5 1.5 0 n6 7 -6"]
+    assert shown("{% set a = 'out' %}{% for t in tags %}{% set a = 'in' %}{{ a }}{% endfor %}{{ a }}") == ["inininout", "out"]  # a loop's sets stay inside
+    assert shown("{% set a = 1 %}{% if name %}{% set a = 2 %}{% else %}{% set b = 'b' %}{% endif %}{{ a }}{{ b }}") == ["2", "1b"]
+    count = "{% set c = namespace(n=0, all='', odd=false) %}{% for x in ns %}{% set c.n = c.n + x %}{% if x % 2 == 1 %}{% set c.all = c.all ~ x %}{% set c.odd = true %}{% endif %}[{{ c.n }}]{% endfor %}{{ c.n }}|{{ c.all }}|{{ c.odd }}"
+    assert shown(count) == ["[1][3][6]6|13|true", "0||false"]
+    nested = "{% set c = namespace(n=0) %}{% for x in ns %}{% for t in tags %}{% set c.n = c.n + x %}{% endfor %}{{ c.n }},{% endfor %}"
+    assert shown(nested) == ["3,9,18,", ""]
+    assert shown("{% macro f(a, b='-') %}<{{ a }}{{ b }}{{ name }}>{% endmacro %}{{ f(id) }}{{ f(1, b='+') }}{{ f(id + 1, 'y') | upper }}") == ["<1-Ann><1+Ann><2YANN>", "<2-><1+><3Y>"]
+    assert shown("{% macro outer(x) %}{{ inner(x) }}{{ inner(2) }}{% endmacro %}{% macro inner(x) %}({{ x }}){% endmacro %}{{ outer(1) }}") == ["(1)(2)"] * 2
+    assert shown("a{% include 'part' %}b", {"part": "{{ id }}{% include 'deeper' %}", "deeper": "!"}) == ["a1!b", "a2!b"]
+    assert shown("{{ name is none }} {{ missing is defined }} {{ name is not none }} {{ 'x' in tags }} {{ 'nn' in name }} {{ 'y' not in tags }} {{ tags[0] }} {{ tags[-1] }} {{ ns | first }}") == ["false false true true true true x z 1", "true false false false false true   "]
+    assert shown(" a  {%- if id -%}  b  {%- endif %} c") == [" ab c"] * 2
+    wrong = ["{% set %}", "{% set c.n = 1 %}", "{% include 'no' %}", "{% macro f %}{% endmacro %}", "{% macro f(a) %}{{ f(a) }}{% endmacro %}{{ f(1) }}", "{% macro f(a) %}{% endmacro %}{{ f(1, 2) }}", "{{ loop.index }}", "{{ id + }}", "{{ (id }}"]
+    for text in wrong:
+        with pytest.raises(ValueError):
+            rendered(df, text, {"self": "x"})
+    with pytest.raises(ValueError, match="includes itself"):
+        rendered(df, "{% include 'self' %}", {"self": "{% include 'self' %}"})
+
+
 def test_renderers_map_flat_map_and_filter(spark):
     df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, t string")
     made = lambda row: None if row["k"] == 0 else {"t": row["t"]} if row["k"] == 1 else [{"t": row["t"]}, {"t": row["t"] * 2}, {}]

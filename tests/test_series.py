@@ -38,3 +38,11 @@ def test_windows_over_chunks_equal_those_over_keys(spark, rows, chunk):
     assert found == {k: (tripped.get(k), sum(x[2] for x in xs)) for k, xs in by.items()}
     timed = df.withColumn("ts", F.timestamp_seconds(F.col("i") * 10))
     assert {r.k: r.mean for r in series.time_weighted_mean(timed, "k", "ts", "v", chunk=chunk).collect()} == pytest.approx({k: m for k, m in mean.items() if m is not None})
+
+
+def test_cursor_of_a_hot_key_in_many_tasks(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.when(F.col("id") < 15_000, F.col("id") + (F.col("id") > 9_000).cast("int")).otherwise(F.floor((F.col("id") - 15_000) / 50)).alias("i"))
+    rows = df.unionByName(df.limit(100)).unionByName(spark.createDataFrame([("hot", None), ("hot", -1), (None, 0), (None, 2)], "k string, i long"))
+    got = {r.k: (r.cursor, r.resolved) for r in series.contiguous_cursor(rows, "k", "i").collect()}
+    assert got["hot"] == (9_001, 15_000) and got[None] == (1, 2)
+    assert all(got[f"k{j}"] == (100, 100) for j in range(50))
