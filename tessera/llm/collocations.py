@@ -7,8 +7,8 @@ word, and its endpos count is the number of places where it ends.  The tree is b
 
 A phrase that is frequent over all shards has frequent parts, so counting goes by depth: a shard gives the counts of
 phrases whose link and whose prefix (the transition that leads to them) are frequent, Spark adds them up, first in buckets
-of hashes, then those of full buckets by their words, and what is frequent is known to the next depth by a Bloom filter of
-a fixed size.  False positives cost rows and never counts; a corpus too rich for the filter shuffles more and gives the
+of hashes, then those of full buckets by their words, in sorted and compressed runs; what is frequent is known to the next
+depth by a Bloom filter of a fixed size.  False positives cost rows and never counts; a corpus too rich for the filter shuffles more and gives the
 same result.
 """
 
@@ -193,8 +193,24 @@ def counted(ids: np.ndarray, skip: int, hashes: np.ndarray, depth: int, known: K
     raise ValueError("phrases have two words or more")
 
 
-def over_shards(shards: DataFrame, depth: int, known: Known, hot: Known | None, rows: int = 1 << 16) -> DataFrame:
-    """What shards count at a depth: (bucket, n) by 32 bits of the phrases' hashes, or, with the ``hot`` buckets, (lang, phrase, n)."""
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, compressed."""
+    return pa.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), "u1").reshape(4, n).T).view("<u4").ravel()
+
+
+RUNS = "range int, lang string, n int, keys binary, counts binary, bytes int"
+RUN_TYPES = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+
+
+def over_shards(shards: DataFrame, depth: int, known: Known, hot: Known | None, ranges: int) -> DataFrame:
+    """What shards count at a depth, in runs by range of the phrases' buckets (32 bits of their hashes).
+
+    A run has the sorted buckets as differences or, of phrases in ``hot`` buckets, the phrases by line, with their counts.
+    """
     sent = lambda k: None if k is None else (k.bits, k.held)
     shared = shards.sparkSession.sparkContext.broadcast((sent(known), sent(hot)))
 
@@ -212,46 +228,71 @@ def over_shards(shards: DataFrame, depth: int, known: Known, hot: Known | None,
                 lang, words = batch["lang"][i].as_py(), batch["words"][i].values
                 ids = np.frombuffer(batch["ids"][i].as_buffer(), "<i4")
                 ends, counts, own = counted(ids, batch["skip"][i].as_py(), word_hashes(lang, words.to_pylist()), depth, known)
-                buckets = own >> np.uint64(32)
-                if hot is None:
-                    for a in range(0, len(ends), rows):
-                        yield pa.record_batch({"bucket": buckets[a : a + rows].astype("u4").view("i4"), "n": counts[a : a + rows].astype("i4")})
-                    continue
-                held = hot.has(bucket_hashes(buckets))
-                ends, counts = ends[held], counts[held]
-                for a in range(0, len(ends), rows):
-                    at = ends[a : a + rows]
-                    phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at - k])) for k in range(depth - 1, -1, -1)], " ")
-                    yield pa.record_batch([pa.array([lang] * len(at), pa.string()), phrase, pa.array(counts[a : a + rows].astype("i8"))], names=["lang", "phrase", "n"])
-
-    return shards.select("lang", "skip", "words", "ids").mapInArrow(lean(enumerate_shard, "ids"), "bucket int, n int" if hot is None else "lang string, phrase string, n long")
-
-
-def phrase_counts(shards: DataFrame, depth: int, known: Known, least: int) -> DataFrame:
-    """(lang, phrase, n) of each shard's phrases of ``depth`` words that may stand ``least`` times in all.
-
-    Nearly all phrases are rare, so they are first counted in 2^32 buckets, whose numbers shuffle in a few bytes; only
-    phrases of buckets that reach ``least`` are then written out.
+                if hot is not None:
+                    held = hot.has(bucket_hashes(own >> np.uint64(32)))
+                    ends, counts, own = ends[held], counts[held], own[held]
+                order = np.argsort(own)
+                ends, counts, buckets = ends[order], counts[order], (own[order] >> np.uint64(32)).astype("i8")
+                edges = np.searchsorted(buckets * ranges >> 32, np.arange(ranges + 1))
+                rows = []
+                for r in np.flatnonzero(np.diff(edges)).tolist():
+                    a, b = edges[r : r + 2]
+                    if hot is None:
+                        rows.append((r, None, b - a, packed(np.diff(buckets[a:b], prepend=0)), packed(counts[a:b]), 0))
+                        continue
+                    at = ends[a:b]
+                    phrases = pc.binary_join_element_wise(*[words.take(pa.array(ids[at - k])) for k in range(depth - 1, -1, -1)], " ")
+                    text = "\n".join(phrases.to_pylist()).encode()
+                    rows.append((r, lang, b - a, pa.compress(text, "zstd", asbytes=True), packed(counts[a:b]), len(text)))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN_TYPES, strict=True)], names=[c.split()[0] for c in RUNS.split(", ")])
+
+    return shards.select("lang", "skip", "words", "ids").mapInArrow(lean(enumerate_shard, "ids"), RUNS)
+
+
+def phrase_counts(shards: DataFrame, depth: int, known: Known, least: int, ranges: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases of ``depth`` words that stand ``least`` times or more in all.
+
+    Nearly all phrases are rare, so they are first counted in 2^32 buckets; only phrases of buckets that reach ``least`` are
+    then written out.  A range's runs, one from each shard, are added up in one task, and there are as many ranges as its
+    memory asks for.
     """
-    buckets = over_shards(shards, depth, known, None).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+    def full(runs: pa.Table) -> pa.Table:
+        keys, counts = (np.concatenate([f(unpacked(d, n)) for d, n in zip(runs[c].to_pylist(), runs["n"].to_pylist(), strict=True)]) for c, f in (("keys", lambda x: np.cumsum(x, dtype="u8")), ("counts", lambda x: x)))
+        found, inverse = np.unique(keys, return_inverse=True)
+        return pa.table({"bucket": found[np.bincount(inverse, counts) >= least].astype("i8")})
+
+    def added(runs: pa.Table) -> pa.Table:
+        out = []
+        for lang in runs["lang"].unique().to_pylist():
+            own = runs.filter(pc.equal(runs["lang"], lang))
+            texts = [pa.decompress(d, n, "zstd", asbytes=True).decode().split("\n") for d, n in zip(own["keys"].to_pylist(), own["bytes"].to_pylist(), strict=True)]
+            counts = [unpacked(d, n).astype("i8") for d, n in zip(own["counts"].to_pylist(), own["n"].to_pylist(), strict=True)]
+            sums = pa.table({"phrase": pa.array([p for t in texts for p in t], pa.string()), "n": np.concatenate(counts)}).group_by("phrase").aggregate([("n", "sum")])
+            sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+            out.append(pa.table({"lang": pa.array([lang] * len(sums), pa.string()), "phrase": sums["phrase"], "f": sums["n_sum"]}))
+        return pa.concat_tables(out)
+
     hot = Known(known.bits)
-    hot.add(buckets.select("bucket"), lambda batch: bucket_hashes(batch["bucket"].to_numpy().view("u4")))
-    return over_shards(shards, depth, known, hot)
+    buckets = over_shards(shards, depth, known, None, ranges).groupBy("range").applyInArrow(full, "bucket long")
+    hot.add(buckets, lambda batch: bucket_hashes(batch["bucket"].to_numpy()))
+    return over_shards(shards, depth, known, hot, ranges).groupBy("range").applyInArrow(added, "lang string, phrase string, f long")
 
 
-def frequent_phrases(docs: DataFrame, most_words: int = 5, least: int = 100, shard_words: int = 1 << 20, filter_bits: int = 26, block_bytes: int = 4 << 20, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, most_words: int = 5, least: int = 100, shard_words: int = 1 << 20, filter_bits: int = 26, block_bytes: int = 4 << 20, range_words: int = 1 << 22, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of words and phrases that stand ``least`` times or more, (lang, n) of all words)."""
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "phrases")
     write_shards(docs, f"{path}/shards", most_words, shard_words, block_bytes, text_col, lang_col)
     shards, known = spark.read.schema(SHARD).parquet(f"{path}/shards"), Known(filter_bits)
+    sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    ranges = -(-(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1) // range_words)
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     for m in range(1, most_words + 1):
-        found = words if m == 1 else phrase_counts(shards, m, known, least)
-        sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        sums.withColumn("words", F.lit(m)).write.parquet(f"{path}/frequent/depth={m}")
+        found = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least) if m == 1 else phrase_counts(shards, m, known, least, ranges)
+        found.withColumn("words", F.lit(m)).write.parquet(f"{path}/frequent/depth={m}")
         if m < most_words:
             known.add(spark.read.parquet(f"{path}/frequent/depth={m}").select("lang", "phrase"), phrase_hashes)
-    sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     return spark.read.schema("lang string, phrase string, words int, f long").parquet(*[f"{path}/frequent/depth={m}" for m in range(1, most_words + 1)]), sizes
 
 
@@ -260,7 +301,7 @@ def _beginning(phrase: str, k: Column | int) -> Column:
 
 
 def collocations(
-    docs: DataFrame, most_words: int = 5, least: int = 100, top: int = 2000, subsumed_percent: int = 100, shard_words: int = 1 << 20, filter_bits: int = 26, block_bytes: int = 4 << 20, text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, most_words: int = 5, least: int = 100, top: int = 2000, subsumed_percent: int = 100, shard_words: int = 1 << 20, filter_bits: int = 26, block_bytes: int = 4 << 20, range_words: int = 1 << 22, text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``top`` phrases by their weakest cut.
 
@@ -270,7 +311,7 @@ def collocations(
     texts are empty, a null language is ``und``, rows that repeat count each, words of any length are words, an empty
     table gives no rows.  Ties go by a, then by the phrase's bytes.
     """
-    table, sizes = frequent_phrases(docs, most_words, least, shard_words, filter_bits, block_bytes, text_col, lang_col)
+    table, sizes = frequent_phrases(docs, most_words, least, shard_words, filter_bits, block_bytes, range_words, text_col, lang_col)
     longer = table.where("words > 1")
     parts = longer.where("words > 2").select("lang", F.explode(F.array(_beginning("phrase", "words - 1"), _beginning("phrase", "1 - words"))).alias("phrase"), "f")
     around = parts.groupBy("lang", "phrase").agg(F.max("f").alias("around"))

@@ -62,7 +62,7 @@ def test_random_texts_match_plain_python(spark, least, percent, shard):
         rows.append((i, rng.choice([text, text, "big Red fox jumps over " * rng.randrange(4)]), rng.choice(["en", "en", "en", None, "und", "de"])))
     rows += [(None, None, "en"), (3, "", "en"), (3, rows[5][1], "en"), (3, rows[5][1], "en")]
     df = spark.createDataFrame([(*r, "p", 1, 2, "i") for r in rows], SCHEMA).repartition(3)
-    got = C.collocations(df, least=least, top=40, subsumed_percent=percent, shard_words=shard, filter_bits=10 if least == 2 else 16, block_bytes=64 if shard == 7 else 1 << 20)
+    got = C.collocations(df, least=least, top=40, subsumed_percent=percent, shard_words=shard, filter_bits=10 if least == 2 else 16, block_bytes=64 if shard == 7 else 1 << 20, range_words=100 if shard == 50 else 1 << 22)
     want = plain([r[1:] for r in rows], least, 40, percent=percent)
     assert rows_of(got) == want and len(want) > 10
 
@@ -100,6 +100,12 @@ def test_context_is_not_counted_twice():
     assert whole == Counter(tuple(words[i : i + m]) for m in range(2, 6) for i in range(3001 - m)) + Counter({"n": 3000})
 
 
+def test_runs_are_packed_and_unpacked():
+    for numbers in ([], [0], [1, 2**32 - 1, 77, 0, 256]):
+        x = np.array(numbers, "i8")
+        assert C.unpacked(C.packed(x), len(x)).tolist() == numbers
+
+
 def test_products_beyond_64_bits(spark):
     row = spark.range(1).select(F.expr("(cast(4000000000000 as decimal(19,0)) * cast(9000000000000 as decimal(19,0)) * cast(1000 as decimal(4,0))) div (cast(5000000000001 as decimal(19,0)) * cast(4000000000003 as decimal(19,0)))").alias("x")).first()
     assert row.x == 4000000000000 * 9000000000000 * 1000 // (5000000000001 * 4000000000003)
