@@ -1,10 +1,10 @@
 """Secret scan with a random forest that removes false positives.
 
 Patterns propose candidates in whole texts, each to the end of its run; a random forest (Spark ML), trained on labelled
-findings, decides by length, character transitions, dictionary coverage, path and neighbouring words.  The dictionary is
-fixed words and the corpus's own most frequent ones, counted over all documents.  The trained trees and the
-dictionary are some thousand numbers and words, whatever the corpus: they travel with the task closure, and texts are
-scanned, decided and redacted in one pass without a shuffle.
+findings, decides by length, character transitions, dictionary coverage, path and neighbouring words.  One dictionary
+serves for training and for deciding: fixed words, or a set that is given (``corpus_words`` makes one from a corpus), so a
+document's verdict doesn't depend on the others.  The trained trees and the dictionary are some thousand numbers and
+words: they travel with the task closure, and texts are scanned, decided and redacted in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -273,24 +273,24 @@ def train(spark: SparkSession, findings: DataFrame, trees: int = 20, depth: int
 _TRAINED: dict[tuple, Forest] = {}
 
 
-def finding_features(labelled: DataFrame) -> DataFrame:
+def finding_features(labelled: DataFrame, words: frozenset[str] = DICTIONARY) -> DataFrame:
     """(features, label) of the candidates in labelled findings: text, path, is_secret."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(shown, float(real)) for t, p, real in zip(*(batch[c].to_pylist() for c in ("text", "path", "is_secret")), strict=True) for c in candidates(t) for shown in describe(t, c, p)]
+            rows = [(shown, float(real)) for t, p, real in zip(*(batch[c].to_pylist() for c in ("text", "path", "is_secret")), strict=True) for c in candidates(t) for shown in describe(t, c, p, words)]
             yield pa.record_batch({"features": pa.array([r[0] for r in rows], pa.list_(pa.float64())), "label": pa.array([r[1] for r in rows], pa.float64())})
 
     text, path = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "path"))
     return labelled.where("is_secret is not null").select(text, path, F.col("is_secret").cast("boolean").alias("is_secret")).mapInArrow(described, "features array<double>, label double")
 
 
-def trained(spark: SparkSession, n: int = 1500, seed: int = 5) -> Forest:
-    """The forest for ``n`` generated findings; once for each driver."""
-    if (n, seed) not in _TRAINED:
+def trained(spark: SparkSession, n: int = 1500, seed: int = 5, words: frozenset[str] = DICTIONARY) -> Forest:
+    """The forest for ``n`` generated findings and a dictionary; once for each driver."""
+    if (n, seed, words) not in _TRAINED:
         rows = spark.createDataFrame(list(labelled_findings(n, seed)), "text string, path string, is_secret boolean")
-        _TRAINED[n, seed] = train(spark, finding_features(rows))
-    return _TRAINED[n, seed]
+        _TRAINED[n, seed, words] = train(spark, finding_features(rows, words))
+    return _TRAINED[n, seed, words]
 
 
 def secrets_of(text: str, path: str, forest: Forest, sure: float, words: frozenset[str] = DICTIONARY) -> list[tuple[int, int, str, float]]:
@@ -311,14 +311,14 @@ def redacted(text: str, found: list[tuple[int, int, str, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame = 1500, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame = 1500, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", words: frozenset[str] = DICTIONARY) -> DataFrame:
     """doc_id, n_secrets, secrets (kind:start:end, comma-joined, code points), top_score of each row.
 
     The forest is trained on ``findings``: a number of generated ones, or a table of labelled ones (text, path,
-    is_secret).  Null and empty texts have no secrets; a missing or null path is empty.  Rows that repeat are
-    judged alike, null ids are kept, an empty table gives an empty result.
+    is_secret), with the dictionary ``words`` that decides too.  Null and empty texts have no secrets; a missing or
+    null path is empty.  Rows that repeat are judged alike, null ids are kept, an empty table gives an empty result.
     """
-    forest, words = _forest(docs, findings), corpus_words(docs, text_col)
+    forest = _forest(docs, findings, words)
     path = F.coalesce(named(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"), path.alias("path"))
 
@@ -337,13 +337,17 @@ def find_secrets(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame =
     return rows.mapInArrow(lean(run), "doc_id long, n_secrets long, secrets string, top_score double")
 
 
-def _forest(docs: DataFrame, findings: int | DataFrame) -> Forest:
-    return trained(docs.sparkSession, findings) if isinstance(findings, int) else train(docs.sparkSession, finding_features(findings))
+def _forest(docs: DataFrame, findings: int | DataFrame, words: frozenset[str]) -> Forest:
+    return trained(docs.sparkSession, findings, words=words) if isinstance(findings, int) else train(docs.sparkSession, finding_features(findings, words))
 
 
-def redact(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame = 1500, text_col: str = "text", path_col: str = "source", size_col: str = "n_chars") -> DataFrame:
-    """docs with each secret replaced by its kind in brackets (and ``size_col``, if there, brought up to date)."""
-    forest, words = _forest(docs, findings), corpus_words(docs, text_col)
+def redact(docs: DataFrame, sure: float = 0.5, findings: int | DataFrame = 1500, text_col: str = "text", path_col: str = "source", size_col: str = "n_chars", words: frozenset[str] = DICTIONARY) -> DataFrame:
+    """docs with each secret replaced by its kind in brackets (and ``size_col``, if there, brought up to date).
+
+    Null texts stay null; a missing or null path is empty; rows that repeat are changed alike; columns of other names
+    stay as they are; an empty table gives an empty result.
+    """
+    forest = _forest(docs, findings, words)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

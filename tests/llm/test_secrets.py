@@ -155,3 +155,69 @@ def test_no_byte_of_a_long_secret_stays(forest, size, shape):
     text = shape.format(value)
     left = secrets.redacted(text, secrets.secrets_of(text, "app/config.py", forest, 0.5))
     assert len(left) < len(shape) + 20 and value[-8:] not in left and value[:8] not in left
+
+
+def plain_candidates(text):
+    """Every place in turn: private keys first, then signed tokens, then the other shapes in their order."""
+    import re
+
+    begin, end = (secrets.PATTERNS["private_key"].replace("BEGIN", w) for w in ("BEGIN", "END"))
+    shapes = [("private_key", re.compile(f"{begin}(?:(?!{begin}).)*?{end}", re.S), 0), ("signed_token", re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+){2}"), 0)]
+    shapes += [(k, re.compile(secrets.PATTERNS[k]), 1) for k in secrets.KINDS if k not in ("private_key", "signed_token")]
+    keys = [m.span() for m in shapes[0][1].finditer(text)]
+    out, at = [(a, b, "private_key") for a, b in keys], 0
+    while at < len(text):
+        within = next((b for a, b in keys if a <= at < b), None)
+        if within:
+            at = within
+            continue
+        stop = min((a for a, _ in keys if a > at), default=len(text))
+        for kind, shape, _ in shapes[1:]:
+            m = shape.match(text, at, stop)
+            if m:
+                groups = [g for g in ("between", "quoted", "value") if g in shape.groupindex and m[g] is not None]
+                span = m.span(groups[0]) if groups else m.span()
+                out.append((*span, kind))
+                at = m.end()
+                break
+        else:
+            at += 1
+    return sorted(out)
+
+
+def chance(tree, row, node=0):
+    feature, threshold, left, right, p = tree
+    return p[node] if feature[node] < 0 else chance(tree, row, (left if row[feature[node]] <= threshold[node] else right)[node])
+
+
+def test_query_equals_a_plain_scan_of_every_place(spark, sf, forest):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.op7_secrets(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        text, found = d.text or "", []
+        for c in plain_candidates(text):
+            p = max(np.mean([chance(t, row) for t in forest.trees]) for row in secrets.describe(text, c, d.source or ""))
+            found += [(c, p)] if p >= 0.5 else []
+        assert got[d.doc_id].secrets == ",".join(f"{k}:{a}:{b}" for (a, b, k), _ in found) and got[d.doc_id].n_secrets == len(found)
+        assert abs(got[d.doc_id].top_score - max((p for _, p in found), default=0.0)) < 1e-6
+
+
+def test_fitting_and_deciding_see_the_same_features(spark, forest):
+    words = secrets.DICTIONARY | {"harbour", "lights"}
+    rows = [('token = "HarbourLights42x"', "src0", True), ("secret: understanding things", "docs", False)]
+    fitted = [r.features for r in secrets.finding_features(spark.createDataFrame(rows, "text string, path string, is_secret boolean"), words).collect()]
+    seen = []
+
+    class Watched:
+        def chances(self, shown):
+            seen.extend(shown.tolist())
+            return np.zeros(len(shown))
+
+    for text, path, _ in rows:
+        secrets.secrets_of(text, path, Watched(), 0.5, words)
+    assert seen == fitted and seen[0][secrets.FEATURES.index("coverage")] > 0.7
+    docs = spark.createDataFrame([(1, rows[0][0], "src0")], "doc_id long, text string, source string")
+    more = docs.unionByName(spark.createDataFrame([(k, "HarbourLights42x harbour lights " * 30, "src0") for k in range(2, 40)], docs.schema))
+    one, other = (secrets.find_secrets(x).where("doc_id = 1").first() for x in (docs, more))
+    assert one == other  # whatever else the corpus holds
