@@ -61,7 +61,8 @@ def license_spans(
     """(doc_id, version, template, label, base, first_word, last_word, coverage): verified spans of templates.
 
     ``version`` is a hash of the text, so that rows that share an id don't mix.  Word positions count from
-    0.  ``shift`` is how far apart diagonals of one span may be.
+    0.  ``shift`` is how far apart diagonals of one span may be.  Null and empty texts have no spans; rows that repeat
+    id and text are one; null ids are kept; other columns are not read; an empty table gives no rows.
     """
     notices, phrases = NOTICES if notices is None else notices, PHRASES if phrases is None else phrases
     wanted = templates(docs.sparkSession, notices, phrases)

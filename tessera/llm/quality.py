@@ -122,7 +122,11 @@ def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """Kept rows with their failing lines removed (``size_col``, if there, follows the text); all columns stay."""
+    """Kept rows with their failing lines removed (``size_col``, if there, follows the text); all columns stay.
+
+    Null and empty texts have no words, so their rows go; null ids stay; rows that repeat are judged alike; columns of any
+    other names are left as they are; an empty table gives an empty result.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

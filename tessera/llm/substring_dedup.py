@@ -315,7 +315,11 @@ SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 st
 
 
 def remove_repeated_spans(docs: DataFrame, depth: int = 50, block_bytes: int = 8 << 20, hot_segments: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and what is left of each row's text as UTF-8; characters that a cut leaves incomplete go."""
+    """doc_id and what is left of each row's text as UTF-8; characters that a cut leaves incomplete go.
+
+    Null and empty texts are empty; rows that repeat id and text are one document, and each gets its result; other columns
+    are not read; an empty table gives an empty result.
+    """
 
     def finish(results: list[tuple]) -> pa.Table:
         return rows_of({"doc_id": [r[0] for r in results], "text": [r[4].decode(errors="ignore") for r in results]}, "doc_id long, text string")

@@ -239,7 +239,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
-    """(token, n): occurrences of each of the asked-for ids in all shards, from ranks, without expanding a shard."""
+    """(token, n): occurrences of each of the asked-for ids in all shards, from ranks, without expanding a shard.
+
+    Null and empty texts are one end id each in the shards, rows that repeat are there as often; ids asked for twice count
+    once; an id that no text has gives 0, ids outside the vocabulary too; no shards give no rows.
+    """
     asked = sorted(set(tokens))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,11 @@ def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame
 
 
 def locate_tokens(spark: SparkSession, path: str, tokens: list[int], most: int = 1 << 16) -> DataFrame:
-    """(token, position): each place of the asked-for ids among the ids of all documents, ``most`` to an Arrow batch."""
+    """(token, position): each place of the asked-for ids among the ids of all documents, ``most`` to an Arrow batch.
+
+    Null and empty texts are one end id each, rows that repeat have places of their own; ids asked for twice are told once;
+    ids that no text has, and no shards, give no rows.
+    """
     asked = sorted(set(tokens))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,6 +189,19 @@ def test_counts_and_places_over_shards(spark, sf, tmp_path):
     assert places == sorted((t, k) for t in set(asked) for k, x in enumerate(every) if x == t)
 
 
+def test_counts_and_places_of_nulls_repeats_and_no_shards(spark, tmp_path):
+    rows = [(1, "a b a"), (1, "a b a"), (2, None), (None, "a"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wavelet.write_shards(docs, str(tmp_path / "s"), BYTE)
+    wavelet.write_shards(docs.where("false"), str(tmp_path / "none"), BYTE)
+    every = [i for _, t in rows for i in [*library(BYTE, t or ""), 0]]
+    asked = [0, 0, every[0], -1, 1 << 40, 12_345]
+    assert {r.token: r.n for r in wavelet.count_tokens(spark, str(tmp_path / "s"), asked).collect()} == {t: every.count(t) for t in set(asked)}
+    places = [(r.token, r.position) for r in wavelet.locate_tokens(spark, str(tmp_path / "s"), asked).collect()]
+    assert len(places) == every.count(0) + every.count(every[0]) == len(set(places)) and {t for t, _ in places} == {0, every[0]}
+    assert wavelet.count_tokens(spark, str(tmp_path / "none"), asked).count() == wavelet.locate_tokens(spark, str(tmp_path / "none"), asked).count() == 0
+
+
 def test_repeated_rows_are_dealt_out(spark):
     docs = spark.createDataFrame([(7, "same words again")] * 400, "doc_id long, text string")
     packed = packing.pack_documents(docs, WORD, capacity=16, group_pieces=40).collect()
