@@ -3,11 +3,12 @@
 The patterns give base spans of whole texts, in time linear in the text.  The field then labels the
 tokens that hold a digit or an at sign.  Its factors are token features, a factor between neighbouring
 tokens, and skip factors between distant tokens that repeat or resemble each other (same letters and
-digits, or same last digits), so that a number spelled in full once is also known where it is
-shortened.  A token that resembles one in a base span hears from it directly, however many lie between;
-of others, three or more that resemble each other share one variable.  Marginals come from loopy
-sum-product messages over each document's tokens, passed until they settle.  Weights are fitted by
-pseudo-likelihood to generated, labelled sentences; the seed and their number are parameters.
+digits, same last digits, or same beginning of an address), so that a number spelled in full once is also
+known where it is shortened.  A token that resembles one in a base span hears from it directly, however many
+lie between; of others, three or more that resemble each other share one variable.  Marginals come from
+loopy sum-product messages over each document's tokens, passed until they settle.  Weights are fitted by
+pseudo-likelihood on the same graph of generated, labelled sentences in four languages; the seed and their
+number are parameters.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 PLAIN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DIGITS = frozenset("0123456789")
 EDGE = ".,;:!?\"'`<>[]{}|*#&$%"
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -89,8 +91,17 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-CUES = {"mail": 1, "email": 1, "e-mail": 1, "ip": 2, "host": 2, "server": 2, "address": 2, "card": 3, "visa": 3, "credit": 3, "phone": 4, "tel": 4, "call": 4, "mobile": 4, "fax": 4}
-N_FEATURES = 26
+CUES = {
+    "mail": 1, "email": 1, "e-mail": 1, "correo": 1, "courriel": 1, "ip": 2, "host": 2, "server": 2, "address": 2, "serveur": 2, "servidor": 2, "card": 3, "visa": 3, "credit": 3, "karte": 3, "carte": 3, "tarjeta": 3,
+    "phone": 4, "tel": 4, "call": 4, "mobile": 4, "fax": 4, "number": 4, "dial": 4, "telefon": 4, "handy": 4, "ruf": 4, "rufen": 4, "mobil": 4, "rufnummer": 4, "téléphone": 4, "appelez": 4, "portable": 4, "numéro": 4, "teléfono": 4, "llame": 4, "llama": 4, "móvil": 4, "número": 4,
+}
+FILLER = [
+    "we will meet at the old house near river and then write about it again for a while in".split(), "wir treffen uns am alten haus und dann schreiben wir noch einmal über den fluss oder nicht um".split(),
+    "nous allons à la vieille maison près de la rivière et puis on écrit encore une fois pour voir en".split(), "nos vemos en la casa vieja cerca del río y luego escribimos otra vez sobre eso un rato a las".split(),
+]
+#: Words before a number that is no one's.
+COUNTED = "order invoice page chapter version in since rechnung seite nr kapitel seit facture depuis chapitre factura página desde capítulo room zimmer no".split()
+N_FEATURES = 32
 
 
 def features(text: str, begin: int, end: int, base: int) -> np.ndarray:
@@ -114,48 +125,53 @@ def features(text: str, begin: int, end: int, base: int) -> np.ndarray:
     out[19 + cue] = 1
     out[24] = len(token) > 24
     out[25] = digits == 0
+    after = text[end : end + 4].split()[:1]
+    out[26] = bool(after) and after[0][:1] in DIGITS and text[end : end + 1] == " "
+    out[27] = bool(before) and all(c in "0123456789()+/-." for c in before[-1]) and text[begin - 1 : begin] == " "
+    out[28] = "/" in token
+    out[29] = token[:1] == "0" and digits > 1
+    out[30] = bool(before) and before[-1].strip(EDGE) in COUNTED
+    out[31] = re.fullmatch(r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}|[0-9]{3}-[0-9]{4}", token) is not None
     return out
 
 
-def skip_links(keys: list[tuple[str, str]]) -> list[tuple[int, int]]:
-    """Links of each token to the latest one before it that repeats it or has the same last digits."""
-    latest: dict[str, int] = {}
-    out = set()
-    for i, pair in enumerate(keys):
-        for key in pair:
-            if key:
-                if key in latest:
-                    out.add((latest[key], i))
-                latest[key] = i
-    return sorted(out)
-
-
-def keys_of(token: str) -> tuple[str, str]:
-    """What a token repeats (its letters and digits), and its last seven digits if it has as many."""
+def keys_of(token: str) -> str:
+    """What a token shares with those that resemble it: an address's beginning, else its last seven digits, else its letters and digits."""
+    if "@" in token[1:]:
+        user, _, host = token.lower().partition("@")
+        return f"@{user}@{host.split('.')[0]}" if host else ""
     digits = re.sub("[^0-9]", "", token)
+    if len(digits) >= 7:
+        return digits[-7:]
     same = re.sub(r"[\W_]", "", token.lower())
-    return ("=" + same if len(same) >= 6 else "", digits[-7:] if len(digits) >= 7 else "")
+    return "=" + same if len(same) >= 6 else ""
 
 
-def shared_keys(keys: list[tuple[str, str]]) -> list[list[int]]:
-    """Groups of tokens that repeat or resemble each other: by last digits, else (what repeats has the same ones) as a whole."""
+def shared_keys(keys: list[str]) -> list[list[int]]:
+    """Groups of tokens that repeat or resemble each other."""
     groups: dict[str, list[int]] = {}
-    for i, (same, digits) in enumerate(keys):
-        if digits or same:
-            groups.setdefault(digits or same, []).append(i)
+    for i, key in enumerate(keys):
+        if key:
+            groups.setdefault(key, []).append(i)
     return [g for g in groups.values() if len(g) > 1]
 
 
 class SkipChain:
-    """Weights of unary, chain and skip factors, and loopy inference."""
+    """Weights of unary, chain and skip factors, and loopy inference.
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    ``half`` is the factor between a token and its group's variable; two of them in a row are the skip factor, so pairs,
+    groups and base spans are tied by one and the same weights.
+    """
+
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, half: np.ndarray):
+        self.unary, self.chain, self.half = unary, chain, half
+        self.skip = np.log(np.exp(half) @ np.exp(half))
 
-    def half_skip(self) -> np.ndarray:
-        """The factor between a token and its group's variable: two of them in a row are the skip factor."""
-        size, turn = np.linalg.eigh(np.exp(self.skip))
-        return np.log(np.maximum(turn * np.sqrt(np.maximum(size, 0)) @ turn.T, 1e-9))
+    @classmethod
+    def of_skip(cls, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> SkipChain:
+        """With the half factor whose square comes near the skip factor."""
+        size, turn = np.linalg.eigh(np.exp(skip))
+        return cls(unary, chain, np.log(np.maximum(turn * np.sqrt(np.maximum(size, 0)) @ turn.T, 1e-6)))
 
     def marginals(self, shown: np.ndarray, links: list[tuple[int, int]], groups: list[list[int]], rounds: int = 1000, near: float = 1e-5) -> np.ndarray:
         """Label marginals by damped sum-product messages along links of neighbours and within groups.
@@ -177,7 +193,7 @@ class SkipChain:
             return _softmax(local)
         local = np.concatenate([local, np.zeros((len(large), len(LABELS)))])
         a, b = np.array(pairs).T
-        factor = np.concatenate([np.repeat(f[None], k, 0) for f, k in ((self.chain, len(links)), (self.skip, len(skips)), (self.half_skip(), len(hubs)))])
+        factor = np.concatenate([np.repeat(f[None], k, 0) for f, k in ((self.chain, len(links)), (self.skip, len(skips)), (self.half, len(hubs)))])
         source, target = np.concatenate([a, b]), np.concatenate([b, a])
         factor = np.concatenate([factor, factor.transpose(0, 2, 1)])  # message s->t: factor[s label, t label]
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
@@ -207,64 +223,93 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def phone_forms(rng: random.Random) -> tuple[str, list[str], list[str]]:
+    """A number in full, ways to write it without the country, and ways to shorten it; of one country."""
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    country = rng.choice(["us", "us", "de", "fr", "es"])
+    if country == "us":
+        area, a, b = rng.choice("23456789") + digits(2), digits(3), digits(4)
+        return rng.choice([f"+1-{area}-{a}-{b}", f"+1{area}{a}{b}", f"+1 {area} {a} {b}", f"+1 ({area}) {a}-{b}"]), [f"{area}-{a}-{b}", f"({area}) {a}-{b}", f"{area}.{a}.{b}"], [f"{a}-{b}", f"{a}{b}"]
+    if country == "de":
+        area, n = rng.choice(["30", "89", "40", "221", "711", "170"]), rng.choice("123456789") + digits(6)
+        return rng.choice([f"+49 {area} {n}", f"+49{area}{n}", f"+49-{area}-{n}"]), [f"0{area}/{n}", f"(0{area}) {n}", f"0{area} {n}", f"0{area}-{n}"], [n]
+    if country == "fr":
+        area, p = rng.choice("123456"), [digits(2) for _ in range(4)]
+        return f"+33 {area} {' '.join(p)}", [f"0{area} {' '.join(p)}", f"0{area}.{'.'.join(p)}", f"0{area}{''.join(p)}"], [f"0{area}{''.join(p)}"]
+    a, b, c = rng.choice("69") + digits(2), digits(3), digits(3)
+    return f"+34 {a} {b} {c}", [f"{a} {b} {c}", f"{a}{b}{c}", f"{a}-{b}-{c}"], [f"{a}{b}{c}"]
+
+
 def labelled_sentences(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
-    """Generated texts with (start, end, label) of their personal data, full and shortened forms alike."""
+    """Generated texts with (start, end, label) of their personal data, full, local and shortened forms alike."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choices("0123456789", k=k))
-    filler = "we will meet at the old house near river and then write about it again for a while".split()
     for _ in range(n):
-        text, gold = "", []
+        text, gold, filler = "", [], rng.choice(FILLER)
 
         def add(piece: str, label: int = 0) -> None:
             nonlocal text
             text += " " if text else ""
             if label:
                 gold.append((len(text), len(text) + len(piece), label))
-            text += piece
+            text += piece + (rng.choice([".", ","]) if rng.random() < 0.15 and label else "")
+
+        def cue(kind: int) -> None:
+            add(rng.choice([c for c, k in CUES.items() if k == kind]) + rng.choice(["", "", ":", "."]))
 
-        user, area, local = rng.choice(["ann", "joe.b", "info"]) + digits(2), digits(3), f"{digits(3)}-{digits(4)}"
+        user, host = rng.choice(["ann", "joe.b", "info", "maria_k"]) + digits(rng.randint(0, 3)), rng.choice(["mail", "post", "host"]) + digits(rng.randint(0, 1))
         number = digits(15)
         number += next(d for d in "0123456789" if luhn(number + d))
-        forms = {
-            1: [f"{user}@mail{digits(1)}.example.com"],
-            2: [".".join(str(rng.randint(0, 255)) for _ in range(4))],
-            3: [number, "-".join(number[i : i + 4] for i in range(0, 16, 4))],
-            4: [f"+1-{area}-{local}", f"+1{area}{local.replace('-', '')}"],
-        }
-        plain = [digits(4), f"{digits(1)}.{digits(1)}", digits(2) + "%", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"19{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", digits(9), "x" + digits(8) + "f", digits(12), digits(7), "@" + rng.choice(filler)]
-        kind = rng.choice([0, 1, 2, 3, 4, 4])
+        full, local, short = phone_forms(rng)
+        forms = {1: [f"{user}@{host}.example.com"], 2: [".".join(str(rng.randint(0, 255)) for _ in range(4))], 3: [number, "-".join(number[i : i + 4] for i in range(0, 16, 4))]}
+        plain = [digits(4), f"{digits(1)}.{digits(1)}", digits(2) + "%", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"19{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", digits(9), "x" + digits(8) + "f", digits(12), digits(7), digits(8), f"{rng.randint(1, 31)}/{rng.randint(1, 12)}/20{digits(2)}", f"{digits(4)}-{digits(2)}", f"{digits(2)} {digits(2)}", f"{digits(1)},{digits(3)}.{digits(2)}", "@" + rng.choice(filler)]
+        kind = rng.choice([0, 0, 1, 2, 3, 4, 4, 4])
+        whole = rng.random() < 0.6  # whether the number stands in full
         for part in range(rng.randint(2, 4)):
             for w in rng.choices(filler, k=rng.randint(1, 5)):
                 add(w)
-            if kind and part != 1:
-                if rng.random() < 0.4:
-                    add(rng.choice([c for c, k in CUES.items() if k == kind]))
-                if part and kind == 4:
-                    add(rng.choice([local, f"({area})", forms[4][0]]), 4)
-                    if text.endswith(")"):
-                        add(local, 4)
+            if kind == 4 and part != 1:
+                if part == 0 and whole:
+                    cue(4) if rng.random() < 0.4 else None
+                    add(full, 4)
+                elif whole:
+                    cue(4) if rng.random() < 0.3 else None
+                    add(rng.choice(short + local), 4)
                 else:
-                    add(rng.choice(forms[kind]), kind)
+                    shown = rng.choice(local)
+                    if "(" not in shown and "/" not in shown or rng.random() < 0.6:
+                        cue(4)
+                    add(shown, 4)
+            elif kind and part != 1:
+                cue(kind) if rng.random() < 0.4 else None
+                add(f"{user}@{host}" if kind == 1 and part else rng.choice(forms[kind]), kind)
             else:
+                if rng.random() < 0.4:
+                    add(rng.choice(COUNTED))
                 add(rng.choice(plain))
         yield text, gold
 
 
 @cache
 def fitted(n: int = 1500, seed: int = 11, steps: int = 400) -> SkipChain:
-    """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels."""
+    """Weights by pseudo-likelihood: each token's label given its features and the labels that the graph of inference ties it to."""
     rows, labels = [], []
     for text, gold in labelled_sentences(n, seed):
         places, shown, links = token_graph(text, base_spans(text))
-        skips = skip_links([keys_of(text[a:b]) for a, b in places])
-        own = [next((k for a, b, k in gold if a <= begin and end <= b), 0) for begin, end in places]
-        beside, like = np.zeros((len(places), len(LABELS))), np.zeros((len(places), len(LABELS)))
-        for table, pairs in ((beside, links), (like, skips)):
-            for i, j in pairs:
-                table[i, own[j]] += 1
-                table[j, own[i]] += 1
+        own = np.array([next((k for a, b, k in gold if a <= begin and end <= b), 0) for begin, end in places], "i8")
+        beside, like, based = np.zeros((len(places), len(LABELS))), np.zeros((len(places), len(LABELS))), shown[:, 2:6].any(1)
+        for i, j in links:
+            beside[i, own[j]] += 1
+            beside[j, own[i]] += 1
+        for g in shared_keys([keys_of(text[a:b]) for a, b in places]):  # as in marginals: labels of base spans, else what the others agree on
+            known = sorted({int(shown[i, 2:6].argmax()) + 1 for i in g if based[i]})
+            for i in g:
+                if known and not based[i]:
+                    like[i, known] += 1
+                elif not known:
+                    like[i, np.bincount([own[j] for j in g if j != i]).argmax()] += 1
         rows.append(np.concatenate([shown, beside, like], 1))
-        labels += own
+        labels += own.tolist()
     x, y = np.concatenate(rows), np.eye(len(LABELS))[labels]
     weights, speed = np.zeros((x.shape[1], len(LABELS))), np.zeros((x.shape[1], len(LABELS)))
     for _ in range(steps):
@@ -273,7 +318,7 @@ def fitted(n: int = 1500, seed: int = 11, steps: int = 400) -> SkipChain:
         weights += 0.5 * speed
     k = N_FEATURES
     chain, skip = weights[k : k + len(LABELS)], weights[k + len(LABELS) :]
-    return SkipChain(weights[:k], (chain + chain.T) / 2, (skip + skip.T) / 2)
+    return SkipChain.of_skip(weights[:k], (chain + chain.T) / 2, (skip + skip.T) / 2)
 
 
 def token_graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
