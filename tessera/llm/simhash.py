@@ -227,7 +227,8 @@ def nested_forests(members: np.ndarray, checks: np.ndarray, levels: tuple[int, .
     """Links that connect, for each level, what links of at most so many differing check bits connect.
 
     Two members d bits apart are thus joined through links of at most the next level above d, so that a link that later
-    fails on the texts hardly takes a better one along.  There is less than one link for each member.
+    fails on the texts hardly takes a better one along.  There is less than one link for each member; up to four members
+    give all their links, six at most.
     """
     if 2 < len(members) <= 2048:  # those that are near no other are left out at once
         apart = np.bitwise_count((checks[:, None] ^ checks).view("u8"))
@@ -235,6 +236,9 @@ def nested_forests(members: np.ndarray, checks: np.ndarray, levels: tuple[int, .
         members, checks = members[kept], checks[kept]
     if len(members) < 2:
         return np.zeros((0, 2), "i8")
+    if len(members) <= 4:
+        a, b = np.nonzero(np.triu(np.bitwise_count((checks[:, None] ^ checks).view("u8")) <= levels[-1], 1))
+        return np.stack([members[a], members[b]], 1)
     label, rest, links = np.arange(len(members)), np.arange(len(members)), []
     near = lambda p, among, level: np.bitwise_count((checks[among] ^ checks[p]).view("u8")) <= level
     while len(rest) > 1:
@@ -257,29 +261,12 @@ def nested_forests(members: np.ndarray, checks: np.ndarray, levels: tuple[int, .
     return members[np.array(links, "i8").reshape(-1, 2)]
 
 
-def nearest_strangers(members: np.ndarray, checks: np.ndarray, group: np.ndarray, most: int, window: int) -> tuple[list[tuple[int, int]], bool]:
-    """For each member outside the largest group its ``window`` nearest members of other groups, and whether any has more."""
-    kinds, sizes = np.unique(group, return_counts=True)
-    if len(kinds) < 2:
-        return [], False
-    out, more = [], False
-    for p in np.flatnonzero(group != kinds[np.argmax(sizes)]).tolist():
-        apart = np.bitwise_count((checks ^ checks[p]).view("u8"))
-        found = np.flatnonzero((apart <= most) & (group != group[p]))
-        if len(found) > window:
-            found, more = found[np.lexsort((members[found], apart[found]))[:window]], True
-        out += [(int(members[p]), x) for x in members[found].tolist()]
-    return out, more
-
-
-def block_links(prints: DataFrame, levels: tuple[int, ...], window: int = 0) -> DataFrame:
-    """(a, b, more) links among (id, f0, f1, f2, check) that agree in all but two bits of a block and in all but levels[-1] of check.
+def block_links(prints: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """(a, b) links among (id, f0, f1, f2, check) that agree in all but two bits of a block and in all but levels[-1] of check.
 
     Each block emits its ball of radius 1, so two blocks at most two bits apart have a variant in common.  A variant's
-    members give nested spanning forests, not all pairs; with a ``window`` the nearest members of other groups (column
-    ``group``), with ``more`` where some have more of them.
+    members give nested spanning forests, not all pairs.
     """
-    carried = ["id", "check", *(["group"] if window else [])]
     ball = F.array(*[F.lit(c).cast("long") for c in (0, *(1 << b for b in range(BLOCK_BITS)))])
 
     def bits(j: int) -> Column:
@@ -289,15 +276,14 @@ def block_links(prints: DataFrame, levels: tuple[int, ...], window: int = 0) ->
         return over.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
     blocks = [F.struct(F.lit(j).alias("block"), bits(j).alias("bits")) for j in range(BLOCKS)]
-    spread = prints.select(*carried, F.explode(F.array(*blocks)).alias("b")).select(*carried, "b", F.explode(ball).alias("change"))
-    spread = spread.select(F.shiftleft(F.col("b.block").cast("long"), 32).bitwiseOR(F.col("b.bits").bitwiseXOR(F.col("change"))).alias("variant"), *carried)
+    spread = prints.select("id", "check", F.explode(F.array(*blocks)).alias("b")).select("id", "check", "b", F.explode(ball).alias("change"))
+    spread = spread.select(F.shiftleft(F.col("b.block").cast("long"), 32).bitwiseOR(F.col("b.bits").bitwiseXOR(F.col("change"))).alias("variant"), "id", "check")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.zeros(0, "i8") for c in ("variant", *carried)}  # of the last variant so far, which may go on
+        key, own, check = (np.zeros(0, "i8") for _ in range(3))  # of the last variant so far, which may go on
         for batch in (*batches, None):
             if batch is not None:
-                held = {c: np.concatenate([x, batch[c].to_numpy()]) for c, x in held.items()}
-            key, own, check = held["variant"], held["id"], held["check"]
+                key, own, check = (np.concatenate([x, batch[c].to_numpy()]) for x, c in ((key, "variant"), (own, "id"), (check, "check")))
             if not len(key):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -306,25 +292,14 @@ def block_links(prints: DataFrame, levels: tuple[int, ...], window: int = 0) ->
             whole = (ends <= done) & (ends - starts > 1)
             two = starts[whole & (ends - starts == 2)]
             near = np.bitwise_count((check[two] ^ check[two + 1]).view("u8")) <= levels[-1]
-            if window:
-                near &= held["group"][two] != held["group"][two + 1]
-            links, left = [np.stack([own[two], own[two + 1]], 1)[near]], False
-            for s, e in zip(starts[whole & (ends - starts > 2)].tolist(), ends[whole & (ends - starts > 2)].tolist(), strict=True):
-                if window:
-                    some, more = nearest_strangers(own[s:e], check[s:e], held["group"][s:e], levels[-1], window)
-                    links.append(np.array(some, "i8").reshape(-1, 2))
-                    left |= more
-                else:
-                    links.append(nested_forests(own[s:e], check[s:e], levels))
+            links = [np.stack([own[two], own[two + 1]], 1)[near]]
+            more = whole & (ends - starts > 2)
+            links += [nested_forests(own[s:e], check[s:e], levels) for s, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True)]
             found = np.unique(np.sort(np.concatenate(links), axis=1), axis=0)
-            held = {c: x[done:] for c, x in held.items()}
-            if left:  # as a row, where there are no pairs too
-                found = np.concatenate([found, [[-1, -1]]])
-            more = np.zeros(len(found), bool)
-            more[len(found) - left :] = True
-            yield pa.record_batch({"a": found[:, 0].copy(), "b": found[:, 1].copy(), "more": more})
+            key, own, check = key[done:], own[done:], check[done:]
+            yield pa.record_batch({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
-    return spread.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a long, b long, more boolean")
+    return spread.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -344,9 +319,8 @@ def similar_documents(docs: DataFrame, words: int = 2, id_col: str = "doc_id", t
     Every text has 192 bits of its shingles of ``words`` words in seven blocks, and 64 of its shingles of ``verify_words``
     words.  Texts that agree in all but two bits of one block and in all but levels[-1] of the 64 are candidates; texts that
     agree in all of them are compared with the one of least id.  A pair is linked if the sets of ``verify_words``-word
-    shingles of the whole texts have a Jaccard similarity of ``similarity`` or more.  Forests of candidates are
-    compared first; where a link fails, candidates that it kept apart are compared too, the nearest ones first, until none
-    is left between groups, so that every pair of candidates is either compared or in one group.
+    shingles of the whole texts have a Jaccard similarity of ``similarity`` or more.  Where up to four candidates meet
+    all their pairs are compared, where more meet nested forests of them (all pairs would grow with a group's square).
 
     Null texts are empty; null ids take no part; rows with one id count as one document, alike if any of its texts is; an
     empty table gives an empty result.
@@ -357,36 +331,20 @@ def similar_documents(docs: DataFrame, words: int = 2, id_col: str = "doc_id", t
     links = block_links(alike, levels).select(F.col("a").alias("x"), F.col("b").alias("y"))
     known = F.struct(*WIDE).alias("known")
     same = hot_lookup(prints.select("doc_id", known), alike.select(known, "id"), "known", F.col("doc_id")).select(F.col("id").alias("x"), F.col("doc_id").alias("y"))
-    tested = verified(texts, links.unionByName(same).where("x <> y").distinct(), verify_words, similarity)
-    window = 4
-    while True:
-        groups = connected_components(tested.where("held").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        failed = tested.where("not held").select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        if failed.isEmpty():
-            break
-        # a pair that a link which failed has kept apart lies in groups that hold an end of such a link
-        grouped = checkpointed(alike.join(groups.select(F.col("node").alias("id"), F.col("root").alias("group")), "id", "left").withColumn("group", F.coalesce("group", "id")))
-        open_groups = grouped.join(failed, "id").select("group").distinct()
-        found = checkpointed(block_links(grouped.join(open_groups, "group", "left_semi"), levels, window))
-        new = checkpointed(found.where("not more and a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct().join(tested, ["x", "y"], "left_anti"))
-        done = found.where("more").isEmpty()
-        if not new.isEmpty():
-            tested = checkpointed(tested.unionByName(verified(texts, new, verify_words, similarity)))
-        elif done:
-            break
-        window *= 8
+    held = verified(texts, links.unionByName(same).where("x <> y").distinct(), verify_words, similarity).where("held")
+    groups = connected_components(held.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(x, y, held): whether the sets of shingles of two documents' whole texts are as similar as asked for."""
-    pairs = checkpointed(pairs.withColumn("s", F.pmod(F.xxhash64("x", "y"), F.lit(32))))  # a text may have very many links, and copies of its set for them
+    pairs = checkpointed(pairs).withColumn("s", F.pmod(F.xxhash64("x", "y"), F.lit(32)))  # a text may have very many links, and copies of its set for them
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = checkpointed(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), words).distinct())
     side = lambda key, name: pairs.select(key, "s").distinct().join(sets.toDF(key, name), key)
     both = pairs.join(side("x", "a"), ["x", "s"]).join(side("y", "b"), ["y", "s"]).select("x", "y", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size(F.array_intersect("a", "b")).alias("both"))
     alike = F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))
-    return checkpointed(both.groupBy("x", "y").agg(F.bool_or(alike).alias("held")))
+    return both.groupBy("x", "y").agg(F.bool_or(alike).alias("held"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 2, id_col: str = "doc_id", text_col: str = "text", verify_words: int = 5, levels: tuple[int, ...] = (6, 10, 13, 17), similarity: float = 0.8) -> DataFrame:

