@@ -62,3 +62,17 @@ def test_series_pairs_sql_quarantine(spark):
     assert readers.describe({"t": df}, spark).first().columns == "q string, p string"
     good, bad = readers.strict_or_quarantine(df, F.filter(F.array(F.when(F.col("q").isNull(), F.lit("null"))), lambda x: x.isNotNull()))
     assert good.count() == 2 and bad.first().errors == ["null"]
+
+
+def test_scratch_tables_are_removed(spark):
+    from pathlib import Path
+
+    from tessera.sources import scratch
+
+    held, scratch.GIVEN[:] = list(scratch.GIVEN), []
+    path = scratch.scratch(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and scratch.GIVEN == [path]
+    scratch.remove_scratch(spark)
+    assert not Path(path).exists() and scratch.GIVEN == []
+    scratch.GIVEN[:] = held
