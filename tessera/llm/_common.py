@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current.isEmpty():
         if not configured and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-"))
+        if not configured:
+            atexit.register(shutil.rmtree, own := tempfile.mkdtemp(prefix="tessera-"), ignore_errors=True)
+        context.setCheckpointDir(configured or own)
     return configured or context._jsc.sc().getCheckpointDir().get()
 
 
