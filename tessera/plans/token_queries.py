@@ -15,7 +15,7 @@ from tessera.operators import rows as X
 from tessera.plans import derived as D
 from tessera.plans.registry import query, table
 from tessera.plans.rollout_queries import rounded
-from tessera.plans.stream_queries import RUNS, run_files
+from tessera.plans.stream_queries import run_stream
 from tessera.sources import readers
 from tessera.sources.scratch import scratch
 from tessera.sources.table_log import TableLog
@@ -153,7 +153,7 @@ def igpo_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an assembler's stopped stream still holds: runs and drops of each open group."""
     progress = scratch(spark, "progress")
-    closed = runs.drained(assembler.assemble_groups(runs.source(spark, run_files(spark, sf_dir), RUNS), expected=4), scratch(spark, "groups"), progress)
+    closed = runs.drained(assembler.assemble_groups(run_stream(spark, sf_dir), expected=4), scratch(spark, "groups"), progress)
     state = runs.snapshot(spark, progress)
     count = lambda f: F.coalesce(F.get_json_object("value", f"$.groupState.{f}"), F.get_json_object("value", f"$.{f}")).cast("long")
     held = state.select(F.regexp_extract("key", r"(-?[0-9]+)", 1).cast("long").alias("grp"), (count("n") + count("dropped")).alias("waiting"))

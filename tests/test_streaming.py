@@ -70,3 +70,29 @@ def test_upserts_write_changed_buckets_only(spark, tmp_path):
         table = runs.upsert_on_change(stream, "k", "n", lambda df: df, str(tmp_path / "t"), str(tmp_path / "c"), buckets=8)
     assert {r.k: r.n for r in table.collect()} == {k: 5 if k == 7 else 1 for k in range(200)}
     assert len(list((tmp_path / "t" / "version=1").glob("bucket=*"))) == 1 and len(runs.newest(spark, str(tmp_path / "t"))) == 8
+
+
+def test_groups_close_in_order_of_runs_over_arrow_batches(spark, tmp_path):
+    from tessera.streaming import runs
+
+    schema = "grp long, run long, reward double, version long"
+    spark.createDataFrame([(1, r, float(r), r) for r in reversed(range(100))], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        got = runs.drained(assembler.assemble_groups(runs.source(spark, str(tmp_path / "in"), schema), expected=4), str(tmp_path / "out"), str(tmp_path / "c")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.min_version, r.mean_reward) for r in got) == [(4 * k, 4 * k + 1.5) for k in range(25)]
+
+
+def test_parts_are_micro_batches_however_many_files_they_have(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import runs
+
+    rows = spark.range(200).select("id", F.when(F.col("id") < 199, F.floor(F.col("id") / 100)).otherwise(2).alias("part"))  # the last part has one row
+    runs.write_in_order(rows, "part", "id", 3, str(tmp_path / "in"), split=4)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 12
+    done = runs.publish(runs.source(spark, str(tmp_path / "in"), "id long", files=4), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert {r.batch: (r.n, r.least) for r in done.groupBy("batch").agg(F.count("id").alias("n"), F.min("id").alias("least")).collect()} == {0: (100, 0), 1: (99, 100), 2: (1, 199)}
