@@ -122,3 +122,66 @@ def test_state_is_saved_and_loaded_into_another_stream(spark, tmp_path):
         with pytest.raises(ValueError, match="the snapshot has"):
             S.loaded(spark, at("snapshot"), schema, version)
     assert initial.select(F.sum(F.size("runs"))).first()[0] > 0
+
+
+class Held:
+    """A value or a map of a state, counting what is asked of it."""
+
+    def __init__(self):
+        self.value, self.rows, self.calls = None, {}, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.rows[key]
+
+    def clear(self):
+        self.value, self.rows = None, {}
+
+
+@pytest.mark.parametrize("most", [0, 3, 4096])
+def test_frames_that_follow_do_not_meet_the_state_one_by_one(monkeypatch, most):
+    import pandas as pd
+
+    monkeypatch.setattr(S, "EARLY", most)
+    own = [("s", k, [k + 0.25, k - 0.5, 3.0 * k, 1.0], 2, 8_000, k == 99) for k in range(100)]
+    want, columns = plain(own, 16_000, 25), ["session", "seq", "samples", "channels", "rate", "last"]
+    for seed in (None, 1):
+        processor, got, order = S.AudioChunks(16_000, 25, 6), {}, list(own)
+        processor.state, processor.early = Held(), Held()
+        if seed:
+            random.Random(seed).shuffle(order)
+        frames = lambda rows: iter([pd.DataFrame(rows[i : i + 7], columns=columns) for i in range(0, len(rows), 7)])
+        for rows in (order[:60], order[60:]):
+            for df in processor.handleInputRows(("s",), frames(rows), None):
+                got |= {(r.session, r.chunk): (np.array(r.samples), r.last) for r in df.itertuples()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k][0], want[k][0], atol=1e-9) and got[k][1] == want[k][1] for k in want)
+        assert processor.state.value is None and not processor.early.rows
+        assert seed or processor.early.calls == 0
+
+
+def test_weights_are_made_once_for_each_phase(monkeypatch):
+    made, real = [], S.kernel
+    monkeypatch.setattr(S, "kernel", lambda x, cut, zeros: made.append(np.size(x)) or real(x, cut, zeros))
+    S.resampled(np.ones(10_000), 0, 0, 20_000, 8_000, 16_000, 6)
+    assert sum(made) <= 2 * 14
