@@ -73,3 +73,17 @@ def test_the_corpus_is_read_once(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "corpus")).mapInArrow(passed, "doc_id long, words array<string>")
     got = rows_of(retrieval.tfidf_top_k(spark.createDataFrame(queries, "qid long, words array<string>"), docs, 5))
     assert got == plain(queries, corpus, 5) and reads.value == 200
+
+
+def test_a_block_hands_on_the_best_documents_of_a_query_only(spark, tmp_path):
+    corpus = [(d, ["a"] * (1 + d % 40) + ["b"]) for d in range(2000)] + [(None, ["a"] * 50), (5, ["a"] * 40)]
+    queries, k = [(1, ["a"]), (2, ["b", "a", "a"])], 3
+    docs, asked = (spark.createDataFrame(rows, f"{name} long, words array<string>").repartition(3) for rows, name in ((corpus, "doc_id"), (queries, "qid")))
+    X.write_index(docs, str(tmp_path / "i"))
+    blocks = spark.read.parquet(str(tmp_path / "i/postings"))
+    assert blocks.count() == blocks.select("block").distinct().count()  # a row for each
+    weights = X.query_weights(spark, str(tmp_path / "i"), asked)
+    pairs = asked.select("qid").crossJoin(blocks.select("block"))
+    assert X.scored(spark, str(tmp_path / "i"), pairs, weights, 3, k).groupBy("qid").count().agg(F.max("count")).first()[0] <= k * blocks.count()
+    got = [(r.qid, r.doc_id, r.score) for r in X.search(spark, str(tmp_path / "i"), asked, k).orderBy("qid", "rank").collect()]
+    assert [d for _, d, _ in got] == [None, 5, 39, None, 39, 79]  # the second asks for b too, which the row 5 lacks
