@@ -111,7 +111,7 @@ def trajectory_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training segments of at most 20 tokens from a tree of turns, each turn's loss owned once."""
     turns = sampled_turns(spark, sf_dir)
     segments = trees.owned_segments(turns, max_context_tokens=20)
-    tokens = turns.select(F.col("node").alias("end"), F.sha2(F.array_join(F.concat("prompt_ids", "output_ids"), ","), 256).alias("tokens_sha256"))
+    tokens = turns.where(F.size("prompt_ids") + F.size("output_ids") <= 20).select(F.col("node").alias("end"), F.sha2(F.array_join(F.concat("prompt_ids", "output_ids"), ","), 256).alias("tokens_sha256"))
     learned = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), " ")
     return segments.join(tokens, "end").select("leaf", "end", "begin", "n_turns", F.col("n_prompt").cast("long").alias("n_prompt"), F.col("n_tokens").cast("long").alias("n_tokens"), learned.alias("n_learned"), shown.alias("spans"), "tokens_sha256")

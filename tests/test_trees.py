@@ -100,3 +100,29 @@ def test_cycles_are_refused_and_empty_trees(spark):
     assert T.owned_segments(empty).count() == 0
     lone = spark.createDataFrame([(1, 99, None, None, None, "", 0), (2, 98, None, [4], [0.5], "", 0)], SCHEMA)
     assert [(s.leaf, s.n_prompt, s.n_tokens) for s in T.owned_segments(lone).collect()] == [(2, 0, 1)]
+
+
+def test_rounds_write_no_more_rows_than_a_few_times_the_nodes(spark, monkeypatch):
+    monkeypatch.setattr(T, "SMALL", 50, raising=False)
+    n, written, plain_written = 3000, [], T.Rounds.written
+
+    def counted(rounds, df):
+        out = plain_written(rounds, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(T.Rounds, "written", counted)
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3)).alias("up"), (-F.col("id")).alias("value"))
+    least = {r.node: r.least for r in T.subtree_min(nodes).collect()}
+    last = lambda k: k if 3 * k + 1 >= n else max(last(c) for c in range(3 * k + 1, min(n, 3 * k + 4)))
+    assert least == {k: -last(k) for k in range(n)} and sum(written) <= 2 * n
+    written.clear()
+    depth = lambda k: 0 if k == 0 else 1 + depth((k - 1) // 3)
+    assert {(r.node, r.root, r.depth) for r in T.chain_roots(nodes).collect()} == {(k, 0, depth(k)) for k in range(n)} and sum(written) <= 3 * n
+
+
+def test_segments_of_layers_equal_paths_taken_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(T, "SMALL", 5, raising=False)
+    turns = random_turns(2, 120)
+    segments = T.owned_segments(spark.createDataFrame([(*t, "x", 1) for t in turns], SCHEMA), 12)
+    assert {(s.leaf, s.end): (s.begin, s.n_turns, s.split) for s in segments.collect()} == {k: v[:3] for k, v in plain(turns, 12).items()}
